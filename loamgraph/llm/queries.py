@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loamgraph.llm import rank_fusion
+from loamgraph.llm import near_duplicates, rank_fusion
 from loamgraph.session import table
 
 SCORES = {"confidence": 1.0, "recency": 1.0, "keyword_match": 1.0, "retrievals": 1.0}
@@ -18,7 +19,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return rank_fusion.top(p1_ranking(spark, d), "query_id", "knowledge_uuid", 10).select("query_id", "knowledge_uuid")
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking}
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    found = near_duplicates.similar_pairs(table(spark, d, "knowledge"), "uuid", ["title", "description"], 0.6, 12, "updated_at")
+    return found.select(F.col("key_a").alias("uuid_a"), F.col("key_b").alias("uuid_b"), "similarity")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pairs(spark, d).select("uuid_a", "uuid_b")
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each entry with the number of its group, and its links."""
+    return near_duplicates.components(table(spark, d, "knowledge"), "uuid", ["title", "description"], 0.6, 12, "updated_at")
+
+
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_groups": p2_groups}
 
 _P1 = """WITH c AS (SELECT query_id, knowledge_uuid, min(scored_at), any_value(confidence) AS a, any_value(recency) AS b, any_value(keyword_match) AS k, any_value(retrievals) AS r
   FROM score_breakdown GROUP BY ALL),
@@ -29,7 +44,14 @@ f AS (SELECT query_id, knowledge_uuid, CASE WHEN n > 1 THEN 8.0 * (n - 1) * (n -
   """ + " + ".join(f"k{s} * m{s} - m{s} * (m{s} - 1)" for s in "abkr") + """ AS plus,
   """ + " + ".join(f"n * (n - 1) - m{s} * (m{s} - 1) - c{s} * k{s} - k{s} * (n - m{s} - c{s})" for s in "abkr") + """ AS minus FROM w)
 """
+_P2 = r"""WITH k AS (SELECT uuid, list_sort(list_distinct(regexp_extract_all(lower(coalesce(any_value(title), '') || ' ' || coalesce(any_value(description), '')), '[\p{L}\p{N}]+'))) AS w
+  FROM knowledge WHERE uuid IS NOT NULL GROUP BY uuid),
+s AS (SELECT * FROM k WHERE len(w) >= 12),
+x AS (SELECT a.uuid AS uuid_a, b.uuid AS uuid_b, len(list_intersect(a.w, b.w)) AS shared, len(a.w) + len(b.w) AS total FROM s a JOIN s b ON a.uuid < b.uuid)
+"""
 SQL = {
+    "p2_found": _P2 + "SELECT uuid_a, uuid_b FROM x WHERE shared / (total - shared) >= 0.6",
+    "p2_pairs": _P2 + "SELECT uuid_a, uuid_b, shared / (total - shared) AS similarity FROM x WHERE shared / (total - shared) >= 0.6",
     "p1_ranking": _P1 + "SELECT query_id, knowledge_uuid, plus / scale AS positive, minus / scale AS negative, (plus - minus) / scale AS flow FROM f",
     "p1_found": _P1 + "SELECT query_id, knowledge_uuid FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY (plus - minus) / scale DESC, knowledge_uuid) <= 10",
 }
