@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import near_duplicates, rank_fusion
+from loamgraph.llm import near_duplicates, rank_fusion, secrets
 from loamgraph.session import table
 
 SCORES = {"confidence": 1.0, "recency": 1.0, "keyword_match": 1.0, "retrievals": 1.0}
@@ -33,7 +33,15 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.components(table(spark, d, "knowledge"), "uuid", ["title", "description"], 0.6, 12, "updated_at")
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_groups": p2_groups}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_credentials(table(spark, d, "chunks")).select("id", "line_no").distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redact_credentials(table(spark, d, "chunks"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted}
 
 _P1 = """WITH c AS (SELECT query_id, knowledge_uuid, min(scored_at), any_value(confidence) AS a, any_value(recency) AS b, any_value(keyword_match) AS k, any_value(retrievals) AS r
   FROM score_breakdown GROUP BY ALL),
