@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import near_duplicates, rank_fusion, secrets
+from loamgraph.llm import near_duplicates, neighbors, rank_fusion, secrets
 from loamgraph.session import table
 
 SCORES = {"confidence": 1.0, "recency": 1.0, "keyword_match": 1.0, "retrievals": 1.0}
@@ -41,7 +41,17 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact_credentials(table(spark, d, "chunks"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted}
+def p5_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every node."""
+    return neighbors.neighbors(table(spark, d, "node_embeddings"), 5)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbors.neighbors(table(spark, d, "node_embeddings"), 5, 0.9)
+    return near.select(F.least("node_id", "other").alias("node_a"), F.greatest("node_id", "other").alias("node_b")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_neighbors": p5_neighbors}
 
 _P1 = """WITH c AS (SELECT query_id, knowledge_uuid, min(scored_at), any_value(confidence) AS a, any_value(recency) AS b, any_value(keyword_match) AS k, any_value(retrievals) AS r
   FROM score_breakdown GROUP BY ALL),
