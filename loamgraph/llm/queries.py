@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.llm import near_duplicates, neighbors, rank_fusion, secrets
+from loamgraph.functions.ids import path_form
+from loamgraph.llm import cooccurrence, near_duplicates, neighbors, rank_fusion, secrets
 from loamgraph.session import table
 
 SCORES = {"confidence": 1.0, "recency": 1.0, "keyword_match": 1.0, "retrievals": 1.0}
@@ -51,7 +52,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("node_id", "other").alias("node_a"), F.greatest("node_id", "other").alias("node_b")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_neighbors": p5_neighbors}
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    found = cooccurrence.together(table(spark, d, "commit_files"), "repo", "commit_id", path_form(F.col("file")))
+    return found.withColumnsRenamed({"item_a": "file_a", "item_b": "file_b", "together": "commits", "records_a": "commits_a", "records_b": "commits_b", "records": "repo_commits"})
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pairs(spark, d).select("repo", "file_a", "file_b")
+
+
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_found": p6_found, "p6_pairs": p6_pairs}
 
 _P1 = """WITH c AS (SELECT query_id, knowledge_uuid, min(scored_at), any_value(confidence) AS a, any_value(recency) AS b, any_value(keyword_match) AS k, any_value(retrievals) AS r
   FROM score_breakdown GROUP BY ALL),
@@ -67,7 +77,18 @@ _P2 = r"""WITH k AS (SELECT uuid, list_sort(list_distinct(regexp_extract_all(low
 s AS (SELECT * FROM k WHERE len(w) >= 12),
 x AS (SELECT a.uuid AS uuid_a, b.uuid AS uuid_b, len(list_intersect(a.w, b.w)) AS shared, len(a.w) + len(b.w) AS total FROM s a JOIN s b ON a.uuid < b.uuid)
 """
+_P6 = r"""WITH c AS (SELECT DISTINCT repo, commit_id, regexp_replace(replace(file, '\', '/'), '^(\./)+', '') AS f FROM commit_files WHERE repo IS NOT NULL AND commit_id IS NOT NULL),
+d AS (SELECT * FROM c WHERE f <> ''),
+n AS (SELECT repo, count(DISTINCT commit_id) AS n FROM d GROUP BY repo),
+i AS (SELECT repo, f, count(*) AS k FROM d GROUP BY repo, f),
+p AS (SELECT a.repo, a.f AS file_a, b.f AS file_b, count(*) AS t FROM d a JOIN d b ON a.repo = b.repo AND a.commit_id = b.commit_id AND a.f < b.f GROUP BY ALL HAVING count(*) >= 5),
+x AS (SELECT p.*, ia.k AS ka, ib.k AS kb, n.n FROM p JOIN i ia ON p.repo = ia.repo AND file_a = ia.f JOIN i ib ON p.repo = ib.repo AND file_b = ib.f JOIN n ON p.repo = n.repo
+  WHERE t * n.n >= 3 * ia.k * ib.k AND greatest(t / ia.k, t / ib.k) >= 0.4)
+"""
 SQL = {
+    "p6_found": _P6 + "SELECT repo, file_a, file_b FROM x",
+    "p6_pairs": _P6 + """SELECT repo, file_a, file_b, t AS commits, ka AS commits_a, kb AS commits_b, n AS repo_commits, t / ka AS weight_a, t / kb AS weight_b, t * n / (ka * kb) AS lift,
+  (t + 0.5) * (n - ka - kb + t + 0.5) / ((ka - t + 0.5) * (kb - t + 0.5)) AS odds_ratio FROM x""",
     "p2_found": _P2 + "SELECT uuid_a, uuid_b FROM x WHERE shared / (total - shared) >= 0.6",
     "p2_pairs": _P2 + "SELECT uuid_a, uuid_b, shared / (total - shared) AS similarity FROM x WHERE shared / (total - shared) >= 0.6",
     "p1_ranking": _P1 + "SELECT query_id, knowledge_uuid, plus / scale AS positive, minus / scale AS negative, (plus - minus) / scale AS flow FROM f",
