@@ -54,7 +54,9 @@ _URL_TOKEN = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://(?P<v>[A-Za-z0-9_.\-]{16,})
 _HEADER = re.compile(r"\b(?P<kind>[Bb]asic|BASIC|[Bb]earer|BEARER|[Tt]oken)[ \t]+(?P<v>[A-Za-z0-9+/=._~\-]{8,}(?:![\w]+)?)")
 _COMMAND = re.compile(r"""(?:\s-u|--user|--userpwd)[\s=]+["']?[\w.@\-]*:(?P<v>[^"'\s]+)""")
 _LOGIN = re.compile(r"(?i:\b(?:login|credentials?|log[ -]?in|user(?:name)?)\b[ \t]*(?:was|is|are|:|=)?[ \t]*)[\w.@\-]+[ \t]*/[ \t]*(?P<v>\S+)")
-_IS_THE = re.compile(rf"(?P<v>[^\s\"'`]{{6,}})[\"'`]? (?:is|was) (?:the|our|my) (?:[\w\-]+ ){{0,3}}?(?i:{_SECRET})\b")
+_IS_THE = re.compile(rf" (?:is|was) (?:the|our|my) (?:[\w\-]+ ){{0,3}}?(?i:{_SECRET})\b")
+#: Words a name of _FIELD can begin with.
+_STARTS = ("pass", "pwd", "pw", "kennwort", "contrase", "mot", "secret", "token", "credential", "auth", "api", "access", "signing", "encryption", "private", "master", "account", "service", "deploy", "webhook", "license")
 _SHAPES = re.compile(r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bxox[abeoprs]-[A-Za-z0-9\-]{10,}|\beyJ[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]*){1,2}")
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_.=\-])[A-Za-z0-9+/_.=\-]{20,}")
 _BEGIN = re.compile(r"-----BEGIN (?P<kind>[A-Z0-9 ]*)-----")
@@ -202,20 +204,27 @@ def find(text: str) -> list[list[tuple[int, int]]]:
         v = m["v"]
         if _basic(v) if m["kind"].lower() == "basic" else secret_value(v) and (len(v) >= 16 or m["kind"].lower() == "bearer" and re.search(r"\d", v)) and not (m["kind"].lower() == "token" and not random_token(v)):
             add([m.span("v")])
-    for m in _FIELD.finditer(text):
+    for m in _fields(text):
         if re.search(r"(?i)public[_\- ]?\Z", text[max(0, m.start() - 8) : m.start()]):
             continue
         value, spans, quoted = _parts(text, m.end())
         if secret_value(value) and (quoted or not re.fullmatch(r"[A-Za-z_][\w.]*", value) or re.search(r"\d", value)):
             add(spans)
-    for pattern in (_COMMAND, _LOGIN, _IS_THE):
+    for pattern in (_COMMAND, _LOGIN):
         for m in pattern.finditer(text):
             if secret_value(m["v"]):
                 add([m.span("v")])
+    for m in _IS_THE.finditer(text) if " the " in text or " our " in text or " my " in text else ():
+        token = re.search(r"[^\s\"'`]+[\"'`]?\Z", text[text.rfind("\n", 0, m.start()) + 1 : m.start()])
+        if token and secret_value(v := token[0].rstrip("\"'`")):
+            end = m.start() - (len(token[0]) - len(v))
+            add([(end - len(v), end)])
     for m in _SHAPES.finditer(text):
         if not _PLACEHOLDER.search(m[0]) and not _benign(text, m.start()):
             add(_whole(text, m.start(), m.end()))
     for m in _LONG.finditer(text):
+        if m[0].islower() or m[0].isupper():
+            continue
         v = m[0].strip("=") if not re.search(r"[A-Za-z0-9+/]={1,2}\Z", m[0]) else m[0]
         for name in re.finditer(r"\A[A-Za-z_.\-]+=", v):  # name=value without blanks
             v = v[name.end() :]
@@ -228,6 +237,25 @@ def find(text: str) -> list[list[tuple[int, int]]]:
     return sorted(found)
 
 
+def _fields(text: str) -> Iterator[re.Match[str]]:
+    """The matches of _FIELD, tried only where one of its words begins."""
+    low = text.lower()
+    if len(low) != len(text):  # a letter that changes length
+        yield from _FIELD.finditer(text)
+        return
+    starts = []
+    for word in _STARTS:
+        at = low.find(word)
+        while at >= 0:
+            starts.append(at)
+            at = low.find(word, at + 1)
+    end = 0
+    for at in sorted(starts):
+        if at >= end and (m := _FIELD.match(text, at)):
+            yield m
+            end = m.end()
+
+
 def _benign(text: str, at: int) -> bool:
     line = text.rfind("\n", 0, at) + 1
     if re.match(r"[ \t]*-?[ \t]*[\"']?value\b", text[line:at]):  # the name stands on the line before
