@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.functions.ids import path_form
-from loamgraph.llm import cooccurrence, near_duplicates, neighbors, rank_fusion, secrets
+from loamgraph.functions.ids import folded, path_form
+from loamgraph.llm import bpe, cooccurrence, mixing, near_duplicates, neighbors, rank_fusion, secrets, splitting
 from loamgraph.session import table
 
 SCORES = {"confidence": 1.0, "recency": 1.0, "keyword_match": 1.0, "retrievals": 1.0}
@@ -61,7 +61,32 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pairs(spark, d).select("repo", "file_a", "file_b")
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_found": p6_found, "p6_pairs": p6_pairs}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _p9(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, mixing.Target]]:
+    # A small table given by hand: a row per source.
+    rows = table(spark, d, "mix_targets").select(folded(F.col("source")).alias("s"), "target_share", "max_repeats").collect()
+    targets = mixing.read_targets([tuple(r) for r in rows])
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), folded(F.col("source")).alias("source"), "text").where("source IS NOT NULL AND text != ''")
+    counted = bpe.count_tokens(docs, "text").withColumn("members", F.array("source"))
+    return mixing.mix(counted, targets), targets
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(*_p9(spark, d))
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_documents(table(spark, d, "documents"), table(spark, d, "split_limits"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 
 _P1 = """WITH c AS (SELECT query_id, knowledge_uuid, min(scored_at), any_value(confidence) AS a, any_value(recency) AS b, any_value(keyword_match) AS k, any_value(retrievals) AS r
   FROM score_breakdown GROUP BY ALL),
