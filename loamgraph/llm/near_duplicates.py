@@ -116,25 +116,38 @@ class _Block:
     def candidates(self, i: np.ndarray, n: np.ndarray, extra: np.ndarray, bits: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
         """Query and member ids of the pairs the bounds let through, the larger (size, id) as the query."""
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        step = max(1, 2_000_000 // len(self.least))
+        first, groups = FREQUENT // 64, len(self.least)
+        # Of the frequent tokens the overlap is counted for all groups, the hashed ones may all be shared; then for what is left.
+        rest = (n - np.bitwise_count(bits[:, :first]).sum(1, dtype=np.int64)).astype(np.int16)
+        kind = np.uint8 if len(n) and n.max() < 256 else np.uint16
+        columns = [np.ascontiguousarray(self.union[:, w]) for w in range(first)]
+        step = max(1, 65_536 // groups)  # buffers that stay in the processor's cache
+        both, count, most = np.empty((step, groups), np.uint64), np.empty((step, groups), np.uint8), np.empty((step, groups), kind)
+        needed = lambda r, g: np.ceil(t / (1 + t) * (n[r] + self.least[g]) - 1e-9)
         for s in range(0, len(i), step):
-            q = slice(s, s + step)
-            most = np.repeat(extra[q, None], len(self.least), 1).astype(np.int16)
-            for w in range(WORDS):
-                most += np.bitwise_count(bits[q, None, w] & self.union[None, :, w])
-            asked = np.ceil(t / (1 + t) * (n[q, None] + self.least[None]) - 1e-9)
-            rows, groups = np.nonzero(most >= asked)
-            for k in range(0, len(rows), 500_000):
-                r, g = rows[k : k + 500_000] + s, groups[k : k + 500_000]
-                member = (g[:, None] * GROUP + np.arange(GROUP)).ravel()
-                r = np.repeat(r, GROUP)
-                keep = member < len(self.ids)
-                r, member = r[keep], member[keep]
-                keep = (self.n[member] < n[r]) | (self.n[member] == n[r]) & (self.ids[member] < i[r])
-                r, member = r[keep], member[keep]
-                both = np.bitwise_count(bits[r] & self.bits[member]).sum(1, dtype=np.int64) + np.minimum(extra[r], self.extra[member])
-                keep = both >= np.ceil(t / (1 + t) * (n[r] + self.n[member]) - 1e-9)
-                found.append((i[r[keep]], self.ids[member[keep]]))
+            rows = min(step, len(i) - s)
+            x, c, m = both[:rows], count[:rows], most[:rows]
+            m[:] = 0
+            for w in range(first):
+                np.bitwise_and(bits[s : s + rows, w, None], columns[w], out=x)
+                np.bitwise_count(x, out=c)
+                np.add(m, c, out=m)
+            # The least member of all groups asks least.
+            r, g = np.nonzero(m >= np.maximum(0, np.ceil(t / (1 + t) * (n[s : s + rows] + self.least.min()) - 1e-9) - rest[s : s + rows])[:, None])
+            r += s
+            keep = np.bitwise_count(bits[r] & self.union[g]).sum(1, dtype=np.int64) + extra[r] >= needed(r, g)
+            r, g = r[keep], g[keep]
+            if not len(r):
+                continue
+            member = (g[:, None] * GROUP + np.arange(GROUP)).ravel()
+            r = np.repeat(r, GROUP)
+            keep = member < len(self.ids)
+            r, member = r[keep], member[keep]
+            keep = (self.n[member] < n[r]) | (self.n[member] == n[r]) & (self.ids[member] < i[r])
+            r, member = r[keep], member[keep]
+            shared = np.bitwise_count(bits[r] & self.bits[member]).sum(1, dtype=np.int64) + np.minimum(extra[r], self.extra[member])
+            keep = shared >= np.ceil(t / (1 + t) * (n[r] + self.n[member]) - 1e-9)
+            found.append((i[r[keep]], self.ids[member[keep]]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
 
