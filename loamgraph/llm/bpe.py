@@ -60,6 +60,7 @@ class Encoder:
         order = np.argsort(pairs)
         self.pairs, self.merged = np.asarray(pairs, np.int64)[order], np.asarray(merged, np.int64)[order]
         self.split = regex.compile(PATTERN).findall
+        self.units: list[list[str]] = []  # the words of the texts last encoded
         self.forget()
 
     @staticmethod
@@ -167,7 +168,7 @@ class Encoder:
         """Of all texts one after another: tokens, tokens per text; tokens per word, words per text."""
         if len(self.known) > KEPT_WORDS or self.symbols > KEPT_SYMBOLS:
             self.forget()
-        split = [self.split(t) if t else [] for t in texts]
+        self.units = split = [self.split(t) if t else [] for t in texts]
         flat = [w for ws in split for w in ws]
         self.learn(flat)
         tokens, starts = self.table()

@@ -15,7 +15,6 @@ columns are not read. Texts are taken whole, however long.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,20 +49,46 @@ def boundaries(units: list[str]) -> np.ndarray:
 
 
 def depths(units: list[str], at: np.ndarray) -> np.ndarray:
-    """Depth of the valley of lexical similarity at each of the boundaries ``at``."""
+    """Depth of the valley of lexical similarity at each of the boundaries ``at``.
+
+    Two windows of words slide over the text; their counts, norms and product change by a few words a step.
+    """
+    numbers: dict[str, int] = {}
     words, position = [], np.zeros(len(units) + 1, np.int64)
     for i, u in enumerate(units):
         position[i] = len(words)
-        w = u.strip().lower()
-        if len(w) > 2 and w.isalpha():
-            words.append(w)
-    position[len(units)] = len(words)
+        if len(u) > 2:
+            w = u.strip().lower()
+            if len(w) > 2 and w.isalpha():
+                words.append(numbers.setdefault(w, len(numbers)))
+    n = position[len(units)] = len(words)
+    left, right = [0] * len(numbers), [0] * len(numbers)
+    product = norm_left = norm_right = b = 0
+    for w in words[:SIDE]:
+        norm_right += 2 * right[w] + 1
+        right[w] += 1
     similar = np.ones(len(at))
-    for k, b in enumerate(position[at]):
-        left, right = Counter(words[max(0, b - SIDE) : b]), Counter(words[b : b + SIDE])
-        shared = sum(n * right[w] for w, n in left.items() if w in right)
-        norm = (sum(n * n for n in left.values()) * sum(n * n for n in right.values())) ** 0.5
-        similar[k] = shared / norm if norm else 0.0
+    for k, target in enumerate(position[at].tolist()):
+        while b < target:
+            w = words[b]
+            norm_right -= 2 * right[w] - 1
+            right[w] -= 1
+            product += right[w] - left[w]
+            norm_left += 2 * left[w] + 1
+            left[w] += 1
+            if b >= SIDE:
+                w = words[b - SIDE]
+                product -= right[w]
+                norm_left -= 2 * left[w] - 1
+                left[w] -= 1
+            if b + SIDE < n:
+                w = words[b + SIDE]
+                product += left[w]
+                norm_right += 2 * right[w] + 1
+                right[w] += 1
+            b += 1
+        norm = (norm_left * norm_right) ** 0.5
+        similar[k] = product / norm if norm else 0.0
     out = np.zeros(len(at))
     for k in range(len(at)):  # as far as it rises on both sides
         i = j = k
@@ -164,11 +189,11 @@ def split_documents(docs: DataFrame, limits: DataFrame, default: str = "readme",
             most, overlap = b["most"].to_pylist(), b["overlap"].to_pylist()
             for lo, hi in slices(texts):
                 _, counts, per_word, words = encoder.encode(texts[lo:hi])
-                ends, out = np.cumsum(words), []
+                ends, units, out = np.cumsum(words), encoder.units, []
                 for k in range(lo, hi):
                     if counts[k - lo] > most[k]:
                         sizes = per_word[ends[k - lo] - words[k - lo] : ends[k - lo]]
-                        pieces = split_text(texts[k], encoder.split(texts[k]), sizes, most[k], overlap[k], encoder)
+                        pieces = split_text(texts[k], units[k - lo], sizes, most[k], overlap[k], encoder)
                         out += [(ids[k], i, s, e, n, o, texts[k][s:e]) for i, (s, e, n, o) in enumerate(pieces)]
                 if out:
                     columns = list(zip(*out, strict=True))
