@@ -182,3 +182,26 @@ def xml_escaped(c: Column) -> Column:
 
 def safe_filename(c: Column) -> Column:
     return F.regexp_replace(c, r'[\\/:*?"<>|#^\[\]]', "_")
+
+
+def body_form(source: Column) -> Column:
+    """A body without comments and white space, so that edits of form do not count; strings are not told apart."""
+    bare = F.regexp_replace(F.regexp_replace(source, r"(?s)/\*.*?\*/", ""), r"(?m)(//|#).*$", "")
+    return F.regexp_replace(bare, r"\s+", "")
+
+
+def body_hash(source: Column) -> Column:
+    return short_hash(body_form(source))
+
+
+def highlighted(label: Column, query: str) -> Column:
+    """The label with the query's words in brackets."""
+    for w in dict.fromkeys(query.split()):
+        quoted = "".join(f"\\x{{{ord(c):x}}}" for c in w)
+        label = F.regexp_replace(label, f"(?i)({quoted})", "[$1]")
+    return label
+
+
+def civil_date(at: Column) -> Column:
+    """yyyy-MM-dd (UTC) of epoch seconds."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(at / 86_400).cast("int")), "yyyy-MM-dd")

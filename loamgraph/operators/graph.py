@@ -262,3 +262,21 @@ def hierarchy_edges(paths: DataFrame) -> DataFrame:
     own = paths.select("source_file").where("source_file != ''").distinct().select(parts.alias("p"))
     steps = own.where("size(p) > 1").select("p", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("n"))
     return steps.select(F.array_join(F.slice("p", F.lit(1), F.col("n")), "/").alias("parent"), F.array_join(F.slice("p", F.lit(1), F.col("n") + 1), "/").alias("child")).distinct()
+
+
+def node_details(nodes: DataFrame, edges: DataFrame, query: str, expand: str = "", top: int = 5) -> DataFrame:
+    """(id, label, score, degree, members): best matches; with ``expand``, the ids at the other end of that relation, best connected first."""
+    best = substring_scores(nodes, query).orderBy(F.col("score").desc(), "id").limit(top)
+    degree = degrees(edges)
+    rows = best.join(degree, "id", "left").select("id", "label", "score", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+    own = edges.where(F.col("relation") == expand).join(best.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("source").alias("id"), F.col("target").alias("m")).distinct()
+    ranked = own.join(degree.select(F.col("id").alias("m"), F.col("degree").alias("d")), "m", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("d", F.lit(0))).alias("d"), "m"))).alias("ms"))
+    return rows.join(ranked, "id", "left").select("id", "label", "score", "degree", F.array_join(F.transform(F.coalesce("ms", F.array().cast("array<struct<d:bigint,m:string>>")), lambda x: x["m"]), ",").alias("members"))
+
+
+def explain(nodes: DataFrame, edges: DataFrame, query: str) -> DataFrame:
+    """(id, neighbour, label, relation, direction) around the best match."""
+    best = [r.id for r in substring_scores(nodes, query).orderBy(F.col("score").desc(), "id").limit(1).collect()]
+    out = edges.where(F.col("source").isin(*best)).select(F.col("source").alias("id"), F.col("target").alias("neighbour"), "relation", F.lit("out").alias("direction"))
+    both = out.unionByName(edges.where(F.col("target").isin(*best)).select(F.col("target").alias("id"), F.col("source").alias("neighbour"), "relation", F.lit("in").alias("direction"))).distinct()
+    return both.join(nodes.select(F.col("id").alias("neighbour"), "label"), "neighbour").select("id", "neighbour", "label", "relation", "direction")

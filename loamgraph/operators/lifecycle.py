@@ -312,3 +312,47 @@ def forget(k: DataFrame, links: DataFrame, title: str = "", kind: str = "", proj
     hit = F.coalesce(hit, F.lit(False))
     gone = k.where(hit).select("uuid")
     return k.where(~hit), links.join(gone.withColumnRenamed("uuid", "knowledge_uuid"), "knowledge_uuid", "left_anti").join(gone.select(F.col("uuid").alias("node_uuid"), F.lit(True).alias("is_knowledge")), ["node_uuid", "is_knowledge"], "left_anti")
+
+
+def knowledge_graph(k: DataFrame, links: DataFrame, start: str | None = None, depth: int = 2) -> DataFrame:
+    """(uuid, title, depth, outgoing, incoming, nodes): entries within ``depth`` links of one, or all, with their links."""
+    from loamgraph.operators.graph import adjacency, levels
+
+    own = links.where("is_knowledge")
+    if start is None:
+        reached = k.select("uuid", F.lit(0).alias("depth"))
+    else:
+        steps = adjacency(own.select(F.col("knowledge_uuid").alias("source"), F.col("node_uuid").alias("target")))
+        reached = levels(steps, k.where(F.col("uuid") == start).select(F.col("uuid").alias("id")), depth).withColumnRenamed("id", "uuid")
+    listed = lambda df, key, other, name: df.groupBy(F.col(key).alias("uuid")).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "relation", other))), "; ").alias(name))
+    out = reached.join(k.select("uuid", "title"), "uuid")
+    for df, key, other, name in ((own, "knowledge_uuid", "node_uuid", "outgoing"), (own, "node_uuid", "knowledge_uuid", "incoming"), (links.where("NOT is_knowledge"), "knowledge_uuid", "node_uuid", "nodes")):
+        out = out.join(listed(df, key, other, name), "uuid", "left")
+    return out.select("uuid", "title", "depth", *(F.coalesce(c, F.lit("")).alias(c) for c in ("outgoing", "incoming", "nodes")))
+
+
+def update(k: DataFrame, uuid: str, now: int, **fields: object) -> DataFrame:
+    """Entries with fields of one changed."""
+    hit = F.col("uuid") == uuid
+    return k.withColumns({c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in fields.items()} | {"updated_at": F.when(hit, F.lit(now).cast("long")).otherwise(F.col("updated_at"))})
+
+
+def link_nodes(links: DataFrame, nodes: DataFrame, uuid: str, node_uuids: Sequence[str], relation: str = "related_to", now: int = 0) -> DataFrame:
+    """Links of an entry to nodes, with what the nodes are now; known ones stay."""
+    own = nodes.where(F.lower(F.trim("uuid")).isin(*node_uuids)).select(F.lit(uuid).alias("knowledge_uuid"), F.lower(F.trim("uuid")).alias("node_uuid"), F.lit(relation).alias("relation"), F.lit(False).alias("is_knowledge"), F.coalesce("body_hash", F.lit("")).alias("linked_body_hash"), F.coalesce("logical_key", F.lit("")).alias("linked_logical_key"), F.lit(now).cast("long").alias("created_at"))
+    fresh = own.join(links.select("knowledge_uuid", "node_uuid", "relation"), ["knowledge_uuid", "node_uuid", "relation"], "left_anti")
+    return links.unionByName(fresh, allowMissingColumns=True)
+
+
+def enqueue(queue: DataFrame, uuid: str, reason: str, priority: int, now: int) -> DataFrame:
+    """The queue with an item, unless one of the entry is pending."""
+    new = queue.sparkSession.createDataFrame([(uuid, reason, now, priority, False)], "knowledge_uuid string, reason string, created_at long, priority int, completed boolean")
+    return queue.unionByName(new.join(queue.where("NOT completed").select("knowledge_uuid"), "knowledge_uuid", "left_anti").select(*new.columns))
+
+
+def pending(queue: DataFrame) -> DataFrame:
+    return queue.where("NOT completed").orderBy(F.col("priority").desc(), "created_at", "knowledge_uuid")
+
+
+def complete(queue: DataFrame, uuid: str) -> DataFrame:
+    return queue.withColumn("completed", F.col("completed") | (F.col("knowledge_uuid") == uuid))

@@ -179,3 +179,35 @@ def reason_in_words(scored: DataFrame) -> DataFrame:
     """Adds why an entry scores as it does."""
     parts = F.array_compact(F.array(F.when(F.col("fetch_count") > 5, F.concat(F.lit("retrieved "), F.col("fetch_count").cast("string"), F.lit("x before"))), F.when(F.col("s_nodes") > 0, "linked to code in scope"), F.when(F.col("s_files") > 0, "mentions touched file"), F.when(F.col("s_applies") > 0, "applies_when match"), F.when(F.col("s_keywords") > 0, "matches query"), F.when(F.col("s_recency") > 0, "recently active").when(F.col("s_recency") < 0, "stale"), F.when(F.col("status") == "needs_review", "needs_review penalty"), F.when(F.abs(F.col("adjustment") * 33) > 0.5, F.format_string("graph reasoning: %+.1f", F.col("adjustment") * 33))))
     return scored.withColumn("reasons", F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise("high confidence"))
+
+
+def token_index(k: DataFrame) -> DataFrame:
+    """(token, uuid): words of title and description, tags and type; to be stored by token where recall is frequent."""
+    words = F.array_union(F.array_union(T.words(F.col("title"), 2), T.words(F.col("description"), 2)), F.array_union(F.transform("tags", F.lower), F.array(F.lower("knowledge_type"))))
+    return k.select(F.explode(F.array_distinct(words)).alias("token"), "uuid")
+
+
+def nodes_of_files(nodes: DataFrame, files: Sequence[str]) -> DataFrame:
+    """(uuid) of the nodes in files whose path holds one of the given names."""
+    hit = F.lit(False)
+    for f in files:
+        hit = hit | F.contains("source_file", F.lit(f.rsplit("/", 1)[-1]))
+    return nodes.where(hit & F.col("uuid").isNotNull()).select(F.lower(F.trim("uuid")).alias("uuid")).distinct()
+
+
+def for_diff(k: DataFrame, links: DataFrame, touched: DataFrame, files: Sequence[str], now: int, most: int = 20) -> DataFrame:
+    """(uuid, total, affected): scores for a change of ``files``, 20 more for entries about touched nodes (uuid)."""
+    hit = seed_entries(links, touched).withColumn("bonus", F.lit(20.0))
+    scored = task_scores(k, links, "", files, touched.select("uuid"), now)
+    return scored.join(hit, "uuid", "left").select("uuid", "title", (F.col("total") + F.coalesce("bonus", F.lit(0.0))).alias("total"), F.col("bonus").isNotNull().alias("affected")).orderBy(F.round("total", 9).desc(), "uuid").limit(most)
+
+
+def task_context(k: DataFrame, links: DataFrame, nodes: DataFrame, conflicts: DataFrame, question: str, files: Sequence[str], task: str, now: int, most: int = 10) -> dict[str, DataFrame]:
+    """What to know for a task: entries, warnings about them, conflicts among them, and advice."""
+    scored = cut(task_scores(k, links, question, files, nodes_of_files(nodes, files), now))
+    best = cut(diverse(scored, most))
+    own = scored.join(best.select("uuid"), "uuid", "left_semi")
+    warnings = own.where("status = 'needs_review' OR confidence < 0.4").select("uuid", F.when(F.col("status") == "needs_review", "needs review").otherwise("low confidence").alias("warning"))
+    ends = conflicts.select("uuid_a", "uuid_b", "conflict_type", F.explode(F.array("uuid_a", "uuid_b")).alias("uuid"))
+    relevant = ends.join(best.select("uuid"), "uuid", "left_semi").select("uuid_a", "uuid_b", "conflict_type").distinct()
+    return {"entries": best, "warnings": warnings, "conflicts": relevant, "recommendations": recommendations(own, task, relevant)}

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Gaps that one call compares by vectors.
+MOST_GAPS = 2000
+
+
 def floats(vec: Column, dim: Column) -> Column:
     """Little-endian float32 bytes as array<double>, for expressions over few rows; null if the length is wrong.
 
@@ -89,3 +93,24 @@ def fuzzy_scores(nodes: DataFrame, query: str) -> DataFrame:
 
     score = 4 * points(F.coalesce("label", F.lit(""))) + points(F.coalesce("source_file", F.lit("")))
     return nodes.select("id", "label", score.alias("score")).where("score > 0")
+
+
+def gap_neighbors(gaps: DataFrame, right: DataFrame, vectors: DataFrame, least: float = 0.65, k: int = 3) -> DataFrame:
+    """(norm, id, cosine, place): right nodes (id) whose vectors (id, v) are nearest to those of gaps (norm, id).
+
+    Gaps are a report's few hundred rows: they are the broadcast side, checked against MOST_GAPS.
+    """
+    from pyspark.sql import Window as W
+
+    few = gaps.select("norm", "id").limit(MOST_GAPS + 1).join(vectors.select("id", F.col("v").alias("a")), "id").select("norm", "a")
+    if few.count() > MOST_GAPS:
+        raise ValueError(f"more than {MOST_GAPS} gaps")
+    own = right.select("id").join(vectors.select("id", F.col("v").alias("b")), "id").where("b IS NOT NULL")
+    scored = own.join(F.broadcast(few), F.size("a") == F.size("b")).select("norm", "id", cosine(F.col("a"), F.col("b")).alias("cosine")).where(F.col("cosine") >= least)
+    place = F.row_number().over(W.partitionBy("norm").orderBy(F.round("cosine", 12).desc(), "id"))
+    return scored.withColumn("place", place).where(F.col("place") <= k)
+
+
+def merged_candidates(by_words: DataFrame, by_vectors: DataFrame) -> DataFrame:
+    """Candidates of both kinds by (norm, id), with either score."""
+    return by_words.select("norm", "id", "jaccard").join(by_vectors.select("norm", "id", "cosine"), ["norm", "id"], "full_outer")
