@@ -6,8 +6,10 @@ but the emptiness of a frontier comes to the driver; each level is cut with a ch
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,11 +138,57 @@ def dfs(edges: DataFrame, seeds: Sequence[str], depth: int, most_edges: int = 20
     return order
 
 
-def components_of(edges: DataFrame, forward: bool = True) -> DataFrame:
+#: Edges up to which what is left after trimming is finished in one task.
+ONE_TASK = 500_000
+
+
+def _strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of the strongly connected components of two nodes or more, by two depth-first walks without recursion."""
+    edges = [(a, b) for batch in batches for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)]
+    there, back = defaultdict(list), defaultdict(list)
+    for a, b in edges:
+        there[a].append(b)
+        back[b].append(a)
+    order, seen = [], set()
+    for start in list(there):
+        if start in seen:
+            continue
+        seen.add(start)
+        stack = [(start, iter(there[start]))]
+        while stack:
+            v, rest = stack[-1]
+            w = next((w for w in rest if w not in seen), None)
+            if w is None:
+                order.append(v)
+                stack.pop()
+            else:
+                seen.add(w)
+                stack.append((w, iter(there.get(w, ()))))
+    ids, names, done = [], [], set()
+    for start in reversed(order):
+        if start in done:
+            continue
+        done.add(start)
+        part, todo = [], [start]
+        while todo:
+            v = todo.pop()
+            part.append(v)
+            for w in back.get(v, ()):
+                if w not in done:
+                    done.add(w)
+                    todo.append(w)
+        if len(part) > 1:
+            ids += part
+            names += [min(part)] * len(part)
+    yield pa.record_batch([pa.array(ids, pa.string()), pa.array(names, pa.string())], names=["id", "component"])
+
+
+def components_of(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component): strongly connected components of two nodes or more, named by their least member.
 
-    Nodes without a way in or out are trimmed again and again. Of the rest, each node takes the least name that reaches it
-    (a colour); what a colour's node reaches backwards within its own colour is its component, and the rest goes round again.
+    Nodes without a way in or out are trimmed again and again. What is left then is finished in one task if it has no
+    more than ``one_task`` edges. Else each node takes the least name that reaches it (a colour); what a colour's node reaches
+    backwards within its own colour is its component, and the rest goes round again.
     """
     steps = cut(edges.where("source != target").select(F.col("source").alias("a"), F.col("target").alias("b")).distinct())
     out = []
@@ -151,10 +199,13 @@ def components_of(edges: DataFrame, forward: bool = True) -> DataFrame:
             kept = cut(steps.join(alive.withColumnRenamed("id", "a"), "a", "left_semi").join(alive.withColumnRenamed("id", "b"), "b", "left_semi"))
             now = kept.count()
             steps, same, left = kept, now == left, now
-            if same:
+            if same or left <= one_task:
                 break
         if not left:
             break
+        if left <= one_task:
+            out.append(cut(steps.coalesce(1).mapInArrow(_strong, "id string, component string")))
+            break
         colours = cut(steps.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("colour", F.col("id")))
         while True:
             came = steps.join(colours.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("colour").alias("new"))

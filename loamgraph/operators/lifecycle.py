@@ -181,7 +181,11 @@ def auto_link_nodes(k: DataFrame, nodes: DataFrame, links: DataFrame, most: int
     starts = labels.where("n > 3").select("id", "node_uuid", "lb", "n", F.explode(F.sequence(F.lit(1), F.col("n") - 3)).alias("i"))
     grams = starts.select("id", "node_uuid", "lb", F.substring("lb", F.col("i"), F.lit(4)).alias("g")).distinct()
     candidates = vocabulary.where("char_length(w) > 3").select("w", F.left("w", F.lit(4)).alias("g")).join(grams, "g").where(F.contains("lb", F.col("w"))).select("w", "id", "node_uuid").distinct()
-    hits = words.join(candidates, "w").select("knowledge_uuid", "id", "node_uuid").distinct().join(links.select("knowledge_uuid", "node_uuid").distinct(), ["knowledge_uuid", "node_uuid"], "left_anti")
+    # Of a word's nodes, an entry needs no more than ``most`` beside those it is linked to already.
+    ranked = candidates.withColumn("r", F.row_number().over(W.partitionBy("w").orderBy("id")))
+    linked = links.groupBy("knowledge_uuid").agg(F.countDistinct("node_uuid").alias("c"))
+    wanted = words.join(linked, "knowledge_uuid", "left").withColumn("c", F.coalesce("c", F.lit(0)) + most)
+    hits = wanted.join(ranked, (wanted.w == ranked.w) & (ranked.r <= wanted.c)).select("knowledge_uuid", "id", "node_uuid").distinct().join(links.select("knowledge_uuid", "node_uuid").distinct(), ["knowledge_uuid", "node_uuid"], "left_anti")
     place = F.row_number().over(W.partitionBy("knowledge_uuid").orderBy("id"))
     return hits.withColumn("place", place).where(F.col("place") <= most).select("knowledge_uuid", "node_uuid", "place")
 

@@ -38,7 +38,8 @@ def test_cycles(spark):
 
 def test_components_of_several_loops(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("z", "y"), ("y", "z"), ("b", "y")])
-    assert {(r.id, r.component) for r in graph.components_of(e).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d"), ("y", "y"), ("z", "y")}
+    for one_task in (0, 100):
+        assert {(r.id, r.component) for r in graph.components_of(e, one_task).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d"), ("y", "y"), ("z", "y")}
 
 
 def test_hub_is_visited_but_not_passed(spark):
