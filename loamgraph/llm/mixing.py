@@ -22,6 +22,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamgraph.operators.prefix import prefix_sums
@@ -151,8 +152,7 @@ def report(mixed: DataFrame, targets: Mapping[str, Target]) -> DataFrame:
     """A row per target: documents, uses, tokens, and the share reached beside the one aimed at."""
     aims = mixed.sparkSession.createDataFrame([(s, t.share, t.repeats) for s, t in sorted(targets.items())], "source string, target_share double, max_repeats int")
     sums = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"), F.sum(F.col("uses") * F.col("tokens")).alias("tokens"))
-    whole = sums.agg(F.sum("tokens").alias("all"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    out = aims.join(sums, "source", "left").crossJoin(F.broadcast(whole))  # one row
-    share: Column = F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0))
+    out = aims.join(sums, "source", "left")
+    share: Column = F.coalesce(F.col("tokens") / F.sum("tokens").over(W.partitionBy(F.lit(1))), F.lit(0.0))  # a row per target
     return out.select("source", "target_share", share.alias("reached_share"), "max_repeats", zero("documents"), zero("uses"), zero("most_uses"), zero("tokens"))
