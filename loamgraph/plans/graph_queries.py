@@ -296,3 +296,13 @@ t AS (SELECT repo, f FROM (SELECT repo, f, count(*) AS n FROM c WHERE f <> '' GR
 m AS (SELECT t.repo, t.f AS target, commit_id, count(*) OVER (PARTITION BY t.repo) AS n FROM t JOIN c ON t.repo = c.repo AND t.f = c.f)
 SELECT m.repo, target, c.f AS file, count(*) AS commits, count(*) / any_value(n) AS weight, any_value(n) AS target_commits FROM m JOIN c ON m.repo = c.repo AND m.commit_id = c.commit_id WHERE c.f <> target AND c.f <> '' GROUP BY ALL""",
 }
+
+#: Columns of doubles, which queries and SQL both give rounded.
+DOUBLES = {
+    "edge_confidence": ["mean_weight", "score"],
+    "cohesion": ["cohesion"],
+    "compare_priority": ["priority"],
+    "compare_semantic": ["jaccard"],
+    "renames": ["score"],
+    "co_changes": ["weight"],
+}

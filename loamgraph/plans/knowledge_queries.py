@@ -375,3 +375,24 @@ SELECT file_path, start_line, end_line, sha256(content) AS content_hash, 'markdo
 }
 SQL["diff_entries"] = SQL["diff_nodes"].replace(" SELECT DISTINCT diff, m.id, m.uuid", ", t AS (SELECT DISTINCT diff, m.id, m.uuid").replace("WITH n AS", with_("l") + ",\nn AS", 1) + ") SELECT DISTINCT diff, knowledge_uuid AS uuid FROM t JOIN l ON t.uuid = l.node_uuid WHERE NOT is_knowledge"
 SQL = {k: v for k, v in SQL.items() if v}
+
+#: Columns of doubles, which queries and SQL both give rounded.
+DOUBLES = {
+    "reason": ["adjustment"],
+    "recall_scores": ["s_confidence", "s_observations", "s_retrievals", "s_nodes", "s_files", "s_scope", "s_applies", "s_keywords", "s_type", "s_recency", "total"],
+    "knowledge_context": ["confidence"],
+    "duplicates": ["similarity"],
+    "similar_to": ["similarity"],
+    "stale": ["staleness", "new_confidence"],
+    "health": ["avg_confidence", "avg_observations"],
+    "auto_link_entries": ["score"],
+    "merged_entries": ["confidence"],
+    "fetch_bump": ["confidence"],
+    "reinforced": ["confidence"],
+}
+
+#: Columns of counts, which the SQL gives wider than the queries.
+COUNTS = {
+    "knowledge_types": ["needs_review"],
+    "health": ["active", "tentative", "needs_review", "obsolete", "validation_overdue", "changed_7d", "changed_30d", "knowledge_links", "orphan_node_links", "orphan_knowledge_links"],
+}

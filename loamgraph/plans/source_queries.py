@@ -106,3 +106,8 @@ SELECT CAST(user_id AS VARCHAR) AS project, epoch_us(min(ts)) AS begun, epoch_us
     "commit_messages": r"WITH d AS (SELECT doc_id, text AS t, lower(text) AS m FROM documents WHERE lower(trim(source)) = 'commit_message' AND text <> '') SELECT uuid, title, knowledge_type FROM (SELECT sha256(CAST(doc_id AS VARCHAR)) AS uuid, split_part(t, chr(10), 1) AS title, CASE WHEN regexp_matches(m, '^(merge|wip|chore)') OR strlen(m) < 15 THEN NULL WHEN regexp_matches(m, 'fix|bug|crash') THEN 'bug_pattern' WHEN regexp_matches(m, 'refactor|cleanup|simplif') THEN 'decision' WHEN regexp_matches(m, 'add') AND regexp_matches(m, 'feature|support') THEN 'architecture' WHEN regexp_matches(m, 'critical|breaking|important') THEN 'lesson' WHEN regexp_matches(m, 'convention|style|format') THEN 'convention' WHEN regexp_matches(m, 'perf|optim|speed') THEN 'performance' END AS knowledge_type FROM d) WHERE knowledge_type IS NOT NULL",
 }
 SQL = {k: v for k, v in SQL.items() if v}
+
+#: Columns of doubles, which queries and SQL both give rounded.
+DOUBLES = {
+    "event_windows": ["value"],
+}
