@@ -119,3 +119,6 @@ SQL = {
     "p1_ranking": _P1 + "SELECT query_id, knowledge_uuid, plus / scale AS positive, minus / scale AS negative, (plus - minus) / scale AS flow FROM f",
     "p1_found": _P1 + "SELECT query_id, knowledge_uuid FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY (plus - minus) / scale DESC, knowledge_uuid) <= 10",
 }
+
+#: Columns of doubles, which queries and SQL both give rounded.
+DOUBLES = {"p1_ranking": ["positive", "negative", "flow"], "p2_pairs": ["similarity"], "p6_pairs": ["weight_a", "weight_b", "lift", "odds_ratio"]}

@@ -41,7 +41,7 @@ _FIELD = re.compile(
     | \([ \t]*
     | ["']?[ \t]*,?[ \t]*\n[ \t]*["']?value["']?[ \t]*[:=][ \t]*
     | ["']?[ \t]+value[ \t]*=[ \t]*
-    | ["']?>\s*(?:<value>\s*)?
+    | ["']?>[ \t]*(?:<value>[ \t]*)?
     | [ \t]+(?:is[ \t]+|was[ \t]+)?(?=["'`])
     )(?:process\.env\.\w+\s*\|\|\s*|String::from\(\s*|[A-Za-z]+\(\s*(?=["'`])|[bBrRfFuU]{{1,2}}\#*(?=["'])|>-?\s*\n\s*|\|-?\s*\n\s*|\(\s*(?=["']))?""",
     re.VERBOSE,
@@ -66,7 +66,7 @@ _BODY = re.compile(r"[A-Za-z0-9+/=]{1,80}\Z|(?:Proc-Type|DEK-Info|Comment|Versio
 _PLACEHOLDER = re.compile(
     r"(?i)change[_\- ]?me|replace[_\- ]?me|redacted|placeholder|example|dummy|your[_\- ]|insert[_\- ]|to[_\- ]?do\b|none\Z|null\Z|undefined\Z|true\Z|false\Z|not[_\- ]?set|(.)\1{5,}|\A[x*.#\-_?]+\Z|\A<.*>\Z|\A\[.*\]\Z"
 )
-_REFERENCE = re.compile(r"\$\{|\$\(|\{\{|%\(|\A\$\w|\A%\w+%\Z|\A@|(?i:\A(?:env|vault|file|secret|secrets|ssm|kms|store|keyring|op|aws|gcp|azure|consul)[:.])|(?i:process\.env|getenv|environ)|\A[A-Za-z]:\\|\A[a-z][a-z0-9+.\-]*://")
+_REFERENCE = re.compile(r"\$\{|\$\(|\{\{|%\(|\A\$\w|\A%\w+%\Z|\A@|(?i:\A(?:env|vault|file|secret|secrets|ssm|kms|store|keyring|op|aws|gcp|azure|consul)[:.])|(?i:process\.env|getenv|environ)|\A[A-Za-z]:\\|\Adata:[a-z]+/|\A(?:sha|md)\d+[:\-]|\A[a-z][a-z0-9+.\-]*://")
 _IDENTIFIER = re.compile(r"\A(?:[A-Za-z]+(?:[_\-. ][A-Za-z]+)*\d{0,2}|[A-Z][A-Za-z0-9]*(?:-[A-Z][A-Za-z0-9]*)+|[a-z]+(?::[a-z0-9]+)+|[a-z_][a-z_]*(?:\.[a-z_][a-z_0-9]*)+|-?[\d.,:_%\- ]+[a-z]{0,2})\Z")
 _UUID = re.compile(r"\A[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 _HASH = re.compile(r"\A(?:(?:sha|md|blake)\d\w*[:\-])?[0-9a-fA-F]+\Z|\A(?:sha|md)\d+[:\-]")

@@ -13,6 +13,7 @@ CLEAN = [
     'etag = "sha256:054fdcaaf94a438feef9853d9b4014d7136bf14d84b25bc3f07018fe075e28fb"', 'key_id = "ce0990e9-6b09-0798-f5ca-730b4859132a"', 'primary_key = "X-Api-Key"', "if client_secret != other.client_secret:", "-----BEGIN CERTIFICATE-----\nfZnlWr5JasDc9YD2xaCESHDpWVz9\n-----END CERTIFICATE-----",
     'icon = "data:image/png;base64,CkJBX0OkVweXDu79ntGJaoBZq9hQNVB/DVp5SfPKa/1bONuXrZ6R3OM9dGvoKL6+QZMCcWI="', "# never log the password", "# rotate auth_token every 27 days", "app.service_token=\nlexeme_bucket=2319", "url = 'https://h.test:4197/journal?page=2&token_type=bearer'", "cache=bearer\nchannel_reactor=8730",
     'api_key = "your_api_key_here"', 'secret_name = "window:v2:hidden"', 'password = "********"', "def get_token(user_password, secret): return fetch_token2(user_password)", "", "x",
+    "app.pwd=<your-pwd>\nmutex_profile=3168\n", "curl -u 'svc:data:image/png;base64,Df/TRzgqaTOdSqFPquTNcyTt/cDo6G7tyenw3JEChZnaL9AOS0XI1PRYHyt0OR2DJhm7qhcE4dXL' https://x.invalid/", "token = 'sha256:054fdcaaf94a438feef9853d9b4014d7136bf14d84b25bc3f07018fe075e28fb'",
 ]
 
 
