@@ -27,8 +27,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def empty(df: DataFrame) -> bool:
-    return df.isEmpty()
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver drop what earlier rounds of a loop left: plans, and by its cleaner their shuffle files on all executors."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def micros(df: DataFrame, name: str) -> Column:
