@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from loamgraph.llm import neighbors as N
 
 SCHEMA = "node_id string, model string, dim int, vec binary, updated_at long, id long, similarity double"
@@ -30,6 +31,32 @@ def test_recall_and_order(spark):
     assert copies == ["n0004", "n0005", "n0006", "n0007", "n0008"]
 
 
+@pytest.mark.parametrize(("shape", "least"), [("gaussian", -1.0), ("dense third", 0.5), ("mixture", 0.9)])
+def test_nothing_is_lost_beyond_the_lists_asked(spark, shape, least):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1600, 24))
+    if shape == "dense third":
+        x[::3] = rng.normal(size=24) * 2 + x[::3] * 0.3
+    if shape == "mixture":
+        x = rng.normal(size=(40, 24))[rng.integers(0, 40, len(x))] + x * 0.4
+    x = x.astype("<f4")
+    rows = [(f"n{i:04}", "m", 24, bytes(v.tobytes()), 1, 1, 0.0) for i, v in enumerate(x)]
+    got = {(r.node_id, r.other) for r in N.neighbors(spark.createDataFrame(rows, SCHEMA), 5, least, list_size=10).collect()}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = y @ y.T
+    np.fill_diagonal(s, -2)
+    assert got == {(f"n{i:04}", f"n{j:04}") for i in range(len(x)) for j in np.argsort(-s[i])[:5] if s[i, j] >= least}
+
+
+def test_groups_and_slices_of_the_rest(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(600, 16)).astype("<f4")
+    df = spark.createDataFrame([(f"n{i:04}", "m", 16, bytes(v.tobytes()), 1, 1, 0.0) for i, v in enumerate(x)], SCHEMA)
+    whole = {(r.node_id, r.other) for r in N.neighbors(df, 3, list_size=600).collect()}
+    monkeypatch.setattr(N, "LEAST_GROUP", 50)
+    monkeypatch.setattr(N, "MEMBERS", 150)
+    assert {(r.node_id, r.other) for r in N.neighbors(df, 3, list_size=6).collect()} == whole
+
+
 def test_long_lists_are_cut(spark, monkeypatch):
     rows, extra, _ = data(400, 2)
     df = spark.createDataFrame(rows + extra, SCHEMA)
