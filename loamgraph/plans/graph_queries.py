@@ -158,9 +158,8 @@ def query_graph(spark: SparkSession, d: str) -> DataFrame:
 
 def dfs_order(spark: SparkSession, d: str) -> DataFrame:
     n, e = _ne(spark, d)
-    small = e.where("relation = 'extends'")
-    seeds = [r.id for r in graph.god_nodes(n, small, 3).collect()]
-    return spark.createDataFrame([(i, v, depth) for i, (v, depth) in enumerate(graph.dfs(small, seeds, 3))], "place int, id string, depth int")
+    seeds = [r.id for r in graph.god_nodes(n, e, 3).collect()]
+    return spark.createDataFrame([(i, v, depth) for i, (v, depth) in enumerate(graph.dfs(e, seeds, 3))], "place int, id string, depth int")
 
 
 def file_hierarchy(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import pytest
 from loamgraph.operators import analyze, community, extract, graph
+from loamgraph.plans import graph_queries
 from loamgraph.sources import relations
 
 NODE = "id string, label string, file_type string, source_file string, source_location string, community long, uuid string, body_hash string"
@@ -80,6 +81,11 @@ def test_communities_hold_together(spark):
     assert len(parts) == 25 and {r.id for r in parts} == {*names, "alone"}
 
 
+def test_dfs_query_walks_all_relations(spark, monkeypatch, calls):
+    monkeypatch.setattr(graph_queries, "_ne", lambda *_: calls)
+    assert [(r.id, r.depth) for r in graph_queries.dfs_order(spark, "").orderBy("place").collect()] == [("b", 0), ("a", 1), ("c", 1), ("d", 1)]
+
+
 def test_parity_gaps(spark):
     n = nodes(spark, [("1", "hurryUp", "left/a.rs"), ("2", "close", "left/a.rs"), ("3", "ignoreGUIDs", "left/a.rs"), ("4", "hurry_up", "right/b.rs"), ("5", "close", "right/b.rs"), ("6", "process_ignore_guids", "right/b.rs"), ("7", "tickIgnoreGuids", "right/c.rs")])
     e = edges(spark, [("1", "3"), ("2", "3")])
