@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 from loamgraph.operators.graph import adjacency, plain_node, with_degrees
 from loamgraph.session import cut
 
-ROUNDS = 12
+#: Half rounds at most, as 50 sweeps.
+ROUNDS = 100
 
 
 def modularity_labels(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -17,7 +20,8 @@ def modularity_labels(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS)
 
     In each round every node looks at the communities of its neighbours and takes the one of the largest gain in
     modularity. That all move at once would make neighbours swap for ever, so of each round only one half of the
-    nodes may move, chosen by a hash of id and round, and ties fall to the least name. Rounds stop when nothing moves.
+    nodes may move, chosen by a hash of id and round, and ties fall to the least name. Rounds stop when no node, of either
+    half, would move; a warning tells when ``rounds`` were not enough for that.
     Degrees and community sums are aggregates, so a hub is a key of a pre-aggregated shuffle, never a task's list.
     """
     weights = edges.where("source != target").select(F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y"), F.coalesce("weight", F.lit(1.0)).alias("w")).groupBy("x", "y").agg(F.sum("w").alias("w"))
@@ -35,11 +39,13 @@ def modularity_labels(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS)
         best = options.groupBy("a").agg(F.max_by(F.struct("c", gain.alias("g")), F.struct(F.round(gain, 9), F.col("c") == F.col("own"), F.xxhash64("c"))).alias("t"), F.max(F.when(F.col("c") == F.col("own"), gain)).alias("stay"))
         may = F.pmod(F.xxhash64(F.lit(n), "id"), F.lit(2)) == 0
         alone = F.coalesce("stay", F.lit(0.0))
-        moved = labels.join(best.withColumnRenamed("a", "id"), "id", "left").select("id", "k", F.when(may & (F.col("t.g") > alone + 1e-9) & (F.col("t.g") > 1e-9), F.col("t.c")).otherwise(F.col("c")).alias("c"), F.col("c").alias("old"))
-        moved = cut(moved)
+        wants = F.coalesce((F.col("t.g") > alone + 1e-9) & (F.col("t.g") > 1e-9) & (F.col("t.c") != F.col("c")), F.lit(False))
+        moved = cut(labels.join(best.withColumnRenamed("a", "id"), "id", "left").select("id", "k", F.when(may & wants, F.col("t.c")).otherwise(F.col("c")).alias("c"), wants.alias("wants")))
         labels = moved.select("id", "k", "c")
-        if n % 2 and moved.where("c != old").isEmpty():
+        if moved.where("wants").isEmpty():
             break
+    else:
+        warnings.warn(f"nodes still move after {rounds} half rounds", stacklevel=2)
     return nodes.select("id").join(labels.select("id", "c"), "id", "left").select("id", F.coalesce("c", "id").alias("community"))
 
 

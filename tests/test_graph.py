@@ -1,3 +1,5 @@
+import warnings
+
 import pytest
 from loamgraph.operators import analyze, community, extract, graph
 from loamgraph.plans import graph_queries
@@ -81,6 +83,19 @@ def test_communities_hold_together(spark):
     assert len(parts) == 25 and {r.id for r in parts} == {*names, "alone"}
 
 
+def test_local_moving_ends_when_no_node_would_move(spark):
+    names = [f"c{i:03}" for i in range(200)]
+    n, e = nodes(spark, [(x,) for x in names]), edges(spark, list(zip(names, names[1:], strict=False)))
+    with pytest.warns(UserWarning, match="still move"):
+        community.modularity_labels(n, e, 2)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        of = {r.id: r.community for r in community.modularity_labels(n, e).collect()}
+    near = {x: [names[j] for j in (i - 1, i + 1) if 0 <= j < 200] for i, x in enumerate(names)}
+    gain = lambda x, c: sum(of[y] == c for y in near[x]) - len(near[x]) * sum(len(near[y]) for y in names if of[y] == c and y != x) / 398
+    assert all(gain(x, of[y]) <= gain(x, of[x]) + 1e-6 for x in names for y in near[x])
+
+
 def test_dfs_query_walks_all_relations(spark, monkeypatch, calls):
     monkeypatch.setattr(graph_queries, "_ne", lambda *_: calls)
     assert [(r.id, r.depth) for r in graph_queries.dfs_order(spark, "").orderBy("place").collect()] == [("b", 0), ("a", 1), ("c", 1), ("d", 1)]
