@@ -225,9 +225,10 @@ def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The first node in each of a file's windows; files are taken as 900 lines long."""
+    """The first node in each of a file's windows; the last window is that of the file's largest line."""
     n = R.nodes(spark, d)
-    spans = n.where("source_file != ''").select(F.col("source_file").alias("file_path")).distinct().select("file_path", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i"))
+    last = n.where("source_file != ''").groupBy(F.col("source_file").alias("file_path")).agg(F.max(T.line_number(F.col("source_location"))).alias("line")).where("line > 0")
+    spans = last.select("file_path", F.explode(F.sequence(F.lit(0), F.floor((F.col("line") - 1) / 45).cast("int"))).alias("i"))
     chunks = spans.select(F.concat_ws(":", "file_path", "i").alias("id"), "file_path", (F.col("i") * 45 + 1).cast("long").alias("start_line"), (F.col("i") * 45 + 50).cast("long").alias("end_line"))
     return chunking.first_nodes(chunks, n)
 

@@ -1,5 +1,6 @@
 import pytest
 from loamgraph.operators import chunking, diffing, identity, lifecycle, prefix, recall, search
+from loamgraph.plans import knowledge_queries
 from pyspark.sql import functions as F
 
 NOW = 1_775_000_000
@@ -163,3 +164,9 @@ def test_recommendations_and_review(spark):
     assert [(r.knowledge_uuid, r.priority) for r in lifecycle.review_queue(old, l, n, NOW).collect()] == [("s", 7)]
     pending = spark.createDataFrame([("s", False)], "knowledge_uuid string, completed boolean")
     assert lifecycle.review_queue(old, l, n, NOW, pending).count() == 0
+
+
+def test_chunk_nodes_of_long_files(spark, monkeypatch):
+    rows = [("a", "f.py", "L3"), ("b", "f.py", "L1203"), ("c", "g.py", "L50"), ("d", "g.py", None), ("e", "h.py", None)]
+    monkeypatch.setattr(knowledge_queries.R, "nodes", lambda *_: spark.createDataFrame(rows, "id string, source_file string, source_location string"))
+    assert {tuple(r) for r in knowledge_queries.chunk_nodes(spark, "").collect()} == {("f.py:0", "a"), ("f.py:26", "b"), ("g.py:0", "c"), ("g.py:1", "c")}
