@@ -118,7 +118,7 @@ class _Block:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         first, groups = FREQUENT // 64, len(self.least)
         # Of the frequent tokens the overlap is counted for all groups, the hashed ones may all be shared; then for what is left.
-        rest = (n - np.bitwise_count(bits[:, :first]).sum(1, dtype=np.int64)).astype(np.int16)
+        rest = (n - np.bitwise_count(bits[:, :first]).sum(1, dtype=np.int64)).astype(np.int32)
         kind = np.uint8 if len(n) and n.max() < 256 else np.uint16
         columns = [np.ascontiguousarray(self.union[:, w]) for w in range(first)]
         step = max(1, 65_536 // groups)  # buffers that stay in the processor's cache

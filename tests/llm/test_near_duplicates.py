@@ -58,3 +58,9 @@ def test_groups(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert N.similar_pairs(df, "uuid", ["title", "description"]).count() == 0
+
+
+def test_very_long_texts_are_compared(spark):
+    rows = [(u, None, " ".join(f"y{i}" for i in range(n)), 1, 1, "k", "t") for u, n in (("a", 40_000), ("b", 39_000))]
+    found = N.similar_pairs(spark.createDataFrame(rows, SCHEMA), "uuid", ["title", "description"], 0.6, 12, "updated_at").collect()
+    assert [(r.key_a, r.key_b, r.similarity) for r in found] == [("a", "b", 0.975)]
