@@ -143,21 +143,21 @@ def neighbors(links: DataFrame, uuid: str) -> DataFrame:
     return out.unionByName(own.where(F.col("node_uuid") == uuid).select(F.col("knowledge_uuid").alias("uuid"), "relation", F.lit("in").alias("direction")))
 
 
-def thought_chain(k: DataFrame, links: DataFrame, uuid: str, most: int = 200) -> DataFrame:
+def thought_chain(k: DataFrame, links: DataFrame, uuid: str) -> DataFrame:
     """(step, uuid, title, relation_to_next) of the chain through an entry: back along first links to its root, then along last ones.
 
-    Links are ordered by time and key. Each step is a point lookup; a chain has no more than ``most`` steps.
+    Links are ordered by time and key. Each step is a point lookup; a chain ends where it has no link or comes to an entry again.
     """
     own = links.where("is_knowledge").where(F.col("relation").isin(*CHAIN))
     order = F.struct(F.coalesce("created_at", F.lit(0)), "knowledge_uuid", "node_uuid", "relation")
     forward = cut(own.groupBy("knowledge_uuid").agg(F.max_by(F.struct("node_uuid", "relation"), order).alias("n")))
     backward = cut(own.groupBy("node_uuid").agg(F.min_by("knowledge_uuid", order).alias("p")))
     root, seen = uuid, {uuid}
-    while len(seen) < most and (r := backward.where(F.col("node_uuid") == root).first()) and r.p not in seen:
+    while (r := backward.where(F.col("node_uuid") == root).first()) and r.p not in seen:
         root = r.p
         seen.add(root)
     chain, at, seen = [], root, set()
-    while at and at not in seen and len(seen) < most:
+    while at and at not in seen:
         seen.add(at)
         r = forward.where(F.col("knowledge_uuid") == at).first()
         chain.append((len(chain), at, r.n.relation if r else None))

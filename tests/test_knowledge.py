@@ -105,6 +105,12 @@ def test_thought_chain(spark):
         assert [(r.uuid, r.relation_to_next) for r in lifecycle.thought_chain(k, l, start).orderBy("step").collect()] == [("a", "leads_to"), ("b", "because"), ("c", None)]
 
 
+def test_long_thought_chain_keeps_its_tail(spark):
+    names = [f"t{i:03}" for i in range(206)]
+    l = links(spark, *((a, b, "leads_to", True) for a, b in zip(names, names[1:], strict=False)))  # noqa: E741
+    assert [r.uuid for r in lifecycle.thought_chain(know(spark, entry("t000")), l, "t003").orderBy("step").collect()] == names
+
+
 def test_diff(spark):
     text = "--- a/auth.py\n+++ b/auth.py\n@@ -10,3 +10,5 @@\n+x\n@@ -1 +1,3 @@\n"
     h = diffing.hunks(diffing.diffs_of(spark, [text])).orderBy("start_line")
