@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -71,17 +72,18 @@ def co_changes(commit_files: DataFrame, targets: DataFrame | None = None) -> Dat
     return both.join(totals, ["repo", "target"]).select("repo", "target", "file", "commits", (F.col("commits") / F.greatest("target_commits", F.lit(1))).alias("weight"), "target_commits")
 
 
-def class_ancestors(edges: DataFrame, most: int = 32) -> DataFrame:
+def class_ancestors(edges: DataFrame) -> DataFrame:
     """(class, ancestor, distance) along extends; the class itself at 0."""
     up = edges.where("relation = 'extends'").select(F.col("source").alias("c"), F.col("target").alias("p")).distinct()
     found = cut(up.select(F.explode(F.array("c", "p")).alias("class")).distinct().select("class", F.col("class").alias("ancestor"), F.lit(0).alias("distance")))
     frontier = found
-    for n in range(1, most + 1):
+    for n in count(1):
         nxt = frontier.join(up, F.col("ancestor") == F.col("c")).select("class", F.col("p").alias("ancestor"), F.lit(n).alias("distance")).distinct().join(found, ["class", "ancestor"], "left_anti")
         frontier = cut(nxt)
         if frontier.isEmpty():
             break
-        found = found.unionByName(frontier)
+        # Deep hierarchies must not leave a plan of a part per level.
+        found = found.unionByName(frontier) if n % 16 else cut(found.unionByName(frontier))
     return found
 
 

@@ -96,6 +96,12 @@ def test_local_moving_ends_when_no_node_would_move(spark):
     assert all(gain(x, of[y]) <= gain(x, of[x]) + 1e-6 for x in names for y in near[x])
 
 
+def test_ancestors_of_any_distance(spark):
+    e = edges(spark, [(f"k{i}", f"k{i + 1}", "extends") for i in range(36)] + [("k36", "k35", "extends")])
+    found = {(r["class"], r.ancestor): r.distance for r in analyze.class_ancestors(e).collect()}
+    assert found["k0", "k36"] == 36 and len(found) == 37 * 38 // 2 + 1
+
+
 def test_dfs_query_walks_all_relations(spark, monkeypatch, calls):
     monkeypatch.setattr(graph_queries, "_ne", lambda *_: calls)
     assert [(r.id, r.depth) for r in graph_queries.dfs_order(spark, "").orderBy("place").collect()] == [("b", 0), ("a", 1), ("c", 1), ("d", 1)]
