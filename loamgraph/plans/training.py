@@ -58,8 +58,8 @@ _P7 = f"""WITH refs AS (
   UNION ALL SELECT 'links', 'node_uuid', {_FOLD.format('node_uuid')}, if({_FOLD.format("coalesce(target_type, '')")} = 'knowledge', 'knowledge', 'node uuid'), make_timestamp(created_at * 1000000) FROM (SELECT DISTINCT knowledge_uuid, node_uuid, relation, target_type, created_at FROM links)),
 deleted AS (SELECT DISTINCT 'node id' AS entity, {_NORM.format('node_id')} AS k FROM forgotten WHERE entity = 'node'
   UNION SELECT if(entity = 'node', 'node uuid', 'knowledge'), {_FOLD.format('item_uuid')} FROM forgotten),
-known AS (SELECT entity, k, min(at) AS first_at FROM (
-  SELECT 'node id' AS entity, {_NORM.format('id')} AS k, seen_at AS at FROM nodes UNION ALL SELECT 'node uuid', {_FOLD.format('uuid')}, seen_at FROM nodes
+known AS (SELECT entity, k, min(known_at) AS first_at FROM (
+  SELECT 'node id' AS entity, {_NORM.format('id')} AS k, seen_at AS known_at FROM nodes UNION ALL SELECT 'node uuid', {_FOLD.format('uuid')}, seen_at FROM nodes
   UNION ALL SELECT 'node id', {_NORM.format('id')}, seen_at FROM shared_nodes UNION ALL SELECT 'node uuid', {_FOLD.format('uuid')}, seen_at FROM shared_nodes
   UNION ALL SELECT 'knowledge', {_FOLD.format('uuid')}, make_timestamp(created_at * 1000000) FROM knowledge) GROUP BY entity, k),
 judged AS (
