@@ -11,7 +11,7 @@ What crosses to the driver is a row per pattern and per target, never documents.
 ordered in bins of the seeded hash, so no task sorts a whole source.
 
 Nulls, ties and odd input: documents without a source of the targets, without id or without tokens are left out;
-repeated rows of an id count once; a source with share 0 or without documents takes nothing, and then the total counts
+repeated rows of an id count once, with the sources of all of them and the least number of tokens; a source with share 0 or without documents takes nothing, and then the total counts
 without its share; equal hashes are ordered by id; an empty table gives no documents and a report of zeros; other columns are
 not read.
 """
@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from loamgraph.session import cut
 BINS = 1024
 #: Patterns the driver takes; more is an error, not a cut.
 MOST_PATTERNS = 100_000
+#: Patterns times sources, which the driver holds as two matrices of 8 bytes a cell; more is an error.
+MOST_CELLS = 10_000_000
 
 
 @dataclass(frozen=True)
@@ -39,75 +42,129 @@ class Target:
     repeats: int
 
 
-class Network:
-    """Successive shortest augmenting paths; arcs come in pairs, an arc and its reverse."""
-
-    def __init__(self, nodes: int) -> None:
-        self.out: list[list[int]] = [[] for _ in range(nodes)]
-        self.to: list[int] = []
-        self.room: list[int] = []
-        self.cost: list[int] = []
-
-    def add(self, a: int, b: int, room: int, cost: int = 0) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            self.out[x].append(len(self.to))
-            self.to.append(y)
-            self.room.append(r)
-            self.cost.append(c)
-        return len(self.to) - 2
-
-    def flow(self, source: int, sink: int) -> int:
-        total = 0
+class Routing:
+    """A flow of tokens from patterns to sources, as a matrix; paths through many patterns are augmented at once.
+
+    Only the first arc of a path costs something (the repetition it opens), so the cheapest flow opens one repetition
+    after the other and each time sends what it can. A path leads from a pattern with tokens left to a source, and on
+    by moving tokens of shared patterns from one source to the next, to a source below its quota. For a move between
+    two sources all their patterns count together, so there are as many paths as sources ask for, not as patterns do.
+    """
+
+    def __init__(self, patterns: Mapping[tuple[str, ...], int], targets: Mapping[str, Target]) -> None:
+        self.names, self.keys = sorted(targets), sorted(patterns)
+        at = {s: i for i, s in enumerate(self.names)}
+        if len(self.keys) * len(self.names) > MOST_CELLS:
+            raise ValueError(f"more than {MOST_CELLS} sets of sources times sources")
+        self.n = np.array([patterns[p] for p in self.keys], np.int64)
+        repeats = np.array([targets[s].repeats for s in self.names], np.int64)
+        self.limit = np.zeros((len(self.names), len(self.keys)), np.int64)  # a row per source
+        for i, p in enumerate(self.keys):
+            for s in p:
+                self.limit[at[s], i] = self.n[i] * targets[s].repeats
+        self.most = (self.limit > 0).T.astype(np.int64) * repeats
+        self.most = self.most.max(1) if len(self.names) else np.zeros(len(self.keys), np.int64)
+        self.shares = [targets[s].share for s in self.names]
+        self.start()
+
+    def start(self) -> None:
+        self.flow, self.used = np.zeros_like(self.limit), np.zeros_like(self.n)
+
+    def quotas(self, total: int) -> np.ndarray:
+        return np.array([int(w * total) for w in self.shares], np.int64)
+
+    def _levels(self, left: np.ndarray) -> tuple[list[int], list[int]]:
+        """Of each source its distance from patterns with tokens left, and the source before it on a shortest path (-1 none)."""
+        far, before = [-1] * len(self.names), [-1] * len(self.names)
+        free = left > 0
+        queue = [s for s in range(len(far)) if (free & (self.flow[s] < self.limit[s])).any()]
+        for s in queue:
+            far[s] = 0
+        for s in queue:  # grows while it is read
+            held = self.flow[s] > 0
+            for t in range(len(far)):
+                if far[t] < 0 and (held & (self.flow[t] < self.limit[t])).any():
+                    far[t], before[t] = far[s] + 1, s
+                    queue.append(t)
+        return far, before
+
+    @staticmethod
+    def _take(rooms: np.ndarray, amount: int) -> np.ndarray:
+        """``amount`` out of the rooms, in their order."""
+        ends = np.cumsum(rooms)
+        return np.clip(amount - (ends - rooms), 0, rooms)
+
+    def send(self, quota: np.ndarray, repetition: int) -> np.ndarray:
+        """Fills the quotas as far as this many uses of each pattern allow; what the sources have then."""
+        cap = self.n * np.minimum(self.most, repetition)
+        have = self.flow.sum(1)
         while True:
-            far, via, queue = {source: 0}, {}, [source]
-            while queue:
-                more = []
-                for a in queue:
-                    for e in self.out[a]:
-                        if self.room[e] > 0 and far[a] + self.cost[e] < far.get(self.to[e], 1 << 60):
-                            far[self.to[e]], via[self.to[e]] = far[a] + self.cost[e], e
-                            more.append(self.to[e])
-                queue = list(dict.fromkeys(more))
-            if sink not in via:
-                return total
-            path, at = [], sink
-            while at != source:
-                path.append(via[at])
-                at = self.to[via[at] ^ 1]
-            room = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= room
-                self.room[e ^ 1] += room
-            total += room
+            far, before = self._levels(cap - self.used)
+            short = [s for s in range(len(far)) if far[s] >= 0 and have[s] < quota[s]]
+            if not short:
+                return have
+            for s in sorted(short, key=lambda t: far[t]):
+                path = [s]
+                while before[path[-1]] >= 0:
+                    path.append(before[path[-1]])
+                path.reverse()
+                # What each arc of the path can carry: from the patterns to its first source, then from source to source.
+                first = np.minimum(cap - self.used, self.limit[path[0]] - self.flow[path[0]])
+                moves = [np.minimum(self.flow[a], self.limit[b] - self.flow[b]) for a, b in zip(path, path[1:])]  # noqa: B905
+                amount = int(min(quota[s] - have[s], first.sum(), *(m.sum() for m in moves)))
+                if amount <= 0:
+                    continue
+                # From the end to the beginning, so that no move takes what another has just brought.
+                for (a, b), rooms in reversed(list(zip(zip(path, path[1:]), moves, strict=True))):  # noqa: B905
+                    moved = self._take(rooms, amount)
+                    self.flow[a] -= moved
+                    self.flow[b] += moved
+                brought = self._take(first, amount)
+                self.flow[path[0]] += brought
+                self.used += brought
+                have[s] += amount
+
+    def unreached(self, repetition: int) -> list[int]:
+        far, _ = self._levels(self.n * np.minimum(self.most, repetition) - self.used)
+        return [s for s in range(len(far)) if far[s] < 0]
 
 
 def route(patterns: Mapping[tuple[str, ...], int], targets: Mapping[str, Target], total: int) -> tuple[dict[tuple[str, ...], dict[str, int]], int]:
-    """Tokens each source takes of each pattern for quotas share x total, and their sum."""
-    names, keys = sorted(targets), sorted(patterns)
-    net = Network(2 + len(keys) + len(names))
-    at = {s: 2 + len(keys) + i for i, s in enumerate(names)}
-    arcs = {}
-    for i, p in enumerate(keys):
-        for k in range(max(targets[s].repeats for s in p)):
-            net.add(0, 2 + i, patterns[p], k)
-        for s in p:
-            arcs[p, s] = net.add(2 + i, at[s], patterns[p] * targets[s].repeats)
-    for s in names:
-        net.add(at[s], 1, int(targets[s].share * total))
-    sent = net.flow(0, 1)
-    return {p: {s: net.room[arcs[p, s] ^ 1] for s in p} for p in keys}, sent
+    """Tokens each source takes of each pattern for quotas share x total at the least repetition, and their sum."""
+    r = Routing(patterns, targets)
+    quota = r.quotas(total)
+    for repetition in range(1, int(r.most.max(initial=0)) + 1):
+        if (r.send(quota, repetition) >= quota).all():
+            break
+    at = {s: i for i, s in enumerate(r.names)}
+    return {p: {s: int(r.flow[at[s], i]) for s in p} for i, p in enumerate(r.keys)}, int(r.flow.sum())
 
 
 def largest_total(patterns: Mapping[tuple[str, ...], int], targets: Mapping[str, Target]) -> int:
-    """The largest total of which every source can take its share."""
-    low, high = 0, max(1, sum(n * max(targets[s].repeats for s in p) for p, n in patterns.items()) * 2)
-    while low < high:
-        middle = (low + high + 1) // 2
-        if route(patterns, targets, middle)[1] == sum(int(t.share * middle) for t in targets.values()):
-            low = middle
-        else:
-            high = middle - 1
-    return low
+    """The largest total of which every source can take its share.
+
+    Begins above it; each time the flow falls short, the sources that no path reaches are a cut: they have all they can
+    get, which bounds the total, and the next flow starts from there. A cut comes once only, and few come.
+    """
+    r = Routing(patterns, targets)
+    most = int(r.most.max(initial=0))
+    total = int((r.n * r.most).sum()) + len(r.names)
+    while total > 0:
+        r.start()
+        quota = r.quotas(total)
+        have = r.send(quota, most)
+        if (have >= quota).all():
+            return total
+        cut_ = r.unreached(most)
+        bound, low, high = int(have[cut_].sum()), 0, total - 1
+        while low < high:
+            middle = (low + high + 1) // 2
+            if sum(int(r.shares[s] * middle) for s in cut_) <= bound:
+                low = middle
+            else:
+                high = middle - 1
+        total = low
+    return 0
 
 
 def read_targets(rows: Sequence[tuple[str, float, int]]) -> dict[str, Target]:
@@ -120,8 +177,10 @@ def mix(docs: DataFrame, targets: Mapping[str, Target], seed: int = 0, total: in
     """(id, source, uses, tokens) of the documents taken; docs has id, tokens and members (array of sources)."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["id"]
-    own = docs.select("id", "tokens", F.array_sort(F.array_distinct(F.filter("members", lambda m: m.isin(*targets) if targets else F.lit(False)))).alias("p")).where("id IS NOT NULL AND tokens > 0 AND size(p) > 0")
-    own = cut(own.groupBy("id").agg(F.min(F.struct("tokens", "p")).alias("r")).select("id", "r.tokens", "r.p"))
+    own = docs.select("id", "tokens", F.filter("members", lambda m: m.isin(*targets) if targets else F.lit(False)).alias("p")).where("id IS NOT NULL AND tokens > 0 AND size(p) > 0")
+    # Of a repeated id no more than a row per source comes out of a task.
+    own = own.select("id", "tokens", F.explode("p").alias("s")).groupBy("id").agg(F.min("tokens").alias("tokens"), F.collect_set("s").alias("p"))
+    own = cut(own.select("id", "tokens", F.array_sort("p").alias("p")))
     found = own.groupBy("p").agg(F.sum("tokens").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} sets of sources")
@@ -145,7 +204,9 @@ def mix(docs: DataFrame, targets: Mapping[str, Target], seed: int = 0, total: in
     # A use of a document starts at `at` plus a multiple of n; of those from lo to hi there are:
     first = lambda x: F.ceil((F.col(x) - F.col("at")) / F.col("n"))
     uses = (F.greatest(first("hi"), F.lit(0)) - F.greatest(first("lo"), F.lit(0))).cast("long")
-    return placed.join(F.broadcast(stretches), "p").withColumn("uses", uses).where("uses > 0").select("id", "source", "uses", "tokens")
+    # At most MOST_CELLS rows, a row per pattern and source that takes of it; only small ones are broadcast.
+    stretches = F.broadcast(stretches) if len(rows) <= 100_000 else stretches
+    return placed.join(stretches, "p").withColumn("uses", uses).where("uses > 0").select("id", "source", "uses", "tokens")
 
 
 def report(mixed: DataFrame, targets: Mapping[str, Target]) -> DataFrame:

@@ -65,15 +65,30 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
-def _p9(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, mixing.Target]]:
+def _targets(spark: SparkSession, d: str) -> dict[str, mixing.Target]:
     # A small table given by hand: a row per source.
     rows = table(spark, d, "mix_targets").select(folded(F.col("source")).alias("s"), "target_share", "max_repeats").collect()
-    targets = mixing.read_targets([tuple(r) for r in rows])
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), folded(F.col("source")).alias("source"), "text").where("source IS NOT NULL AND text != ''")
-    counted = bpe.count_tokens(docs, "text").withColumn("members", F.array("source"))
+    return mixing.read_targets([tuple(r) for r in rows])
+
+
+def _p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), folded(F.col("source")).alias("source"), "text").where("source IS NOT NULL AND text != ''")
+
+
+def _p9(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, mixing.Target]]:
+    counted = bpe.count_tokens(_p9_documents(spark, d), "text").withColumn("members", F.array("source"))
+    targets = _targets(spark, d)
     return mixing.mix(counted, targets), targets
 
 
+def p9_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Each text once, under its least doc_id, as a member of all sources that hold a copy of it."""
+    docs = _p9_documents(spark, d).select("id", "source", "text", F.xxhash64("text").alias("a"), F.xxhash64(F.reverse("text")).alias("b"))
+    texts = docs.groupBy("a", "b").agg(F.min("id").alias("id"), F.collect_set("source").alias("members"))
+    counted = bpe.count_tokens(docs.select("id", "text").join(texts.select("id", "members"), "id"), "text")
+    return mixing.mix(counted, _targets(spark, d)).withColumnRenamed("id", "doc_id")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return _p9(spark, d)[0].withColumnRenamed("id", "doc_id")
 
@@ -86,7 +101,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_documents(table(spark, d, "documents"), table(spark, d, "split_limits"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_overlaps": p9_overlaps, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 
 _P1 = """WITH c AS (SELECT query_id, knowledge_uuid, min(scored_at), any_value(confidence) AS a, any_value(recency) AS b, any_value(keyword_match) AS k, any_value(retrievals) AS r
   FROM score_breakdown GROUP BY ALL),

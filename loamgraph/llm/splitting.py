@@ -9,13 +9,15 @@ at the last one before, then at a word, and inside a word only where the word al
 
 Nulls, ties and odd input: null, empty and short enough texts give no pieces; equally deep valleys are decided by
 the kind of boundary, then the later one; overlap is at most half of the size; a text without
-boundaries of any kind is cut between characters; repeated rows of an id count once; an empty table gives no rows; other
+boundaries of any kind is cut between characters; of repeated rows of an id the earliest
+(least loaded_at, where there is one) counts; an empty table gives no rows; other
 columns are not read. Texts are taken whole, however long.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -89,38 +91,50 @@ def depths(units: list[str], at: np.ndarray) -> np.ndarray:
             b += 1
         norm = (norm_left * norm_right) ** 0.5
         similar[k] = product / norm if norm else 0.0
-    out = np.zeros(len(at))
-    for k in range(len(at)):  # as far as it rises on both sides
-        i = j = k
-        while i > 0 and similar[i - 1] >= similar[i]:
-            i -= 1
-        while j + 1 < len(at) and similar[j + 1] >= similar[j]:
-            j += 1
-        out[k] = similar[i] + similar[j] - 2 * similar[k]
-    return out
-
-
-def cuts(units: list[str], sizes: np.ndarray, most: int, overlap: int) -> list[tuple[int, int]]:
-    """Ranges of units of the pieces; every unit has at most ``most`` - ``overlap`` tokens."""
-    before = np.concatenate([[0], np.cumsum(sizes)])
-    kind = boundaries(units)
-    natural = np.nonzero(kind)[0]
-    depth = depths(units, natural)
+    # From a boundary the similarity is followed as far as it rises, to the left and to the right: each passes its height on.
+    values = similar.tolist()
+    rise_left, rise_right = values[:], values[:]
+    for k in range(1, len(values)):
+        if values[k - 1] >= values[k]:
+            rise_left[k] = rise_left[k - 1]
+    for k in range(len(values) - 2, -1, -1):
+        if values[k + 1] >= values[k]:
+            rise_right[k] = rise_right[k + 1]
+    return np.asarray(rise_left) + np.asarray(rise_right) - 2 * similar
+
+
+@dataclass(frozen=True)
+class Places:
+    """The natural boundaries of a text's units: where they are, of what kind and how deep."""
+
+    kind: np.ndarray
+    natural: np.ndarray
+    depth: np.ndarray
+
+    @classmethod
+    def of(cls, units: list[str]) -> Places:
+        kind = boundaries(units)
+        natural = np.nonzero(kind)[0]
+        return cls(kind, natural, np.round(depths(units, natural), 6))
+
+
+def cuts(units: list[str], before: np.ndarray, places: Places, most: int, overlap: int) -> list[tuple[int, int]]:
+    """Ranges of units of the pieces; every unit has at most ``most`` - ``overlap`` tokens, ``before`` are their sums."""
+    kind, natural, depth = places.kind, places.natural, places.depth
     out, start, end = [], 0, 0
     while True:
         if before[-1] - before[start] <= most:
             return [*out, (start, len(units))]
         last = int(np.searchsorted(before, before[start] + most, "right")) - 1  # the latest end that fits
         lo = int(np.searchsorted(before, before[start] + most * ROOM, "left"))
-        own = natural[(natural >= max(lo, end + 1)) & (natural <= last)]
-        if len(own):
-            d = depth[np.searchsorted(natural, own)]
-            best = max(range(len(own)), key=lambda k: (round(float(d[k]), 6), kind[own[k]], own[k]))
-            stop = int(own[best])
+        a, b = np.searchsorted(natural, [max(lo, end + 1), last + 1])
+        if b > a:
+            own = natural[a:b]
+            stop = int(own[np.lexsort((own, kind[own], depth[a:b]))[-1]])
         else:
-            own = natural[(natural > end) & (natural <= last)]
-            stop = int(own[-1]) if len(own) else last
-            if not len(own):  # not before blanks, if there are words
+            none = b == 0 or natural[b - 1] <= end
+            stop = last if none else int(natural[b - 1])
+            if none:  # not before blanks, if there are words
                 while stop > end + 1 and stop < len(units) and units[stop].isspace():
                     stop -= 1
         stop = max(stop, end + 1)
@@ -147,9 +161,9 @@ def split_text(text: str, units: list[str], sizes: np.ndarray, most: int, overla
             units = [c for u, n in zip(units, sizes, strict=True) for c in (list(u) if n > max(1, most - overlap) else [u])]
             sizes = encoder.encode(units)[1]
     where = np.concatenate([[0], np.cumsum([len(u) for u in units])])
-    before = np.concatenate([[0], np.cumsum(sizes)])
+    before, places = np.concatenate([[0], np.cumsum(sizes)]), Places.of(units)
     while True:
-        ranges = cuts(units, sizes, room, min(overlap, room // 2))
+        ranges = cuts(units, before, places, room, min(overlap, room // 2))
         counts = before[[b for _, b in ranges]] - before[[a for a, _ in ranges]]
         if long.any():  # parts of words can merge in other ways
             counts = encoder.encode([text[where[a] : where[b]] for a, b in ranges])[1]
@@ -179,8 +193,11 @@ def split_documents(docs: DataFrame, limits: DataFrame, default: str = "readme",
     own = F.create_map(*(F.lit(x) for s, v in given.items() for x in (s, v[0])))
     lap = F.create_map(*(F.lit(x) for s, v in given.items() for x in (s, v[1])))
     name = F.when(folded(F.col("source")).isin(*given), folded(F.col("source"))).otherwise(F.lit(default if default in given else min(given)))
+    # Of an id its earliest row counts, then the least text: a row of long texts is sent once, after partial minima.
+    first = F.min(F.struct(*(c for c in ("loaded_at",) if c in docs.columns), "text", "source"))
+    rows = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(first.alias("r")).select("doc_id", "r.text", "r.source")
     # A token has a byte at least, so shorter texts need no encoding.
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.element_at(own, name).alias("most"), F.element_at(lap, name).alias("overlap")).where(F.octet_length("text") > F.col("most")).dropDuplicates(["doc_id"])
+    rows = rows.select("doc_id", "text", F.element_at(own, name).alias("most"), F.element_at(lap, name).alias("overlap")).where(F.octet_length("text") > F.col("most"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)

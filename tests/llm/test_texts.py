@@ -1,5 +1,7 @@
 import base64
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -89,7 +91,114 @@ def test_mix_overlapping_and_missing(spark):
     assert empty.count() == 0 and {r.tokens for r in mixing.report(empty, targets).collect()} == {0}
 
 
+def cheapest(patterns, targets, total):
+    """Flow and cost by augmenting one path after the other, with arcs for each repetition."""
+    names, keys = sorted(targets), sorted(patterns)
+    room, cost = {}, {}
+
+    def arc(a, b, r, c=0):
+        room[a, b], cost[a, b] = room.get((a, b), 0) + r, c
+        room.setdefault((b, a), 0)
+        cost[b, a] = -c
+
+    for p in keys:
+        for k in range(max(targets[s].repeats for s in p)):
+            arc("in", (p, k), patterns[p], k)
+            arc((p, k), p, patterns[p])
+        for s in p:
+            arc(p, s, patterns[p] * targets[s].repeats)
+    for s in names:
+        arc(s, "out", int(targets[s].share * total))
+    sent = paid = 0
+    while True:
+        far, via = {"in": 0}, {}
+        for _ in range(3 * len(room)):
+            more = [(a, b) for (a, b), r in room.items() if r > 0 and a in far and far[a] + cost[a, b] < far.get(b, 1 << 60)]
+            if not more:
+                break
+            for a, b in more:
+                if far[a] + cost[a, b] < far.get(b, 1 << 60):
+                    far[b], via[b] = far[a] + cost[a, b], a
+        if "out" not in far:
+            return sent, paid
+        path = ["out"]
+        while path[-1] != "in":
+            path.append(via[path[-1]])
+        path.reverse()
+        amount = min(room[e] for e in zip(path, path[1:]))
+        for a, b in zip(path, path[1:]):
+            room[a, b] -= amount
+            room[b, a] += amount
+        sent, paid = sent + amount, paid + amount * far["out"]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_route_is_the_cheapest_largest_flow(seed):
+    rnd = random.Random(seed)
+    names = "abcd"[: rnd.randint(1, 4)]
+    patterns = {tuple(sorted(rnd.sample(names, rnd.randint(1, len(names))))): rnd.randint(1, 40) for _ in range(6)}
+    targets = mixing.read_targets([(s, rnd.random() + 0.05, rnd.randint(1, 4)) for s in names])
+    most = mixing.largest_total(patterns, targets)
+    for total in (most, most // 2, most * 2, most + 3):
+        flow, sent = mixing.route(patterns, targets, total)
+        used = {p: sum(x.values()) for p, x in flow.items()}
+        paid = sum(k * min(max(0, used[p] - k * n), n) for p, n in patterns.items() for k in range(5))
+        assert (sent, paid) == cheapest(patterns, targets, total)
+        assert all(flow[p][s] <= n * targets[s].repeats for p, n in patterns.items() for s in p)
+    asked = lambda total: sum(int(t.share * total) for t in targets.values())
+    assert cheapest(patterns, targets, most)[0] == asked(most)
+    assert any(cheapest(patterns, targets, most + k)[0] < asked(most + k) for k in range(1, 30))
+
+
+def test_many_patterns_route_in_seconds():
+    rnd = random.Random(5)
+    names = [f"s{i:02d}" for i in range(17)]
+    patterns = {}
+    while len(patterns) < mixing.MOST_PATTERNS:
+        patterns[tuple(sorted(rnd.sample(names, rnd.randint(1, 12))))] = rnd.randint(1, 10**6)
+    targets = mixing.read_targets([(s, rnd.random() ** 2 + 0.01, rnd.randint(1, 4)) for s in names])
+    began = time.time()
+    total = mixing.largest_total(patterns, targets)
+    _, sent = mixing.route(patterns, targets, total)
+    assert time.time() - began < 20
+    assert sent == sum(int(t.share * total) for t in targets.values())
+
+
+def test_mix_takes_the_sources_of_all_rows_of_an_id(spark):
+    rows = [(i, 10, [s], "x", 0) for i in range(100) for s in ("a", "b")] + [(i, 12, ["a"], "x", 0) for i in range(10)]
+    got = mixing.mix(docs(spark, rows), {"a": mixing.Target(0.5, 1), "b": mixing.Target(0.5, 1)}).collect()
+    assert {r.source for r in got} == {"a", "b"} and len({r.id for r in got}) == len(got) == 100
+
+
 # splitting
+def test_depths_are_linear_on_flat_texts():
+    units = [u for i in range(300_000) for u in (str(i), "\n")]
+    began = time.time()
+    assert not splitting.Places.of(units).depth.any()
+    assert time.time() - began < 15
+
+
+def test_depths_follow_rises_on_both_sides():
+    e = bpe.Encoder.of(PATH)
+    for text in (LONG["prose"], LONG["code"], "one two three. " * 50):
+        units = e.split(text)
+        at = np.nonzero(splitting.boundaries(units))[0]
+        words = [(i, u.strip().lower()) for i, u in enumerate(units) if len(u.strip()) > 2 and u.strip().isalpha()]
+        similar = []
+        for b in at:
+            left, right = [w for i, w in words if i < b][-splitting.SIDE :], [w for i, w in words if i >= b][: splitting.SIDE]
+            x, y = Counter(left), Counter(right)
+            norm = (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+            similar.append(sum(x[w] * y[w] for w in x) / norm if norm else 0.0)
+        for k, got in enumerate(splitting.depths(units, at)):
+            i = j = k
+            while i > 0 and similar[i - 1] >= similar[i] - 1e-12:
+                i -= 1
+            while j + 1 < len(at) and similar[j + 1] >= similar[j] - 1e-12:
+                j += 1
+            assert abs(got - (similar[i] + similar[j] - 2 * similar[k])) < 1e-6
+
+
 def pieces(text, most, overlap):
     e = bpe.Encoder.of(PATH)
     _, counts, per_word, _ = e.encode([text])
