@@ -1,8 +1,8 @@
 r"""Credentials embedded in source code and configuration: found by entropy in context, and redacted in place.
 
 Candidates are quoted strings and long tokens. Of each the Shannon entropy over its own alphabet is compared with
-a threshold that grows with its length (a short string cannot reach the entropy of its alphabet). How strict the
-rest is depends on where it stands:
+a threshold that grows with its length (a short string cannot reach the entropy of its alphabet); nothing is found without
+passing it, but the edge of a key block that the chunk cuts off before its body. How strict the rest is depends on where it stands:
  - value of a field named as a secret (password, api key, auth token ...; the name must end so, which leaves
    out token_count, secret_name, api_key_header): enough entropy, and none of the exclusions;
  - password in a URL, Basic or Bearer header, user and password of a command line or a note: the same;
@@ -10,7 +10,10 @@ rest is depends on where it stands:
    a place for hashes, ids, public keys, certificates, images;
  - private key blocks, whole or cut off by the chunk's edge.
 Excluded everywhere: placeholders, references to variables, files and stores, numbers, identifiers, header
-names, URLs without a password, and outside of secret fields checksums and ids.
+names, URLs without a password, and outside of secret fields checksums and ids. A placeholder or a reference is the
+whole value or its clear frame: a random value that holds such a word is one nevertheless.
+The mask is a word, which stands in any string, URL, header, YAML or TOML value; of a key block each line is masked, so
+that quotes, joints and line breaks stay.
 A value over several lines (concatenated strings, key blocks) is one find, at its first line in the chunk.
 
 Nulls, ties and odd input: null or empty content has no finds and stays as it is; repeated rows of an id count
@@ -22,6 +25,8 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
+import html
 import math
 import re
 from collections import Counter
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MASK = "[REDACTED]"
+MASK = "REDACTED"
 
 _SECRET = r"(?:pass(?:word|wd|wort|code)?|pass[_\- ]?phrase|pwd|pw|kennwort|contrase(?:n|ñ)a|mot[_ ]?de[_ ]?passe|secret|token|credentials?|auth|authorization|auth[_\- ]?header|(?:api|access|secret|signing|encryption|private|master|auth|account|service|deploy|webhook|license)[_\- ]?key)"
 #: The name of a secret field up to its end, and what may stand between it and its value.
@@ -61,13 +66,15 @@ _SHAPES = re.compile(r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bxox[a
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_.=\-])[A-Za-z0-9+/_.=\-]{20,}")
 _BEGIN = re.compile(r"-----BEGIN (?P<kind>[A-Z0-9 ]*)-----")
 _END = re.compile(r"-----END (?P<kind>[A-Z0-9 ]*)-----")
-_BODY = re.compile(r"[A-Za-z0-9+/=]{1,80}\Z|(?:Proc-Type|DEK-Info|Comment|Version): .*\Z")
-
-_PLACEHOLDER = re.compile(
-    r"(?i)change[_\- ]?me|replace[_\- ]?me|redacted|placeholder|example|dummy|your[_\- ]|insert[_\- ]|to[_\- ]?do\b|none\Z|null\Z|undefined\Z|true\Z|false\Z|not[_\- ]?set|(.)\1{5,}|\A[x*.#\-_?]+\Z|\A<.*>\Z|\A\[.*\]\Z"
+_BODY = re.compile(r"[A-Za-z0-9+/=]+\Z|(?:Proc-Type|DEK-Info|Comment|Version): .*\Z")
+
+_PLACEHOLDER = re.compile(r"(?i:none|null|nil|undefined|true|false|not[_\- ]?set|unset|to[_\- ]?do|tbd|n/?a)\Z|(.)\1{5,}\Z|[xX*.#\-_?]+\Z|<.*>\Z|\[.*\]\Z|.*EXAMPLE(?:KEY)?\Z", re.DOTALL)
+#: Words of placeholders, beside which only plain words stand.
+_MARKER = re.compile(r"(?i:change[_\- ]?(?:me|this|it)|replace[_\- ]?(?:me|this|with)|redacted|placeholder)|(?<![A-Za-z])(?i:example|sample|dummy|your|insert|put|here|to[_\- ]?do)(?![a-z])")
+_REFERENCE = re.compile(r"\A[^\w]*(?:\$\{.*\}|\$\(.*\)|\{\{.*\}\}|%\([\w.\-]+\)[a-z])|\A%\w+%\Z|(?i:\A(?:env|vault|file|secret|secrets|ssm|kms|store|keyring|op|aws|gcp|azure|consul)[:.])|(?i:process\.env\b|\bgetenv\b|\benviron\b)|\A[A-Za-z]:\\|\Adata:[a-z]+/|\A(?:sha|md)\d+[:\-]|\A[a-z][a-z0-9+.\-]*://")
+_IDENTIFIER = re.compile(
+    r"\A(?:[A-Za-z]+(?:[_\-. ][A-Za-z]+)*|[a-z]+(?:[_\-. ][a-z]+)*\d{0,2}|[A-Z]+(?:[_\-. ][A-Z]+)*\d{0,2}|[A-Za-z][a-z]*(?:[A-Z][a-z]+)*\d{0,2}|(?:[A-Z][a-z]*|[A-Z]+)\d?(?:-(?:[A-Z][a-z]*|[A-Z]+)\d?)+|[a-z]+(?::[a-z0-9]+)+|[a-z_][a-z_]*(?:\.[a-z_][a-z_0-9]*)+|-?[\d.,:_%\- ]+[a-z]{0,2})\Z"
 )
-_REFERENCE = re.compile(r"\$\{|\$\(|\{\{|%\(|\A\$\w|\A%\w+%\Z|\A@|(?i:\A(?:env|vault|file|secret|secrets|ssm|kms|store|keyring|op|aws|gcp|azure|consul)[:.])|(?i:process\.env|getenv|environ)|\A[A-Za-z]:\\|\Adata:[a-z]+/|\A(?:sha|md)\d+[:\-]|\A[a-z][a-z0-9+.\-]*://")
-_IDENTIFIER = re.compile(r"\A(?:[A-Za-z]+(?:[_\-. ][A-Za-z]+)*\d{0,2}|[A-Z][A-Za-z0-9]*(?:-[A-Z][A-Za-z0-9]*)+|[a-z]+(?::[a-z0-9]+)+|[a-z_][a-z_]*(?:\.[a-z_][a-z_0-9]*)+|-?[\d.,:_%\- ]+[a-z]{0,2})\Z")
 _UUID = re.compile(r"\A[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 _HASH = re.compile(r"\A(?:(?:sha|md|blake)\d\w*[:\-])?[0-9a-fA-F]+\Z|\A(?:sha|md)\d+[:\-]")
 _BENIGN = re.compile(r"(?i)public|\bicon|\bimage|base64,|\bsha-?\d|md5|etag|integrity|checksum|digest|hash|commit|revision|finger|cert|signature|uuid|guid|[_\- .]id\b|Id\b|nonce|\bssh-|\becdsa-|import|require|resolved")
@@ -92,20 +99,36 @@ def threshold(s: str) -> float:
     return 0.75 * math.log2(max(2, min(alphabet(s), len(s))))
 
 
-def _excluded(v: str) -> bool:
-    if _PLACEHOLDER.search(v) or _REFERENCE.search(v):
-        return True
-    # Names and paths are what looks like one and has no random part.
+def _named(v: str) -> bool:
+    """Whether ``v`` is a name, a path or a number without a random part."""
     named = _IDENTIFIER.match(v) or re.match(r"(?:~|\.{1,2})?/", v)
-    return bool(named) and all(len(p) < 12 or _turns(p) < 0.3 for p in re.split(r"[_\-./: ]", v))
+    return bool(named) and all(len(p) < 12 and (_turns(p) < 0.6 or not p.isalpha()) or _turns(p) < 0.3 for p in re.split(r"[_\-./: ]", v))
+
+
+def _placeholder(v: str) -> bool:
+    if _PLACEHOLDER.match(v):
+        return True
+    rest = _MARKER.sub(" ", v)
+    return rest != v and all(len(p) < 3 or p.isalpha() and _turns(p) < 0.3 for p in re.split(r"[^A-Za-z0-9]+", rest))
+
+
+def _excluded(v: str) -> bool:
+    return _placeholder(v) or bool(_REFERENCE.search(v)) or v[:1] in ("@", "$") and bool(re.fullmatch(r"[\w./:\-]*", v[1:])) and all(not p or _named(p) for p in re.split("[./:]", v[1:])) or _named(v)
+
+
+def _kinds(v: str) -> int:
+    return sum((any(map(str.isupper, v)), any(map(str.islower, v)), any(map(str.isdigit, v)), not v.isalnum()))
 
 
 def secret_value(v: str) -> bool:
     """Whether the value of a field for secrets is one."""
-    if len(v) < 6 or any(c.isspace() for c in v) or _excluded(v):
+    if " " in v and not v.isspace():  # parts of a random value, none a plain word
+        parts = v.split(" ")
+        return not any(c.isspace() for p in parts for c in p) and all(p and not (len(p) > 2 and p.isalpha()) for p in parts) and secret_value("".join(parts))
+    if len(v) < 5 or any(c.isspace() for c in v) or _excluded(v):
         return False
-    h = entropy(v)
-    return h >= threshold(v) and h * len(v) >= 24
+    h, core = entropy(v), max(re.split("[^A-Za-z0-9]+", v), key=len)
+    return (h >= threshold(v) or len(core) >= 16 and entropy(core) >= threshold(core)) and (h * len(v) >= 24 or _kinds(v) >= 3)
 
 
 def _turns(v: str) -> float:
@@ -126,6 +149,8 @@ def random_token(v: str) -> bool:
 
 
 def _basic(v: str) -> bool:
+    if entropy(v) < threshold(v):
+        return False
     try:
         return b":" in base64.b64decode(v + "=" * (-len(v) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -134,7 +159,9 @@ def _basic(v: str) -> bool:
 
 def _key_blocks(text: str) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int]]]:
     """Private key blocks, and what belongs to blocks of any other kind."""
-    private, other, pos = [], [], 0
+    private: list[tuple[int, int]] = []
+    other: list[tuple[int, int]] = []
+    pos = 0
     marks = sorted([(m.start(), m, True) for m in _BEGIN.finditer(text)] + [(m.start(), m, False) for m in _END.finditer(text)], key=lambda x: x[0])
     k = 0
     while k < len(marks):
@@ -150,7 +177,7 @@ def _key_blocks(text: str) -> tuple[list[list[tuple[int, int]]], list[tuple[int,
                     if not _BODY.match(line[1].strip()):
                         break
                     end = m.end() + line.end()
-            own.append([(at, end)] if own is private else (at, end))
+            own.append((at, end))
         else:  # cut off by the start of the chunk
             start = text.rfind("\n", 0, at) + 1
             while start > max(pos, 0):
@@ -158,15 +185,38 @@ def _key_blocks(text: str) -> tuple[list[list[tuple[int, int]]], list[tuple[int,
                 if not _BODY.match(text[above : start - 1].strip()):
                     break
                 start = above
-            own.append([(start, m.end())] if own is private else (start, m.end()))
+            own.append((start, m.end()))
         pos = m.end()
         k += 1
-    return private, other
+    return [_lines_of(text, *x) for x in private if _random_body(text[x[0] : x[1]])], other
+
+
+def _random_body(block: str) -> bool:
+    """Whether what stands between the marks of a block is random; where the chunk holds none of it there is nothing to measure."""
+    body = "".join(re.findall(r"[A-Za-z0-9+/]{4,}", re.sub(r"\\[nrt]|(?:Proc-Type|DEK-Info|Comment|Version):[^\n]*", " ", _END.sub(" ", _BEGIN.sub(" ", block)))))
+    return not body.strip() or entropy(body) >= threshold(body)
+
+
+def _lines_of(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The part of each line of a block that is its own: without blanks, quotes and what joins strings."""
+    spans = []
+    while a < b:
+        end = text.find("\n", a, b)
+        end = b if end < 0 else end
+        own = re.search(r"[A-Za-z0-9+/=\-](?:[^\n\"'`]*[A-Za-z0-9+/=\-])?", text[a:end])
+        if own:
+            spans.append((a + own.start(), a + own.end()))
+        a = end + 1
+    return spans
 
 
 def _parts(text: str, at: int) -> tuple[str, list[tuple[int, int]], bool]:
     """The value that starts at ``at``, its places, and whether it is quoted; quoted parts joined over lines are one value."""
     m = _QUOTED.match(text, at)
+    if not m and text[at - 1 : at] == ">":  # the text of an element, with its entities
+        b = re.compile(r"[^\s<]+").match(text, at)
+        if b and "&" in b[0]:
+            return html.unescape(b[0]), [b.span()], True
     if not m:
         b = _BARE.match(text, at)
         if not b or text[b.end() : b.end() + 1] in ("(", "["):
@@ -185,20 +235,24 @@ def _parts(text: str, at: int) -> tuple[str, list[tuple[int, int]], bool]:
 def find(text: str) -> list[list[tuple[int, int]]]:
     """The credentials of ``text``: of each its places in order, several where it is made of parts."""
     found, other = _key_blocks(text) if "-----" in text else ([], [])
-    taken = [s for f in found for s in f] + other
+    # Disjoint, in order; what overlaps blocks of other kinds is none of ours.
+    taken = sorted([(f[0][0], f[-1][1]) for f in found if f] + other)
+    lines = _Lines(text)
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
+        k = bisect.bisect_left(taken, (b, -1))
+        return k == 0 or taken[k - 1][1] <= a
 
     def add(spans: list[tuple[int, int]]) -> None:
         if spans and spans[0][0] < spans[0][1] and all(free(*s) for s in spans):
             found.append(spans)
-            taken.extend(spans)
+            for s in spans:
+                bisect.insort(taken, s)
 
     for pattern in (_URL, _URL_TOKEN):
         if "://" in text:
             for m in pattern.finditer(text):
-                if secret_value(m["v"]) if pattern is _URL else random_token(m["v"]) or _SHAPES.fullmatch(m["v"]):
+                if secret_value(m["v"]) if pattern is _URL else random_token(m["v"]) or _SHAPES.fullmatch(m["v"]) and _random_shape(m["v"]):
                     add([m.span("v")])
     for m in _HEADER.finditer(text):
         v = m["v"]
@@ -220,7 +274,7 @@ def find(text: str) -> list[list[tuple[int, int]]]:
             end = m.start() - (len(token[0]) - len(v))
             add([(end - len(v), end)])
     for m in _SHAPES.finditer(text):
-        if not _PLACEHOLDER.search(m[0]) and not _benign(text, m.start()):
+        if _random_shape(m[0]) and not lines.benign(m.start()):
             add(_whole(text, m.start(), m.end()))
     for m in _LONG.finditer(text):
         if m[0].islower() or m[0].isupper():
@@ -229,7 +283,7 @@ def find(text: str) -> list[list[tuple[int, int]]]:
         for name in re.finditer(r"\A[A-Za-z_.\-]+=", v):  # name=value without blanks
             v = v[name.end() :]
         a = m.start() + m[0].find(v)
-        if len(v) >= 20 and random_token(v) and not _benign(text, a) and not _alone(text, a, a + len(v)):
+        if len(v) >= 20 and random_token(v) and not lines.benign(a) and not _alone(text, a, a + len(v)):
             add(_whole(text, a, a + len(v)))
     first = re.match(r"""\s*["']([^"'\s]{8,})["'][\s)\];,+\\]*(?:\n|\Z)""", text)
     if first and secret_value(first[1]) and free(*first.span(1)):  # the rest of a value that began in the chunk before
@@ -256,11 +310,33 @@ def _fields(text: str) -> Iterator[re.Match[str]]:
             end = m.end()
 
 
-def _benign(text: str, at: int) -> bool:
-    line = text.rfind("\n", 0, at) + 1
-    if re.match(r"[ \t]*-?[ \t]*[\"']?value\b", text[line:at]):  # the name stands on the line before
-        line = text.rfind("\n", 0, max(0, line - 1)) + 1
-    return bool(_BENIGN.search(text[max(line, at - 120) : at]))
+def _random_shape(v: str) -> bool:
+    """Whether a token of a known shape is random beyond its prefix, and no placeholder."""
+    core = max(re.split(r"[_.\-]", v[4:] if v.startswith(("AKIA", "eyJ")) else v), key=len)
+    return not _placeholder(v) and entropy(core) >= threshold(core)
+
+
+class _Lines:
+    """Where the words of hashes, ids, public keys and the like first stand in each line; every line is searched once."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.first: dict[int, int] = {}
+
+    def _from(self, line: int) -> int:
+        """The end of the first such word of the line, past the text if it has none."""
+        if line not in self.first:
+            end = self.text.find("\n", line)
+            m = _BENIGN.search(self.text, line, len(self.text) if end < 0 else end)
+            self.first[line] = m.end() if m else len(self.text) + 1
+        return self.first[line]
+
+    def benign(self, at: int) -> bool:
+        line = self.text.rfind("\n", 0, at) + 1
+        if self._from(line) <= at:
+            return True
+        # The name may stand on the line before.
+        return bool(line and re.match(r"[ \t]*-?[ \t]*[\"']?value\b", self.text[line : min(at, line + 200)])) and self._from(self.text.rfind("\n", 0, line - 1) + 1) < line
 
 
 def _alone(text: str, a: int, b: int) -> bool:
