@@ -10,6 +10,7 @@ from loamgraph.llm import bpe, cooccurrence, mixing, near_duplicates, neighbors,
 from loamgraph.session import table
 
 SCORES = {"confidence": 1.0, "recency": 1.0, "keyword_match": 1.0, "retrievals": 1.0}
+INDIFFERENCE, PREFERENCE = 0.1, 0.5
 
 
 def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +21,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return rank_fusion.top(p1_ranking(spark, d), "query_id", "knowledge_uuid", 10).select("query_id", "knowledge_uuid")
 
 
+def p1_outranking(spark: SparkSession, d: str) -> DataFrame:
+    """The flows where a tenth of the percentiles' range makes no difference and half of it a full preference."""
+    return rank_fusion.net_flows(table(spark, d, "score_breakdown"), "query_id", "knowledge_uuid", SCORES, "scored_at", INDIFFERENCE, PREFERENCE).withColumns({c: F.round(c, 9) for c in ("positive", "negative", "flow")})
+
+
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     found = near_duplicates.similar_pairs(table(spark, d, "knowledge"), "uuid", ["title", "description"], 0.6, 12, "updated_at")
     return found.select(F.col("key_a").alias("uuid_a"), F.col("key_b").alias("uuid_b"), "similarity")
@@ -101,16 +107,24 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_documents(table(spark, d, "documents"), table(spark, d, "split_limits"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_overlaps": p9_overlaps, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p1_outranking": p1_outranking, "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_overlaps": p9_overlaps, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 
 _P1 = """WITH c AS (SELECT query_id, knowledge_uuid, min(scored_at), any_value(confidence) AS a, any_value(recency) AS b, any_value(keyword_match) AS k, any_value(retrievals) AS r
   FROM score_breakdown GROUP BY ALL),
-w AS (SELECT query_id, knowledge_uuid, count(*) OVER (PARTITION BY query_id) AS n,
-""" + ",\n".join(f"  2 * (rank() OVER (PARTITION BY query_id ORDER BY {s} NULLS FIRST) - 1) + count(*) OVER (PARTITION BY query_id, {s}) - 1 AS k{s}, rank() OVER (PARTITION BY query_id ORDER BY {s} NULLS FIRST) - 1 AS m{s}, count(*) OVER (PARTITION BY query_id, {s}) AS c{s}" for s in "abkr") + """
-  FROM c),
-f AS (SELECT query_id, knowledge_uuid, CASE WHEN n > 1 THEN 8.0 * (n - 1) * (n - 1) ELSE 1 END AS scale,
-  """ + " + ".join(f"k{s} * m{s} - m{s} * (m{s} - 1)" for s in "abkr") + """ AS plus,
-  """ + " + ".join(f"n * (n - 1) - m{s} * (m{s} - 1) - c{s} * k{s} - k{s} * (n - m{s} - c{s})" for s in "abkr") + """ AS minus FROM w)
+w AS (SELECT query_id, knowledge_uuid, count(*) OVER (PARTITION BY query_id) AS n, """ + ", ".join(f"rank() OVER (PARTITION BY query_id ORDER BY {s} NULLS FIRST) - 1 AS {s}, count(*) OVER (PARTITION BY query_id, {s}) AS c{s}" for s in "abkr") + """ FROM c),
+t AS (SELECT *, """ + ", ".join(f"sum({s}) OVER (PARTITION BY query_id ORDER BY {s}) - c{s} * {s} AS l{s}, sum({s}) OVER (PARTITION BY query_id) AS t{s}" for s in "abkr") + """ FROM w),
+f AS (SELECT query_id, knowledge_uuid, CASE WHEN n > 1 THEN 4.0 * (n - 1) * (n - 1) ELSE 1 END AS scale,
+  """ + " + ".join(f"{s} * {s} - l{s}" for s in "abkr") + """ AS plus,
+  """ + " + ".join(f"t{s} - l{s} - c{s} * {s} - {s} * (n - {s} - c{s})" for s in "abkr") + """ AS minus FROM t)
+"""
+# All pairs of a query's candidates, compared one by one.
+_FULL = f"least(1, greatest(0, (d - {INDIFFERENCE}) / {PREFERENCE - INDIFFERENCE}))"
+_P1_PAIRS = """WITH c AS (SELECT query_id, knowledge_uuid, min(scored_at), any_value(confidence) AS a, any_value(recency) AS b, any_value(keyword_match) AS k, any_value(retrievals) AS r
+  FROM score_breakdown GROUP BY ALL),
+w AS (SELECT query_id, knowledge_uuid, count(*) OVER (PARTITION BY query_id) AS n, """ + ", ".join(f"rank() OVER (PARTITION BY query_id ORDER BY {s} NULLS FIRST) - 1 AS {s}" for s in "abkr") + """ FROM c),
+p AS (SELECT query_id, knowledge_uuid, """ + ", ".join(f"{s} / greatest(1, n - 1) AS {s}" for s in "abkr") + """, n FROM w),
+d AS (SELECT x.query_id, x.knowledge_uuid, x.n, unnest([""" + ", ".join(f"x.{s} - y.{s}" for s in "abkr") + """]) AS d FROM p x JOIN p y ON x.query_id = y.query_id AND x.knowledge_uuid <> y.knowledge_uuid),
+f AS (SELECT query_id, knowledge_uuid, sum(""" + _FULL + ") / (4 * (any_value(n) - 1)) AS positive, sum(" + _FULL.replace("(d -", "(-d -") + """) / (4 * (any_value(n) - 1)) AS negative FROM d GROUP BY query_id, knowledge_uuid)
 """
 _P2 = r"""WITH k AS (SELECT uuid, list_sort(list_distinct(regexp_extract_all(lower(coalesce(any_value(title), '') || ' ' || coalesce(any_value(description), '')), '[\p{L}\p{N}]+'))) AS w
   FROM knowledge WHERE uuid IS NOT NULL GROUP BY uuid),
@@ -132,8 +146,9 @@ SQL = {
     "p2_found": _P2 + "SELECT uuid_a, uuid_b FROM x WHERE shared / (total - shared) >= 0.6",
     "p2_pairs": _P2 + "SELECT uuid_a, uuid_b, shared / (total - shared) AS similarity FROM x WHERE shared / (total - shared) >= 0.6",
     "p1_ranking": _P1 + "SELECT query_id, knowledge_uuid, plus / scale AS positive, minus / scale AS negative, (plus - minus) / scale AS flow FROM f",
+    "p1_outranking": _P1_PAIRS + "SELECT query_id, knowledge_uuid, round(positive, 9) AS positive, round(negative, 9) AS negative, round(positive - negative, 9) AS flow FROM f UNION ALL SELECT query_id, knowledge_uuid, 0, 0, 0 FROM p WHERE n = 1",
     "p1_found": _P1 + "SELECT query_id, knowledge_uuid FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY (plus - minus) / scale DESC, knowledge_uuid) <= 10",
 }
 
 #: Columns of doubles, which queries and SQL both give rounded.
-DOUBLES = {"p1_ranking": ["positive", "negative", "flow"], "p2_pairs": ["similarity"], "p6_pairs": ["weight_a", "weight_b", "lift", "odds_ratio"]}
+DOUBLES = {"p1_ranking": ["positive", "negative", "flow"], "p1_outranking": ["positive", "negative", "flow"], "p2_pairs": ["similarity"], "p6_pairs": ["weight_a", "weight_b", "lift", "odds_ratio"]}

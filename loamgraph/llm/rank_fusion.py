@@ -1,14 +1,16 @@
 """One ranking from scores on unlike scales: outranking net flow on percentiles.
 
-Within a query each score becomes a percentile (mid-rank among the query's candidates, so only order counts).
+Within a query each score becomes a percentile (the share of the other candidates whose score is lower, so only order counts).
 A candidate is preferred to another, per score, by a linear preference function of the difference d of their
 percentiles: 0 up to ``indifference``, 1 from ``preference`` on. The mean preference over all others is the
 positive flow, the mean preference of all others over it the negative flow; the weighted sum over the scores of
 positive minus negative flow ranks the candidates. Both flows are exact for all pairs without forming a pair:
 they follow from the count and the sum of the percentiles below a bound, which are prefix sums along the sorted score.
-With indifference 0 and preference 1 all sums are whole numbers of half ranks, so equal candidates tie exactly.
+With indifference 0 and preference 1 no threshold bends the preference, all sums are whole numbers, so equal candidates tie
+exactly, and the net flow orders like the weighted mean of the percentiles; other thresholds count a lead in one score
+only as far as it exceeds the first and not beyond the second.
 
-Nulls, ties and odd input: a null or NaN score counts as the lowest, all such tie; ties share their mid-rank and
+Nulls, ties and odd input: a null or NaN score counts as the lowest, all such tie; ties share their percentile and
 equal flows are ordered by the candidate's key; repeated rows of a candidate count once, at their earliest;
 rows without query or candidate are left out; a lone candidate has flow 0; an empty table gives no rows;
 other columns are not read.
@@ -28,21 +30,26 @@ LARGE, BINS = 100_000, 1000
 
 
 def _counted(long: DataFrame, large: int) -> DataFrame:
-    """Per query, score and value: c candidates have it, below come before it, of n."""
+    """Per query, score and value: c candidates have it, below are lower, of n; sums of the positions of the lower ones, and of all.
+
+    A position is the number of lower candidates; those of the first m sum to (m^2 - the sum of c^2 of the lower values) / 2.
+    """
     keys = ["q", "s"]
     values = cut(long.groupBy(*keys, "v").agg(F.count("*").alias("c")))
-    sizes = values.groupBy(*keys).agg(F.sum("c").alias("n"), F.count("*").alias("distinct"))
+    sizes = values.groupBy(*keys).agg(F.sum("c").alias("n"), F.count("*").alias("distinct"), F.sum(F.col("c") * F.col("c")).alias("all_squares"))
     cuts = values.join(sizes.where(F.col("distinct") > large).select(*keys), keys).groupBy(*keys).agg(F.percentile_approx("v", [i / BINS for i in range(1, BINS)], F.lit(10_000)).alias("cuts"))
-    values = values.join(sizes.select(*keys, "n"), keys).join(cuts, keys, "left")
+    values = values.join(sizes.select(*keys, "n", "all_squares"), keys).join(cuts, keys, "left")
     binned = values.withColumn("bin", F.coalesce(F.size(F.filter("cuts", lambda x: x < F.col("v"))), F.lit(0))).drop("cuts")
-    return prefix_sums(binned, keys, "bin", ["v"], {"below": F.col("c")})
+    summed = prefix_sums(binned, keys, "bin", ["v"], {"below": F.col("c"), "squares": F.col("c") * F.col("c")})
+    half = lambda count, squares: F.shiftright(F.col(count) * F.col(count) - F.col(squares), 1)
+    return summed.select(*keys, "v", "c", "n", "below", half("below", "squares").alias("lower"), half("n", "all_squares").alias("whole"))
 
 
 def _at_most(points: DataFrame, lookups: DataFrame, large: int) -> DataFrame:
     """Of each lookup (q, s, x): how many candidates have a position of x or less, and the sum of these positions."""
     rows = points.select("q", "s", F.col("k").cast("double").alias("x"), F.lit(0).alias("asks"), F.col("c").cast("double").alias("c"), (F.col("c") * F.col("k")).cast("double").alias("ck"))
     asked = lookups.select("q", "s", "x").distinct().select("q", "s", "x", F.lit(1).alias("asks"), F.lit(0.0).alias("c"), F.lit(0.0).alias("ck"))
-    both = rows.unionByName(asked).withColumn("bin", F.floor(F.col("x") / (2 * large)))
+    both = rows.unionByName(asked).withColumn("bin", F.floor(F.col("x") / large))
     return prefix_sums(both, ["q", "s"], "bin", ["x", "asks"], {"count": F.col("c"), "sum": F.col("ck")}).where("asks = 1").select("q", "s", "x", "count", "sum")
 
 
@@ -55,14 +62,12 @@ def net_flows(scores: DataFrame, query: str, item: str, weights: dict[str, float
     lowest, infinity = F.lit(float("-inf")), float("inf")
     value = lambda n: F.when(F.col(f"r.{n}").isNull(), lowest).when(F.col(f"r.{n}") == -infinity, F.lit(-1.7976931348623157e308)).otherwise(F.col(f"r.{n}"))
     long = cut(rows.select("q", "item", F.explode(F.array(*(F.struct(F.lit(i).alias("s"), value(n).alias("v")) for i, n in enumerate(names)))).alias("e")).select("q", "item", "e.s", "e.v"))
-    points = _counted(long, large).select("q", "s", "v", "c", "n", "below", (2 * F.col("below") + F.col("c") - 1).alias("k"))
-    span = 2 * (F.col("n") - 1)
+    points = _counted(long, large).withColumn("k", F.col("below"))
+    span = F.col("n") - 1
     if indifference == 0 and preference >= 1:
-        # The positions of the first m candidates sum to m (m - 1), ties included.
-        k, m, c, n = F.col("k"), F.col("below"), F.col("c"), F.col("n")
-        lower = m * (m - 1)
-        above = n * (n - 1) - lower - c * k
-        plus, minus = k * m - lower, above - k * (n - m - c)
+        k, c, n = F.col("k"), F.col("c"), F.col("n")
+        above = F.col("whole") - F.col("lower") - c * k
+        plus, minus = k * k - F.col("lower"), above - k * (n - k - c)
         points = points.select("q", "s", "v", "n", (plus / preference).alias("plus"), (minus / preference).alias("minus"))
     else:
         points = cut(points)
@@ -81,7 +86,7 @@ def net_flows(scores: DataFrame, query: str, item: str, weights: dict[str, float
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights.values())), F.col("s") + 1)
     flows = long.join(points, ["q", "s", "v"]).groupBy("q", "item").agg(F.sum(weight * F.col("plus")).alias("plus"), F.sum(weight * F.col("minus")).alias("minus"), F.first("n").alias("n"))
     total = float(sum(weights.values())) or 1.0
-    scale = F.when(F.col("n") > 1, 2.0 * (F.col("n") - 1) * (F.col("n") - 1) * total).otherwise(1.0)
+    scale = F.when(F.col("n") > 1, (F.col("n") - 1.0) * (F.col("n") - 1) * total).otherwise(1.0)
     return flows.select(F.col("q").alias(query), F.col("item").alias(item), (F.col("plus") / scale).alias("positive"), (F.col("minus") / scale).alias("negative"), ((F.col("plus") - F.col("minus")) / scale).alias("flow"))
 
 

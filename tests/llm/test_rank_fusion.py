@@ -19,7 +19,7 @@ def brute(rows, weights, q, p):
         flow = dict.fromkeys(items, 0.0)
         for k, w in enumerate(weights.values()):
             v = {i: float("-inf") if own[i][2 + k] is None or own[i][2 + k] != own[i][2 + k] else own[i][2 + k] for i in items}
-            pct = {i: (sum(v[j] < v[i] for j in items) + (sum(v[j] == v[i] for j in items) - 1) / 2) / max(1, n - 1) for i in items}
+            pct = {i: sum(v[j] < v[i] for j in items) / max(1, n - 1) for i in items}
             prefer = lambda d: 0.0 if d <= q + 1e-12 else 1.0 if d >= p - 1e-12 else (d - q) / (p - q)
             for i in items:
                 flow[i] += w * sum(prefer(pct[i] - pct[j]) - prefer(pct[j] - pct[i]) for j in items if j != i)
