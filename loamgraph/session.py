@@ -14,24 +14,21 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder of ``spark.checkpoint.dir`` and forget its lineage.
 
     A lost executor loses nothing, as the files are shared. A folder of our own is set only where
-    the session names none, as in tests on one machine.
+    the session names none and runs on one machine, as in tests; on a cluster that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="loamgraph-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets the driver drop what earlier rounds of a loop left: plans, and by its cleaner their shuffle files on all executors."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def micros(df: DataFrame, name: str) -> Column:
     """Epoch microseconds (UTC) of a timestamp column, or of a column of epoch seconds."""
     kind = dict(df.dtypes)[name]
