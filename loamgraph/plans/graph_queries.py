@@ -14,6 +14,7 @@ from loamgraph.sources.relations import with_
 SEEDS = ["runtime_log_event"]
 HUB = 50
 LEFT, RIGHT, PUBLIC = "corlaph-gate-00000/", "torline-facade-00001/", "hook"
+BENCHMARK = ("cache lookup", "json parser", "lock guard")
 SINCE = "2025-09-01 00:00:00"
 
 
@@ -66,8 +67,11 @@ def merged_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def build_merged(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes of two deliveries, the later one of an id winning."""
-    return R.nodes(spark, d).select("id", "label", "file_type", "source_file")
+    """Nodes of two deliveries, the later one of an id winning, and the edges between them, as rows of one form."""
+    n, e = _ne(spark, d)
+    none = F.lit(None).cast("string")
+    nodes = n.select(F.lit("node").alias("part"), "id", "label", "file_type", "source_file", none.alias("target"), none.alias("relation"))
+    return nodes.unionByName(e.select(F.lit("edge").alias("part"), F.col("source").alias("id"), none.alias("label"), none.alias("file_type"), "source_file", "target", "relation"))
 
 
 def graph_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +209,7 @@ def call_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.token_benchmark(*_ne(spark, d), ["cache lookup", "json parser", "lock guard"])
+    return analyze.token_benchmark(*_ne(spark, d), BENCHMARK)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -246,7 +250,7 @@ SQL = {
     "relation_counts": _NE + "SELECT relation, count(*) AS edges, count(DISTINCT source) AS sources, count(DISTINCT target) AS targets FROM e GROUP BY relation",
     "dangling_edges": with_("n") + f" SELECT DISTINCT * FROM (SELECT {R._NORM.format('source')} AS source, {R._NORM.format('target')} AS target, {R._FOLD.format('relation')} AS relation FROM edges) WHERE source <> '' AND target <> '' AND (source NOT IN (SELECT id FROM n) OR target NOT IN (SELECT id FROM n))",
     "merged_edges": _NE + "SELECT source, target, relation, max(CASE confidence WHEN 'EXTRACTED' THEN 3 WHEN 'INFERRED' THEN 2 ELSE 1 END) AS sure, count(*) AS edges FROM e GROUP BY ALL",
-    "build_merged": with_("n") + "SELECT id, label, file_type, source_file FROM n",
+    "build_merged": _NE + "SELECT 'node' AS part, id, label, file_type, source_file, NULL AS target, NULL AS relation FROM n UNION ALL SELECT 'edge', source, NULL, NULL, source_file, target, relation FROM e",
     "graph_diff": with_("n") + f", a AS (SELECT DISTINCT id FROM n WHERE seen_at < TIMESTAMP '{SINCE}'), b AS (SELECT DISTINCT id FROM n WHERE body_hash IS NOT NULL) SELECT id, 'added' AS change FROM b WHERE id NOT IN (SELECT id FROM a) UNION ALL SELECT id, 'removed' FROM a WHERE id NOT IN (SELECT id FROM b)",
     "label_forms": with_("n") + rf"SELECT id, nullif(lower(regexp_replace(coalesce(label, ''), '[^\p{{L}}\p{{N}}]', '', 'g')), '') AS norm, array_to_string({_TOKENS}, ',') AS tokens, array_to_string(list_slice(string_split(source_file, '/'), -2, -1), '/') || '::' || regexp_replace(coalesce(label, ''), '\(\)$', '') AS logical_key, {_KIND.format('source_file')} AS kind, TRY_CAST(regexp_extract(source_location, '^L*(\d+)', 1) AS INTEGER) AS line FROM n",
     "sensitive_paths": with_("c") + "SELECT DISTINCT file_path, " + " OR ".join(f"regexp_matches(file_path, '(?i){p}')" for p in T.SENSITIVE) + f" AS sensitive, {_KIND.format('file_path')} AS kind FROM c",
@@ -273,6 +277,26 @@ SELECT * FROM q ORDER BY branch, node_id, question LIMIT 400""",
     "call_paths": with_("n", "e", recursive=True) + "," + _STARTS + """, s AS (SELECT DISTINCT source AS a, target AS b FROM e WHERE relation = 'calls'), ends AS (SELECT target AS id FROM e WHERE relation = 'calls' GROUP BY target ORDER BY count(*) DESC, target LIMIT 5),
 w AS (SELECT id, [id] AS p, 0 AS l FROM starts UNION ALL SELECT b, list_append(p, b), l + 1 FROM w JOIN s ON w.id = s.a WHERE l < 5 AND (l = 0 OR w.id NOT IN (SELECT id FROM ends)) AND NOT list_contains(p, b))
 SELECT id AS target, l AS length, array_to_string(p, ' > ') AS path FROM w WHERE id IN (SELECT id FROM ends) AND id NOT IN (SELECT id FROM starts) QUALIFY row_number() OVER (PARTITION BY id ORDER BY l, p) = 1 ORDER BY length, target LIMIT 20""",
+    "shortest_path": with_("n", "e", recursive=True) + """, starts AS (SELECT source AS id FROM e WHERE relation = 'calls' GROUP BY source ORDER BY count(*) DESC, source LIMIT 5), s AS (SELECT DISTINCT source AS a, target AS b FROM e),
+w AS (SELECT id, [id] AS p, 0 AS l FROM starts UNION ALL SELECT b, list_append(p, b), l + 1 FROM w JOIN s ON w.id = s.a WHERE l < 4 AND (l = 0 OR w.id <> 'runtime_log_event') AND NOT list_contains(p, b))
+SELECT id AS target, l AS length, array_to_string(p, ' > ') AS path FROM w WHERE id = 'runtime_log_event' AND l > 0 AND id NOT IN (SELECT id FROM starts) QUALIFY row_number() OVER (PARTITION BY id ORDER BY l, p) = 1""",
+    "token_benchmark": with_("n", "e", recursive=True) + "," + _ADJ + "," + _DEG + ", q(question) AS (VALUES " + ", ".join(f"('{q}')" for q in BENCHMARK) + """),
+t AS (SELECT question, unnest(string_split(question, ' ')) AS t FROM q),
+sc AS (SELECT question, n.id, sum(CASE WHEN contains(lower(label), t) THEN 2 ELSE 0 END + CASE WHEN contains(lower(source_file), t) THEN 1 ELSE 0 END) AS score FROM t CROSS JOIN n GROUP BY ALL HAVING score > 0),
+best AS (SELECT question, id FROM sc QUALIFY row_number() OVER (PARTITION BY question ORDER BY score DESC, id) <= 3),
+lv AS (SELECT question, id, 0 AS depth FROM best UNION SELECT question, b, depth + 1 FROM lv JOIN adj ON lv.id = a LEFT JOIN deg ON deg.id = a WHERE depth < 3 AND (depth = 0 OR degree <= 50)),
+r AS (SELECT DISTINCT question, lv.id FROM lv),
+z AS (SELECT q.question, (SELECT count(*) FROM n) * 5000 // 75 AS corpus_tokens, greatest(1, coalesce(sum(strlen(label) + strlen(source_file)), 0) // 4) AS query_tokens FROM q LEFT JOIN r ON q.question = r.question LEFT JOIN n ON r.id = n.id GROUP BY q.question)
+SELECT question, corpus_tokens, CAST(query_tokens AS BIGINT) AS query_tokens, round(corpus_tokens / query_tokens, 1) AS ratio FROM z""",
+    "call_resolution": with_("n", "e", recursive=True) + r""", named AS (SELECT id AS target, lower(regexp_replace(coalesce(label, ''), '^\.|\(\)$', '', 'g')) AS callee FROM n WHERE callee <> ''),
+raw AS (SELECT DISTINCT source AS caller, callee FROM e JOIN named ON e.target = named.target WHERE relation = 'calls'),
+owner AS (SELECT target AS id, min(source) AS class FROM e WHERE relation = 'method' GROUP BY target),
+up AS (SELECT DISTINCT source AS c, target AS p FROM e WHERE relation = 'extends'),
+chain AS (SELECT DISTINCT class, class AS ancestor, 0 AS distance FROM owner UNION SELECT class, p, distance + 1 FROM chain JOIN up ON ancestor = c WHERE distance < 60),
+several AS (SELECT caller, callee, class FROM raw JOIN owner ON caller = id WHERE callee IN (SELECT callee FROM named GROUP BY callee HAVING count(*) > 1)),
+hits AS (SELECT caller, s.callee, named.target, distance FROM several s JOIN chain ON s.class = chain.class JOIN owner o ON o.class = ancestor JOIN named ON named.target = o.id AND named.callee = s.callee)
+SELECT caller, callee, target FROM (SELECT caller, callee, arg_min(target, (distance, target)) AS target FROM hits GROUP BY caller, callee
+  UNION ALL SELECT caller, callee, (SELECT target FROM named WHERE named.callee = raw.callee) FROM raw WHERE callee IN (SELECT callee FROM named GROUP BY callee HAVING count(*) = 1)) WHERE caller <> target""",
     "query_graph": with_("n", "e", recursive=True) + "," + _ADJ + "," + _DEG + """, q AS (SELECT id, """ + " + ".join(f"CASE WHEN contains(lower(label), '{t}') THEN 2 ELSE 0 END + CASE WHEN contains(lower(source_file), '{t}') THEN 1 ELSE 0 END" for t in ("json", "lock", "cache")) + " AS score FROM n), best AS (SELECT id FROM q WHERE score > 0 ORDER BY score DESC, id LIMIT 3),\n" + _levels(f"SELECT a, b FROM adj JOIN deg ON a = deg.id WHERE degree <= {HUB} OR a IN (SELECT id FROM best)", "SELECT id FROM best", 2) + "SELECT x.id, depth, label, source_file FROM (SELECT id, min(depth) AS depth FROM lv GROUP BY id) x JOIN n ON x.id = n.id",
     "cycles": with_("n", "e", recursive=True) + ", s AS (SELECT DISTINCT source AS a, target AS b FROM e WHERE relation IN ('calls', 'imports') AND source <> target), r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a), m AS (SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT component, count(*) AS size, array_to_string(list_sort(list(label)), ', ') AS members FROM m JOIN n ON m.id = n.id GROUP BY component",
     "file_hierarchy": with_("n") + ", p AS (SELECT DISTINCT string_split(source_file, '/') AS p FROM n WHERE source_file <> ''), s AS (SELECT p, unnest(range(1, len(p))) AS i FROM p) SELECT DISTINCT array_to_string(p[1:i], '/') AS parent, array_to_string(p[1:i + 1], '/') AS child FROM s",
@@ -304,4 +328,5 @@ DOUBLES = {
     "compare_semantic": ["jaccard"],
     "renames": ["score"],
     "co_changes": ["weight"],
+    "token_benchmark": ["ratio"],
 }

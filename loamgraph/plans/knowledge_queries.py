@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions import text as T
 from loamgraph.operators import chunking, diffing, graph, identity, lifecycle, recall, search
+from loamgraph.session import cut
 from loamgraph.sources import relations as R
 from loamgraph.sources.relations import with_
 
@@ -97,7 +98,10 @@ def orphan_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.review_queue(*_kl(spark, d), R.nodes(spark, d), NOW)
+    """What is to be reviewed, without the entries of one scope, which are pending already."""
+    k, l = _kl(spark, d)  # noqa: E741
+    pending = k.where("scope = 'module'").select(F.col("uuid").alias("knowledge_uuid"), F.lit(False).alias("completed"))
+    return lifecycle.review_queue(k, l, R.nodes(spark, d), NOW, pending)
 
 
 def knowledge_neighbors(spark: SparkSession, d: str) -> DataFrame:
@@ -194,20 +198,16 @@ def recall_for_diff(spark: SparkSession, d: str) -> DataFrame:
     n = R.nodes(spark, d)
     file = n.where("source_file != ''").agg(F.min("source_file")).first()[0]
     touched = diffing.touched_nodes(diffing.hunks(_node_diff(n.where(F.col("source_file") == file))), n)
-    hit = diffing.affected_entries(touched, l).select("uuid", F.lit(20.0).alias("bonus"))
-    scored = recall.task_scores(k, l, "", [file], touched.select("uuid"), NOW)
-    return scored.join(hit, "uuid", "left").select("uuid", (F.col("total") + F.coalesce("bonus", F.lit(0.0))).alias("total"), F.col("bonus").isNotNull().alias("affected")).orderBy(F.round("total", 9).desc(), "uuid").limit(20)
-
-
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    own = R.pick(R.table(spark, d, "node_embeddings").where("model = 'lattice-s-64'"), ["node_id"], [F.col("updated_at").asc()])
-    return search.unpack(own.select(F.col("node_id").alias("id"), "dim", "vec"))
+    return recall.for_diff(k, l, touched, [file], NOW, 20).select("uuid", "total", "affected")
 
 
 def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
-    v = _vectors(spark, d)
-    first = v.where("v IS NOT NULL").orderBy("id").first()
-    return search.nearest(v, first.v, 25).select("id", "similarity")
+    """Of every model the 25 vectors most like that of its first node."""
+    own = R.pick(R.table(spark, d, "node_embeddings").where("node_id IS NOT NULL AND model IS NOT NULL"), ["node_id", "model"], [F.col("updated_at").asc()])
+    v = cut(search.unpack(own.select(F.col("node_id").alias("id"), "model", "dim", "vec")).where("v IS NOT NULL").select("id", "model", "v"))
+    firsts = v.groupBy("model").agg(F.min_by("v", "id").alias("v")).collect()  # a row per model
+    parts = [search.nearest(v.where(F.col("model") == r.model), r.v, 25) for r in sorted(firsts, key=lambda r: r.model)]
+    return R.union_all(parts).select("model", "id", "similarity")
 
 
 def attach_knowledge(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +241,7 @@ def identity_match(spark: SparkSession, d: str) -> DataFrame:
     """New nodes are the old ones with another id for methods, as after a rename of their class, and without fingerprint."""
     n = R.nodes(spark, d).withColumn("uuid", F.lower(F.trim("uuid")))
     moved = n.select(F.when(F.startswith("label", F.lit(".")), F.concat("id", F.lit("_moved"))).otherwise(F.col("id")).alias("id"), "label", "file_type", "source_file", "source_location", F.lit(None).cast("string").alias("fingerprint"), "body_hash")
-    return identity.assign(n, moved).groupBy("how").agg(F.count("*").alias("nodes"), F.countDistinct("uuid").alias("uuids"))
+    return identity.assign(n, moved)
 
 
 def merge_project(spark: SparkSession, d: str) -> DataFrame:
@@ -318,6 +318,38 @@ _TYPE = "CASE knowledge_type " + " ".join(f"WHEN '{t}' THEN {p}" for t, p in rec
 _AGE = f"floor(({NOW} - greatest(last_validated_at, updated_at, created_at)) / 86400)"
 _RECENCY = f"CASE WHEN greatest(last_validated_at, updated_at, created_at) > 0 AND greatest(last_validated_at, updated_at, created_at) <= {NOW} THEN CASE WHEN {_AGE} < 7 THEN 10.0 WHEN {_AGE} < 30 THEN 5.0 WHEN {_AGE} < 90 THEN 0.0 WHEN {_AGE} < 180 THEN -5.0 ELSE -10.0 END ELSE 0.0 END"
 
+_TOPK = R.FLOATS + """, ok AS (SELECT node_id AS id, model, v FROM (SELECT * FROM fl WHERE node_id IS NOT NULL AND model IS NOT NULL QUALIFY row_number() OVER (PARTITION BY node_id, model ORDER BY updated_at) = 1) WHERE octet_length(vec) = 4 * dim AND dim > 0 AND len(list_filter(v, lambda x: isnan(x))) = 0),
+q AS (SELECT model, arg_min(v, id) AS q FROM ok GROUP BY model),
+sm AS (SELECT ok.model, id, CASE WHEN len(v) = len(q) AND list_dot_product(v, v) > 0 AND list_dot_product(q, q) > 0 THEN list_dot_product(v, q) / sqrt(list_dot_product(v, v) * list_dot_product(q, q)) ELSE 0 END AS similarity FROM ok JOIN q ON ok.model = q.model),
+top AS (SELECT * FROM sm QUALIFY row_number() OVER (PARTITION BY model ORDER BY round(similarity, 12) DESC, id) <= 25)
+"""
+# Scores of the change of the first file's nodes: recall_scores without words, for the touched nodes and that file.
+_FOR_DIFF = (
+    with_("n", "k", "l") + r""", fn AS (SELECT min(source_file) AS f FROM n WHERE source_file <> ''), m AS (SELECT uuid, source_file, regexp_extract(source_file, '[^/]*$') AS b, TRY_CAST(regexp_extract(source_location, '^L*(\d+)', 1) AS INTEGER) AS line FROM n),
+h AS (SELECT regexp_extract(f, '[^/]*$') AS b, min(line) AS a FROM fn JOIN m ON source_file = f GROUP BY f), tn AS (SELECT DISTINCT m.uuid FROM h JOIN m ON h.b = m.b WHERE m.uuid IS NOT NULL AND m.b <> '' AND line BETWEEN a AND a + 44),
+fx AS (SELECT regexp_extract(f, '[^/]*$') AS name, split_part(f, '/', 1) AS project FROM fn),
+hit AS (SELECT DISTINCT knowledge_uuid AS uuid FROM l WHERE NOT is_knowledge AND node_uuid IN (SELECT uuid FROM tn)),
+""" + _REASON.replace("sn AS (SELECT node_uuid AS uuid FROM l WHERE NOT is_knowledge GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5)", "sn AS (SELECT uuid FROM tn)") + f""", met AS (SELECT knowledge_uuid AS uuid, count(DISTINCT node_uuid) AS met FROM l WHERE NOT is_knowledge AND node_uuid IN (SELECT uuid FROM sn) GROUP BY 1),
+p AS (SELECT k.uuid, status, coalesce(adjustment, 0) AS adj, coalesce(confidence, 0) * 20.0 + least(ln(greatest(observations, 1)), 3.0) * 3.3 + least(ln(1 + fetch_count), 3.0) * 3.3 + coalesce(met * 30.0 / greatest(1, (SELECT count(*) FROM sn)), 0)
+  + CASE WHEN contains(title, name) OR contains(description, name) OR len(list_filter(tags, lambda t: contains(t, name))) > 0 THEN 20.0 ELSE 0.0 END
+  + CASE WHEN scope IN ('file', 'node') THEN 10.0 WHEN scope = 'module' THEN 5.0 ELSE 0.0 END + CASE WHEN list_contains(tags, 'project:' || project) OR contains(description, project) OR contains(lower(title), lower(project)) THEN 15.0 ELSE 0.0 END + {_TYPE} + {_RECENCY} AS s
+  FROM k CROSS JOIN fx LEFT JOIN met ON k.uuid = met.uuid LEFT JOIN adj ON k.uuid = adj.uuid WHERE status <> 'obsolete'),
+z AS (SELECT p.uuid, s * CASE WHEN status = 'needs_review' THEN 0.5 ELSE 1.0 END + adj * 33.0 + CASE WHEN hit.uuid IS NOT NULL THEN 20.0 ELSE 0.0 END AS total, hit.uuid IS NOT NULL AS affected FROM p LEFT JOIN hit ON p.uuid = hit.uuid)
+SELECT * FROM z ORDER BY round(total, 9) DESC, uuid LIMIT 20"""
+)
+_PARTS = r"list_filter(regexp_split_to_array(coalesce({0}.label, ''), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+_BOTH = "(m.body_hash IS NOT NULL AND o.body_hash IS NOT NULL)"
+# All pairs of what neither fingerprint nor id settles, scored one by one.
+_IDENTITY = with_("n") + r""", o AS (SELECT *, TRY_CAST(regexp_extract(source_location, '^L*(\d+)', 1) AS INTEGER) AS line, regexp_extract(source_file, '[^/]*$') AS base FROM n WHERE uuid IS NOT NULL),
+m AS (SELECT CASE WHEN starts_with(label, '.') THEN id || '_moved' ELSE id END AS id, label, file_type, source_file, source_location, body_hash, TRY_CAST(regexp_extract(source_location, '^L*(\d+)', 1) AS INTEGER) AS line, regexp_extract(source_file, '[^/]*$') AS base FROM n),
+""" + f"""by_id AS (SELECT m.id, o.uuid FROM m JOIN o ON m.id = o.id), rest AS (SELECT * FROM m WHERE id NOT IN (SELECT id FROM by_id)),
+s AS (SELECT m.id, o.id AS oid, o.uuid, (CASE WHEN m.source_file = o.source_file THEN 25.0 WHEN o.base <> '' AND o.base = m.base THEN 15.0 ELSE 0 END
+  + CASE WHEN m.source_location IS NULL OR o.source_location IS NULL THEN 0 WHEN abs(coalesce(m.line, 0) - coalesce(o.line, 0)) = 0 THEN 15.0 WHEN abs(coalesce(m.line, 0) - coalesce(o.line, 0)) <= 5 THEN 12.0 WHEN abs(coalesce(m.line, 0) - coalesce(o.line, 0)) <= 20 THEN 6.0 ELSE 0 END
+  + CASE WHEN m.file_type = o.file_type THEN 10.0 ELSE 0 END + 15.0 * {_ov(_PARTS.format('o'), _PARTS.format('m'))} + CASE WHEN m.label = o.label THEN 10.0 ELSE 0 END
+  + CASE WHEN {_BOTH} THEN CASE WHEN m.body_hash = o.body_hash THEN 25.0 ELSE -15.0 END ELSE 0 END) / CASE WHEN {_BOTH} THEN 140.0 ELSE 115.0 END AS score FROM rest m CROSS JOIN o),
+b AS (SELECT id, arg_max(uuid, row(round(score, 9), oid)) AS uuid FROM s WHERE score >= 0.4 GROUP BY id)
+SELECT id, uuid, 'id' AS how FROM by_id UNION ALL SELECT id, uuid, 'score' FROM b UNION ALL SELECT id, sha256(id), 'new' FROM rest WHERE id NOT IN (SELECT id FROM b)"""
+
 SQL = {
     "recall_keyword": _recall("cache overflow"),
     "recall_kind": _recall("deadlock retry", "bug_pattern"),
@@ -342,7 +374,7 @@ SELECT * EXCLUDE (status, adj), (s_confidence + s_observations + s_retrievals +
   count_if(updated_at > 0 AND updated_at < {NOW} AND floor(({NOW} - updated_at) / 86400) < 7) AS changed_7d, count_if(updated_at > 0 AND updated_at < {NOW} AND floor(({NOW} - updated_at) / 86400) < 30) AS changed_30d,
   (SELECT count(*) FROM l) AS links, (SELECT count_if(is_knowledge) FROM l) AS knowledge_links, (SELECT count_if(NOT is_knowledge) FROM orph) AS orphan_node_links, (SELECT count_if(is_knowledge) FROM orph) AS orphan_knowledge_links, (SELECT count(*) FROM n) AS nodes FROM k""",
     "orphan_links": with_("n", "k", "l") + "," + _ORPHANS + " SELECT * FROM orph",
-    "review_queue": with_("n", "k", "l") + "," + _STALE + "," + _F.replace("FROM k)", "FROM k)") + "," + _SIM + "," + _CONFLICTS + ", q AS (SELECT uuid AS u, 1 AS o, 'stale: ' || reason AS reason, 7 AS priority FROM stale UNION ALL SELECT uuid_a, 2, 'conflict: ' || conflict_type, 8 FROM conf UNION ALL SELECT uuid_a, 3, 'duplicate', 5 FROM sim WHERE similarity >= 0.6) SELECT u AS knowledge_uuid, reason, priority FROM q QUALIFY row_number() OVER (PARTITION BY u ORDER BY o, reason, priority) = 1",
+    "review_queue": with_("n", "k", "l") + "," + _STALE + "," + _F.replace("FROM k)", "FROM k)") + "," + _SIM + "," + _CONFLICTS + ", q AS (SELECT uuid AS u, 1 AS o, 'stale: ' || reason AS reason, 7 AS priority FROM stale UNION ALL SELECT uuid_a, 2, 'conflict: ' || conflict_type, 8 FROM conf UNION ALL SELECT uuid_a, 3, 'duplicate', 5 FROM sim WHERE similarity >= 0.6) SELECT u AS knowledge_uuid, reason, priority FROM q WHERE u NOT IN (SELECT uuid FROM k WHERE scope = 'module') QUALIFY row_number() OVER (PARTITION BY u ORDER BY o, reason, priority) = 1",
     "knowledge_neighbors": with_("l") + ", f AS (SELECT knowledge_uuid AS u FROM l WHERE is_knowledge GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT node_uuid AS uuid, relation, 'out' AS direction FROM l WHERE is_knowledge AND knowledge_uuid = (SELECT u FROM f) UNION ALL SELECT knowledge_uuid, relation, 'in' FROM l WHERE is_knowledge AND node_uuid = (SELECT u FROM f)",
     "knowledge_bfs": with_("l", recursive=True) + ", lk AS (SELECT * FROM l WHERE is_knowledge), ad AS (SELECT knowledge_uuid AS a, node_uuid AS b FROM lk UNION SELECT node_uuid, knowledge_uuid FROM lk), st AS (SELECT knowledge_uuid AS id FROM lk GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5), lv AS (SELECT id, 0 AS depth FROM st UNION SELECT b, depth + 1 FROM lv JOIN ad ON id = a WHERE depth < 3) SELECT id, min(depth) AS depth FROM lv GROUP BY id",
     "auto_link_nodes": with_("n", "k", "l") + f", w AS (SELECT DISTINCT uuid AS u, unnest(list_concat({_w('title', 3, '_')}, {_w(chr(39).join(['split_part(description, chr(10), 1)']), 3, '_')})) AS t FROM k), m AS (SELECT DISTINCT w.u, n.id, n.uuid FROM w JOIN n ON contains(lower(label), t) WHERE uuid IS NOT NULL AND length(t) > 3), r AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM l WHERE knowledge_uuid = u AND node_uuid = uuid)) SELECT u AS knowledge_uuid, uuid AS node_uuid, row_number() OVER (PARTITION BY u ORDER BY id) AS place FROM r QUALIFY place <= 5",
@@ -362,23 +394,46 @@ FROM k a LEFT JOIN tw ON a.uuid = tw.keep LEFT JOIN k b ON tw.absorb = b.uuid LE
     "new_links": with_("k", "l") + ", f AS (SELECT scope, min(uuid) AS t FROM k WHERE status = 'active' AND scope <> '' GROUP BY scope), a AS (SELECT uuid AS x, t AS y FROM k JOIN f ON k.scope = f.scope WHERE status = 'active' AND uuid <> t), n AS (SELECT x AS knowledge_uuid, y AS node_uuid, 'supports' AS relation FROM a UNION SELECT y, x, 'supported_by' FROM a) SELECT knowledge_uuid, node_uuid, relation, is_knowledge FROM l UNION ALL SELECT *, true FROM n WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.knowledge_uuid = n.knowledge_uuid AND l.node_uuid = n.node_uuid AND l.relation = n.relation)",
     "parse_diff": "SELECT * FROM (VALUES (0, 'x/new.py', 'x/old.py', 10, 14, 10, 12), (0, 'x/new.py', 'x/old.py', 33, 232, 30, 30), (0, 'gone.rs', 'gone.rs', 0, 0, 1, 900)) t(diff, file, old_file, start_line, end_line, old_start_line, old_end_line)",
     "diff_nodes": with_("n") + r", m AS (SELECT id, uuid, source_file, regexp_extract(source_file, '[^/]*$') AS b, TRY_CAST(regexp_extract(source_location, '^L*(\d+)', 1) AS INTEGER) AS line FROM n), h AS (SELECT source_file AS diff, regexp_extract(source_file, '[^/]*$') AS b, min(line) AS a FROM m WHERE source_file <> '' GROUP BY 1 HAVING min(line) IS NOT NULL) SELECT DISTINCT diff, m.id, m.uuid FROM h JOIN m ON h.b = m.b WHERE m.uuid IS NOT NULL AND m.b <> '' AND line BETWEEN a AND a + 39 + 5",
-    "semantic_topk": None,
-    "attach_knowledge": None,
+    "semantic_topk": _TOPK + "SELECT model, id, similarity FROM top",
+    "attach_knowledge": _TOPK.replace("WITH hx", with_("n", "k", "l") + ", hx") + "SELECT top_id.id, k.uuid, title, knowledge_type, k.confidence, relation FROM (SELECT DISTINCT id FROM top) top_id JOIN n ON n.id = top_id.id JOIN l ON l.node_uuid = n.uuid AND NOT is_knowledge JOIN k ON k.uuid = l.knowledge_uuid WHERE lower(status) <> 'obsolete'",
+    "thought_chain": with_("k", "l", recursive=True) + f""", o AS (SELECT *, row(coalesce(created_at, 0), knowledge_uuid, node_uuid, relation) AS r FROM l WHERE is_knowledge AND relation IN {lifecycle.CHAIN!r}),
+fw AS (SELECT knowledge_uuid AS a, arg_max(node_uuid, r) AS b, arg_max(relation, r) AS rel FROM o GROUP BY 1), bw AS (SELECT node_uuid AS b, arg_min(knowledge_uuid, r) AS a FROM o GROUP BY 1),
+back AS (SELECT min(knowledge_uuid) AS u, [min(knowledge_uuid)] AS seen FROM o UNION ALL SELECT a, list_append(seen, a) FROM back JOIN bw ON u = b WHERE NOT list_contains(seen, a)),
+root AS (SELECT arg_max(u, len(seen)) AS u FROM back),
+go AS (SELECT 0 AS step, u, [u] AS seen FROM root UNION ALL SELECT step + 1, b, list_append(seen, b) FROM go JOIN fw ON u = a WHERE NOT list_contains(seen, b))
+SELECT step, u AS uuid, coalesce(title, '') AS title, rel AS relation_to_next FROM go LEFT JOIN fw ON u = a LEFT JOIN k ON k.uuid = u""",
+    "recall_for_diff": _FOR_DIFF,
+    "identity_match": _IDENTITY,
+    "recall_for_task": None,
     "chunk_windows": r"""WITH f AS (SELECT 'doc/' || doc_id || '.md' AS file_path, regexp_split_to_array(regexp_replace(text, '\r?\n$', ''), '\r?\n') AS ls FROM documents WHERE text <> ''),
 s AS (SELECT *, unnest(range(0, greatest(CAST(ceil((len(ls) - 50) / 45) AS BIGINT), 0) + 1)) * 45 AS s FROM f), w AS (SELECT file_path, s + 1 AS start_line, least(s + 50, len(ls)) AS end_line, array_to_string(ls[s + 1:s + 50], chr(10)) AS content FROM s)
 SELECT file_path, start_line, end_line, sha256(content) AS content_hash, 'markdown' AS language FROM w WHERE strlen(regexp_replace(content, '^\s+|\s+$', '', 'g')) >= 1""",
-    "chunk_nodes": with_("n") + r", f AS (SELECT DISTINCT source_file AS p FROM n WHERE source_file <> ''), c AS (SELECT p, i, i * 45 + 1 AS a, i * 45 + 50 AS b FROM f, range(0, 20) r(i)), m AS (SELECT id, source_file, TRY_CAST(regexp_extract(source_location, '^L*(\d+)', 1) AS INTEGER) AS line FROM n) SELECT p || ':' || i AS id, m.id AS node_id FROM c JOIN m ON p = source_file AND line BETWEEN a AND b QUALIFY row_number() OVER (PARTITION BY p, i ORDER BY line, m.id) = 1",
+    "chunk_nodes": with_("n") + r", f AS (SELECT DISTINCT source_file AS p FROM n WHERE source_file <> ''), m AS (SELECT id, source_file, TRY_CAST(regexp_extract(source_location, '^L*(\d+)', 1) AS INTEGER) AS line FROM n), g AS (SELECT source_file AS p, max(line) AS last FROM m WHERE source_file <> '' GROUP BY 1 HAVING max(line) > 0), c AS (SELECT p, i, i * 45 + 1 AS a, i * 45 + 50 AS b FROM (SELECT p, unnest(range(0, (last - 1) // 45 + 1)) AS i FROM g)) SELECT p || ':' || i AS id, m.id AS node_id FROM c JOIN m ON p = source_file AND line BETWEEN a AND b QUALIFY row_number() OVER (PARTITION BY p, i ORDER BY line, m.id) = 1",
     "fingerprints": with_("n") + r"SELECT id, left(sha256(concat_ws('|', file_type, regexp_extract(source_file, '[^/]*$'), coalesce(source_location, ''), regexp_replace(coalesce(body_hash, ''), '\s+', '', 'g'))), 16) AS print FROM n",
     "merge_project": with_("n") + "SELECT id, CASE WHEN starts_with(source_file, 'corlaph-gate-00000/') THEN upper(label) ELSE label END AS label, source_file FROM n",
     "pruned_chunks": with_("c") + "SELECT id FROM c WHERE NOT starts_with(file_path, 'corlaph-gate-00000/') OR node_id IS NOT NULL",
     "upserted_embeddings": "SELECT node_id, model, max(dim) AS dim, max(updated_at) AS updated_at FROM node_embeddings GROUP BY node_id, model",
     "document_signs": r"WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lower(split_part(coalesce(text, ''), chr(10), 1)) AS m FROM documents) SELECT doc_id, CASE WHEN regexp_replace(t, '^\s+|\s+$', '', 'g') = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(t, '^\s+|\s+$', '', 'g'), '\s+')) END AS words, " + " + ".join(f"CAST(regexp_matches(t, '{p}') AS INTEGER)" for p in T.PAPER_SIGNS) + " AS paper_signs, CASE WHEN regexp_matches(m, '^(merge|wip|chore)') OR strlen(m) < 15 THEN NULL WHEN regexp_matches(m, 'fix|bug|crash') THEN 'bug_pattern' WHEN regexp_matches(m, 'refactor|cleanup|simplif') THEN 'decision' WHEN regexp_matches(m, 'add') AND regexp_matches(m, 'feature|support') THEN 'architecture' WHEN regexp_matches(m, 'critical|breaking|important') THEN 'lesson' WHEN regexp_matches(m, 'convention|style|format') THEN 'convention' WHEN regexp_matches(m, 'perf|optim|speed') THEN 'performance' END AS commit_kind FROM d",
 }
+# The best 20, of which none shares over 0.6 of its title's words with a better one: row by row down the ranking.
+SQL["recall_for_task"] = SQL["recall_scores"].replace("WITH ", "WITH RECURSIVE ", 1).replace("SELECT * EXCLUDE (status, adj), (s_conf", "SELECT * EXCLUDE (status), (s_conf").replace(",\np AS (SELECT k.uuid,", ",\np AS (SELECT k.uuid, title, fetch_count,").rsplit("\nSELECT ", 1)[0] + ",\nz AS (SELECT " + SQL["recall_scores"].rsplit("\nSELECT ", 1)[1].replace("* EXCLUDE (status, adj)", "*") + r"""),
+r AS (SELECT *, row_number() OVER (ORDER BY round(total, 9) DESC, uuid) AS i, list_filter(regexp_split_to_array(lower(title), '\s+'), lambda t: t <> '') AS ws FROM z),
+g AS (SELECT CAST(0 AS BIGINT) AS i, []::VARCHAR[] AS kept, []::VARCHAR[][] AS titles
+  UNION ALL SELECT r.i, CASE WHEN near THEN kept ELSE list_append(kept, r.uuid) END, CASE WHEN near THEN titles ELSE list_append(titles, r.ws) END
+  FROM (SELECT g.*, r2.uuid, r2.ws, r2.i AS ri, len(list_filter(titles, lambda t: len(t) > 0 AND len(r2.ws) > 0 AND len(list_filter(t, lambda w: list_contains(r2.ws, w))) / greatest(len(t), len(r2.ws)) > 0.6)) > 0 AS near FROM g JOIN r r2 ON r2.i = g.i + 1 WHERE len(kept) < 20) x JOIN r ON r.i = x.ri),
+best AS (SELECT unnest(kept) AS uuid, unnest(range(0, len(kept))) AS place FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1)),
+w AS (SELECT best.place, z.*, list_filter([CASE WHEN fetch_count > 5 THEN 'retrieved ' || fetch_count || 'x before' END, CASE WHEN s_nodes > 0 THEN 'linked to code in scope' END, CASE WHEN s_files > 0 THEN 'mentions touched file' END, CASE WHEN s_applies > 0 THEN 'applies_when match' END, CASE WHEN s_keywords > 0 THEN 'matches query' END,
+  CASE WHEN s_recency > 0 THEN 'recently active' WHEN s_recency < 0 THEN 'stale' END, CASE WHEN status = 'needs_review' THEN 'needs_review penalty' END, CASE WHEN abs(adj * 33) > 0.5 THEN 'graph reasoning: ' || printf('%+.1f', adj * 33) END], lambda x: x IS NOT NULL) AS why FROM best JOIN z ON best.uuid = z.uuid)
+SELECT place, uuid, total, CASE WHEN len(why) > 0 THEN array_to_string(why, '; ') ELSE 'high confidence' END AS reasons FROM w"""
 SQL["diff_entries"] = SQL["diff_nodes"].replace(" SELECT DISTINCT diff, m.id, m.uuid", ", t AS (SELECT DISTINCT diff, m.id, m.uuid").replace("WITH n AS", with_("l") + ",\nn AS", 1) + ") SELECT DISTINCT diff, knowledge_uuid AS uuid FROM t JOIN l ON t.uuid = l.node_uuid WHERE NOT is_knowledge"
 SQL = {k: v for k, v in SQL.items() if v}
 
 #: Columns of doubles, which queries and SQL both give rounded.
 DOUBLES = {
+    "semantic_topk": ["similarity"],
+    "attach_knowledge": ["confidence"],
+    "recall_for_diff": ["total"],
+    "recall_for_task": ["total"],
     "reason": ["adjustment"],
     "recall_scores": ["s_confidence", "s_observations", "s_retrievals", "s_nodes", "s_files", "s_scope", "s_applies", "s_keywords", "s_type", "s_recency", "total"],
     "knowledge_context": ["confidence"],

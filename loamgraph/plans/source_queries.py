@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions import text as T
 from loamgraph.operators import extract, search
+from loamgraph.plans import graph_queries as G
 from loamgraph.sources import files, sinks
 from loamgraph.sources import relations as R
 from loamgraph.sources.relations import with_
@@ -97,7 +98,22 @@ UNION ALL SELECT 2, '<edge source="' || {_X.format('source')} || '" target="' ||
 UNION ALL SELECT 2, 'MATCH (a:Node {{id: ''' || {_Q.format('source')} || '''}}), (b:Node {{id: ''' || {_Q.format('target')} || '''}}) MERGE (a)-[:' || CASE WHEN regexp_matches(upper(relation), '[A-Z0-9]') THEN regexp_replace(upper(relation), '[^A-Z0-9_]', '_', 'g') ELSE 'RELATES_TO' END || ']->(b);' FROM e""",
     "canvas": with_("n") + " SELECT id, CAST((row_number() OVER (ORDER BY id) - 1) % 20 * 600 AS BIGINT) AS x, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 20) * 80 AS BIGINT) AS y FROM n",
     "invalid_rows": with_("n", "e") + " SELECT 'nodes' AS \"table\", id AS key, CASE WHEN label IS NULL THEN 'no label' ELSE 'unknown file_type' END AS problem FROM n WHERE label IS NULL OR NOT coalesce(file_type IN ('code', 'document', 'paper', 'image', 'video', 'rationale'), false) UNION ALL SELECT 'edges', source || '>' || target, CASE WHEN relation IS NULL THEN 'no relation' ELSE 'unknown confidence' END FROM e WHERE relation IS NULL OR relation = 'linked' OR NOT coalesce(confidence IN ('EXTRACTED', 'INFERRED', 'AMBIGUOUS'), false)",
-    "embedding_sizes": None,
+    "embedding_sizes": R.FLOATS + "SELECT model, count(*) AS rows, count_if(octet_length(vec) = 4 * dim) AS of_length, count_if(octet_length(vec) = 4 * dim AND dim > 0 AND len(list_filter(v, lambda x: isnan(x))) = 0) AS readable FROM fl GROUP BY model",
+    "readme_paragraphs": r"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: NOT regexp_matches(p, '^\s*(#|!|\[|<|```)') AND length(trim(p, ' ')) > 20) AS ps FROM documents WHERE lower(trim(source)) = 'readme' AND length(text) >= 50)
+SELECT path, left(trim(ps[1], ' '), 500) AS description FROM d WHERE len(ps) > 0""",
+    "note_names": with_("n", "e") + r""", b AS (SELECT *, regexp_replace(coalesce(label, id), '[\\/:*?"<>|#^\[\]]', '_', 'g') AS base FROM n),
+f AS (SELECT *, CASE WHEN base <> '' THEN base ELSE id END AS base2 FROM b),
+g AS (SELECT *, row_number() OVER (PARTITION BY lower(base2) ORDER BY id) AS place FROM f),
+h AS (SELECT id, label, file_type, source_file, base2 || CASE WHEN place > 1 THEN '_' || place ELSE '' END AS file FROM g),
+c AS (SELECT source AS id, list_sort(list(DISTINCT '- [[' || file || ']] (' || coalesce(relation, 'null') || ')')) AS links FROM e JOIN h ON e.target = h.id GROUP BY source)
+SELECT file, sha256('---' || chr(10) || 'id: ' || h.id || chr(10) || 'file_type: ' || coalesce(file_type, '') || chr(10) || 'source_file: ' || source_file || chr(10) || '---' || chr(10) || '# ' || coalesce(label, '') || chr(10)
+  || CASE WHEN len(links) > 0 THEN chr(10) || '## Connections' || chr(10) || array_to_string(links, chr(10)) || chr(10) ELSE '' END) AS hash FROM h LEFT JOIN c ON h.id = c.id""",
+    "wiki": with_("n", "e") + ",\n" + G._DEG + f""", o AS (SELECT id, label, source_file, coalesce(community, 0) AS community FROM n), s AS (SELECT community, count(*) AS size FROM o GROUP BY 1),
+h AS (SELECT o.community, o.id, row_number() OVER (PARTITION BY o.community ORDER BY coalesce(degree, 0) DESC, o.id) AS place FROM o LEFT JOIN deg ON o.id = deg.id WHERE {G._PLAIN} QUALIFY place <= 5),
+t AS (SELECT community, source_file, row_number() OVER (PARTITION BY community ORDER BY count(*) DESC, source_file) AS place FROM o WHERE source_file <> '' GROUP BY community, source_file QUALIFY place <= 5),
+hs AS (SELECT community, string_agg('- ' || id, chr(10) ORDER BY place) AS hubs FROM h GROUP BY community), ts AS (SELECT community, string_agg('- ' || source_file, chr(10) ORDER BY place) AS files FROM t GROUP BY community),
+p AS (SELECT 'community_' || s.community AS page, '# Community ' || s.community || chr(10) || chr(10) || size || ' nodes' || chr(10) || chr(10) || '## Hubs' || chr(10) || hubs || chr(10) || chr(10) || '## Files' || chr(10) || coalesce(files, '') || chr(10) AS text, size FROM s JOIN hs ON s.community = hs.community LEFT JOIN ts ON s.community = ts.community)
+SELECT page, text FROM p UNION ALL SELECT 'index', '# Index' || chr(10) || chr(10) || string_agg('- [[' || page || ']] ' || size || ' nodes', chr(10) ORDER BY size DESC, page) FROM (SELECT * FROM p ORDER BY size DESC, page LIMIT 20)""",
     "file_projects": with_("n") + ", p AS (SELECT DISTINCT source_file AS path FROM n WHERE source_file <> '') SELECT path, CASE WHEN len(string_split(path, '/')) > 2 THEN array_to_string(string_split(path, '/')[1:2], '/') WHEN path IN (SELECT array_to_string(string_split(q.path, '/')[1:2], '/') FROM p q WHERE len(string_split(q.path, '/')) > 2) THEN path ELSE split_part(path, '/', 1) END AS name FROM p",
     "event_windows": "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS begun, event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
     "event_bursts": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS f FROM events),

@@ -84,5 +84,14 @@ SQL = {
 }
 
 
+_HEX = "substr(h, 8 * i + {0}, 2)"
+_BITS = "CAST('0x' || " + " || ".join(_HEX.format(k) for k in (7, 5, 3, 1)) + " AS BIGINT)"
+#: Rows fl of node_embeddings (first row per node and model) with their float32 bytes as numbers v, nan where not finite.
+FLOATS = f"""WITH hx AS (SELECT *, hex(vec) AS h FROM node_embeddings),
+fl AS (SELECT node_id, model, dim, vec, updated_at, list_transform(list_transform(range(0, octet_length(vec) // 4), lambda i: {_BITS}),
+  lambda b: CASE WHEN (b >> 23) & 255 = 255 THEN 'nan'::DOUBLE ELSE CASE WHEN b >= 2147483648 THEN -1 ELSE 1 END * CASE WHEN (b >> 23) & 255 = 0 THEN (b & 8388607) * power(2.0, -149) ELSE ((b & 8388607) + 8388608) * power(2.0, ((b >> 23) & 255) - 150) END END) AS v FROM hx)
+"""
+
+
 def with_(*names: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(SQL[n] for n in names)
