@@ -216,7 +216,7 @@ def similar_pairs(records: DataFrame, key: str, texts: list[str], threshold: flo
 
 
 def components(records: DataFrame, key: str, texts: list[str], threshold: float = 0.6, min_words: int = 12, time: str | None = None) -> DataFrame:
-    """(key, class_id, links): per record the least class of its connected group, and its class's links to other classes."""
+    """(key, group_key, links): per record the least key of its connected group, and the links of its text to other texts."""
     sets, members = classes(records, key, texts, time, min_words)
     members, links = cut(members), cut(similar_classes(sets, threshold))
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
@@ -230,5 +230,6 @@ def components(records: DataFrame, key: str, texts: list[str], threshold: float
         if jump.where("new < label").isEmpty():
             break
     counts = both.groupBy("a").agg(F.count("*").alias("links"))
-    out = members.join(labels.join(counts, "a").withColumnRenamed("a", "id"), "id", "left")
-    return out.select(F.col("key").alias(key), F.coalesce("label", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = members.join(labels.join(counts, "a").withColumnRenamed("a", "id"), "id", "left").select("key", F.coalesce("label", "id").alias("label"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    least = out.groupBy("label").agg(F.min("key").alias("group_key"))
+    return out.join(least, "label").select(F.col("key").alias(key), "group_key", "links")

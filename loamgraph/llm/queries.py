@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loamgraph.functions.ids import folded, path_form
 from loamgraph.llm import bpe, cooccurrence, mixing, near_duplicates, neighbors, rank_fusion, secrets, splitting
 from loamgraph.session import table
+from loamgraph.sources import relations as R
 
 SCORES = {"confidence": 1.0, "recency": 1.0, "keyword_match": 1.0, "retrievals": 1.0}
 INDIFFERENCE, PREFERENCE = 0.1, 0.5
@@ -36,7 +37,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Each entry with the number of its group, and its links."""
+    """Each entry with the least uuid of its group, and the links of its text to other texts."""
     return near_duplicates.components(table(spark, d, "knowledge"), "uuid", ["title", "description"], 0.6, 12, "updated_at")
 
 
@@ -139,7 +140,20 @@ p AS (SELECT a.repo, a.f AS file_a, b.f AS file_b, count(*) AS t FROM d a JOIN d
 x AS (SELECT p.*, ia.k AS ka, ib.k AS kb, n.n FROM p JOIN i ia ON p.repo = ia.repo AND file_a = ia.f JOIN i ib ON p.repo = ib.repo AND file_b = ib.f JOIN n ON p.repo = n.repo
   WHERE t * n.n >= 3 * ia.k * ib.k AND greatest(t / ia.k, t / ib.k) >= 0.4)
 """
+_P2_GROUPS = _P2.replace("WITH k", "WITH RECURSIVE k") + """, near AS (SELECT uuid_a AS a, uuid_b AS b FROM x WHERE shared / (total - shared) >= 0.6 UNION SELECT uuid_b, uuid_a FROM x WHERE shared / (total - shared) >= 0.6),
+reach AS (SELECT uuid AS a, uuid AS b FROM s UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+links AS (SELECT s.uuid, count(DISTINCT o.w) AS links FROM s JOIN near ON s.uuid = near.a JOIN s o ON o.uuid = near.b WHERE o.w <> s.w GROUP BY s.uuid)
+SELECT s.uuid, g.group_key, coalesce(links, 0) AS links FROM s JOIN (SELECT a, min(b) AS group_key FROM reach GROUP BY a) g ON s.uuid = g.a LEFT JOIN links ON s.uuid = links.uuid"""
+# All pairs of vectors of a model and length; the first readable row of a node counts, and its model is told apart by length.
+_P5 = R.FLOATS + """, ok AS (SELECT node_id, model, dim, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (SELECT * FROM fl WHERE node_id IS NOT NULL AND model IS NOT NULL AND dim > 0 AND octet_length(vec) = 4 * dim
+  AND len(list_filter(v, lambda x: isnan(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0 QUALIFY row_number() OVER (PARTITION BY node_id, model ORDER BY updated_at) = 1)),
+near AS (SELECT a.node_id, a.model, b.node_id AS other, least(1, list_dot_product(a.v, b.v)) AS similarity FROM ok a JOIN ok b ON a.model = b.model AND a.dim = b.dim AND a.node_id <> b.node_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY model, node_id ORDER BY round(similarity, 12) DESC, other) AS place FROM near QUALIFY place <= 5)
+"""
 SQL = {
+    "p2_groups": _P2_GROUPS,
+    "p5_found": _P5 + "SELECT DISTINCT least(node_id, other) AS node_a, greatest(node_id, other) AS node_b FROM best WHERE similarity >= 0.9",
+    "p5_neighbors": _P5 + "SELECT node_id, model, other, similarity, place FROM best",
     "p6_found": _P6 + "SELECT repo, file_a, file_b FROM x",
     "p6_pairs": _P6 + """SELECT repo, file_a, file_b, t AS commits, ka AS commits_a, kb AS commits_b, n AS repo_commits, t / ka AS weight_a, t / kb AS weight_b, t * n / (ka * kb) AS lift,
   (t + 0.5) * (n - ka - kb + t + 0.5) / ((ka - t + 0.5) * (kb - t + 0.5)) AS odds_ratio FROM x""",
@@ -151,4 +165,4 @@ SQL = {
 }
 
 #: Columns of doubles, which queries and SQL both give rounded.
-DOUBLES = {"p1_ranking": ["positive", "negative", "flow"], "p1_outranking": ["positive", "negative", "flow"], "p2_pairs": ["similarity"], "p6_pairs": ["weight_a", "weight_b", "lift", "odds_ratio"]}
+DOUBLES = {"p5_neighbors": ["similarity"], "p1_ranking": ["positive", "negative", "flow"], "p1_outranking": ["positive", "negative", "flow"], "p2_pairs": ["similarity"], "p6_pairs": ["weight_a", "weight_b", "lift", "odds_ratio"]}

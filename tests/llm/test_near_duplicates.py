@@ -51,7 +51,7 @@ def test_groups(spark):
         for a, b in brute(rows, 0.6, 12):
             label[a] = label[b] = min(label[a], label[b])
     for a, b in combinations(got, 2):
-        assert (got[a].class_id == got[b].class_id) == (label[a] == label[b])
+        assert (got[a].group_key == got[b].group_key) == (label[a] == label[b])
     assert got["copy"].links == got["u000"].links
 
 
