@@ -39,8 +39,10 @@ class Engine:
         return self.spark.createDataFrame([(u,) for u in uuids], "uuid string")
 
     # graph
-    def query_graph(self, question: str, depth: int = 3, hub: int = 50) -> DataFrame:
-        return graph.query_graph(self.nodes, self.edges, question, depth, hub=hub)
+    def query_graph(self, question: str, depth: int = 3, hub: int | None = 50, source: str = "", community: int | None = None, fuzzy: bool = False, token_budget: int | None = None) -> DataFrame | str:
+        """The nodes found; with a token budget, they and their edges as lines."""
+        found = graph.query_graph(self.nodes, self.edges, question, depth, hub=hub, source=source, community=community, fuzzy=fuzzy)
+        return found if token_budget is None else graph.rendered(found, self.edges, token_budget)
 
     def get_node(self, query: str, expand: str = "", top: int = 5) -> DataFrame:
         return graph.node_details(self.nodes, self.edges, query, expand, top)
@@ -67,10 +69,22 @@ class Engine:
         found = analyze.gaps(self.nodes, self.edges, left, right, **given)
         return found if threshold <= 0 else {"gaps": found, "candidates": analyze.gap_candidates(found, self.nodes, right, threshold, 3)}
 
-    def semantic_search(self, vector: Sequence[float], top: int = 10, model: str | None = None) -> dict[str, DataFrame]:
+    def semantic_search(self, vector: Sequence[float], top: int = 10, model: str | None = None, path: str = "", language: str = "") -> dict[str, DataFrame]:
+        """Hits and what is attached to them; ``path`` (a part of it) and ``language`` restrict the nodes, and where there are chunks a hit's content is joined last."""
         own = self.node_embeddings if model is None else self.node_embeddings.where(F.col("model") == model)
+        nodes = self.nodes
+        if path:
+            own = own.join(nodes.where(F.contains(F.lower("source_file"), F.lit(path.lower()))).select(F.col("id").alias("node_id")), "node_id", "left_semi")
+        chunks = self.chunks if "chunks" in self.store.tables() else None
+        if language:
+            if chunks is None:
+                raise ValueError("the store has no chunks")
+            own = own.join(chunks.where(F.lower("language") == language.lower()).select("node_id").distinct(), "node_id", "left_semi")
         hits = search.nearest(search.unpack(own.select(F.col("node_id").alias("id"), "dim", "vec")), vector, top).select("id", "similarity")
-        return {"hits": hits, "knowledge": search.attached(hits, self.nodes, self.links, self.knowledge)}
+        out = {"hits": hits, "knowledge": search.attached(hits, nodes, self.links, self.knowledge)}
+        if chunks is not None:
+            out["content"] = hits.join(chunks.select(F.col("node_id").alias("id"), "file_path", "start_line", "end_line", "content"), "id")
+        return out
 
     def analyze_change(self, diff: str, commit_files: DataFrame | None = None, most: int = 20) -> dict[str, DataFrame]:
         """Entries that a diff concerns, and the files that usually change with its first five."""
@@ -111,7 +125,7 @@ class Engine:
 
     def recall_for_diff(self, diff: str, most: int = 20) -> DataFrame:
         hunks = diffing.hunks(diffing.diffs_of(self.spark, [diff]))
-        files = [r.f for r in hunks.select(F.explode(F.array_distinct(F.array("file", "old_file"))).alias("f")).where("f != ''").distinct().orderBy("f").limit(100).collect()]
+        files = [r.f for r in hunks.select(F.explode(F.array_distinct(F.array("file", "old_file"))).alias("f")).where("f != ''").distinct().orderBy("f").collect()]  # those of one text
         return recall.for_diff(self.knowledge, self.links, diffing.touched_nodes(hunks, self.nodes).select("uuid"), files, self.now, most)
 
     def get_task_context(self, question: str = "", files: Sequence[str] = (), task: str = "", most: int = 10) -> dict[str, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,12 +96,12 @@ def html_title(html: Column) -> Column:
 
 #: Kinds of files by extension.
 FILE_KINDS = {
-    "code": "py ts js jsx tsx mjs ejs go rs java cpp cc cxx c h hpp rb swift kt kts cs scala php lua toc zig ps1 ex exs m mm jl vue svelte dart v sv",
-    "document": "md mdx txt rst html yaml yml",
-    "paper": "pdf",
-    "image": "png jpg jpeg gif webp svg",
-    "video": "mp4 mov webm mkv avi m4v mp3 wav m4a ogg",
-    "office": "docx xlsx",
+    "code": ("py", "ts", "js", "jsx", "tsx", "mjs", "ejs", "go", "rs", "java", "cpp", "cc", "cxx", "c", "h", "hpp", "rb", "swift", "kt", "kts", "cs", "scala", "php", "lua", "toc", "zig", "ps1", "ex", "exs", "m", "mm", "jl", "vue", "svelte", "dart", "v", "sv",),
+    "document": ("md", "mdx", "txt", "rst", "html", "yaml", "yml",),
+    "paper": ("pdf",),
+    "image": ("png", "jpg", "jpeg", "gif", "webp", "svg",),
+    "video": ("mp4", "mov", "webm", "mkv", "avi", "m4v", "mp3", "wav", "m4a", "ogg",),
+    "office": ("docx", "xlsx",),
 }
 
 
@@ -108,7 +109,7 @@ def file_kind(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     out = F.lit(None).cast("string")
     for kind, names in FILE_KINDS.items():
-        out = F.when(ext.isin(*names.split()), kind).otherwise(out)
+        out = F.when(ext.isin(*names), kind).otherwise(out)
     return out
 
 
@@ -180,6 +181,23 @@ def xml_escaped(c: Column) -> Column:
     return c
 
 
+def strip_symbols(c: Column) -> Column:
+    """Without characters beyond ASCII that are neither letters nor digits; letters keep their accents."""
+    return F.regexp_replace(c, r"[^\x00-\x7F\p{L}\p{N}]", "")
+
+
+def js_escaped(c: Column) -> Column:
+    """For a string literal in a script of a page."""
+    for a, b in (("\\", "\\\\"), ("'", "\\'"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("</", "<\\/")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def mermaid_escaped(c: Column) -> Column:
+    """For a quoted label of a chart."""
+    return F.regexp_replace(F.replace(c, F.lit('"'), F.lit("#quot;")), r"[\n\r\[\]{}|<>]", " ")
+
+
 def safe_filename(c: Column) -> Column:
     return F.regexp_replace(c, r'[\\/:*?"<>|#^\[\]]', "_")
 
@@ -195,11 +213,14 @@ def body_hash(source: Column) -> Column:
 
 
 def highlighted(label: Column, query: str) -> Column:
-    """The label with the query's words in brackets."""
-    for w in dict.fromkeys(query.split()):
-        quoted = "".join(f"\\x{{{ord(c):x}}}" for c in w)
-        label = F.regexp_replace(label, f"(?i)({quoted})", "[$1]")
-    return label
+    """The label with the letters in brackets that a fuzzy match of the query's words takes, neighbours together."""
+    from loamgraph.operators.search import marked
+
+    @F.pandas_udf("string")
+    def mark(labels: pd.Series) -> pd.Series:
+        return labels.map(lambda x: None if x is None else marked(x, query))
+
+    return mark(label)
 
 
 def civil_date(at: Column) -> Column:

@@ -3,28 +3,65 @@
 from __future__ import annotations
 
 import warnings
+from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamgraph.operators.graph import adjacency, plain_node, with_degrees
+from loamgraph.operators.prefix import dense_ids
 from loamgraph.session import cut
 
 #: Half rounds at most, as 50 sweeps.
 ROUNDS = 100
 
 
-def modularity_labels(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(id, community): one level of local moving.
+#: Edges up to which one task moves all nodes, one after the other.
+ONE_TASK = 300_000
+
+
+def _swept(batches: Iterator[pa.RecordBatch], sweeps: int = ROUNDS // 2) -> Iterator[pa.RecordBatch]:
+    """(a, c) of the undirected (x, y, w): sweeps over the nodes by name, each moving to the community of the largest gain, until none moves."""
+    near: dict[str, dict[str, float]] = defaultdict(dict)
+    for b in batches:
+        for x, y, w in zip(b["x"].to_pylist(), b["y"].to_pylist(), b["w"].to_pylist(), strict=True):
+            near[x][y] = near[y][x] = w
+    strength = {v: sum(own.values()) for v, own in near.items()}
+    whole, at, sums = sum(strength.values()) or 1.0, {v: v for v in near}, dict(strength)
+    for _ in range(sweeps):
+        moved = False
+        for v in sorted(near):
+            k, own = strength[v], at[v]
+            into: dict[str, float] = defaultdict(float)
+            for u, w in near[v].items():
+                into[at[u]] += w
+            sums[own] -= k
+            gains = {c: into.get(c, 0.0) - k * sums[c] / whole for c in {*into, own}}
+            best = min(gains, key=lambda c: (-round(gains[c], 9), c != own, c))
+            if best != own and gains[best] > gains[own] + 1e-9:
+                at[v], moved = best, True
+            sums[at[v]] += k
+        if not moved:
+            break
+    yield pa.record_batch([pa.array(list(at), pa.string()), pa.array(list(at.values()), pa.string())], names=["a", "c"])
+
+
+def modularity_labels(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, one_task: int = ONE_TASK) -> DataFrame:
+    """(id, community): one level of local moving, in sweeps over the nodes.
 
-    In each round every node looks at the communities of its neighbours and takes the one of the largest gain in
+    Up to ``one_task`` edges one task does it, a node after the other. Beyond that all nodes decide at once: in each round every node looks at the communities of its neighbours and takes the one of the largest gain in
     modularity. That all move at once would make neighbours swap for ever, so of each round only one half of the
     nodes may move, chosen by a hash of id and round, and ties fall to the least name. Rounds stop when no node, of either
     half, would move; a warning tells when ``rounds`` were not enough for that.
     Degrees and community sums are aggregates, so a hub is a key of a pre-aggregated shuffle, never a task's list.
     """
-    weights = edges.where("source != target").select(F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y"), F.coalesce("weight", F.lit(1.0)).alias("w")).groupBy("x", "y").agg(F.sum("w").alias("w"))
+    weights = cut(edges.where("source != target").select(F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y"), F.coalesce("weight", F.lit(1.0)).alias("w")).groupBy("x", "y").agg(F.sum("w").alias("w")))
+    if weights.limit(one_task + 1).count() <= one_task:
+        labels = weights.coalesce(1).mapInArrow(_swept, "a string, c string")
+        return nodes.select("id").join(labels.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("c", "id").alias("community"))
     both = cut(weights.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b"), "w"), F.struct(F.col("y").alias("a"), F.col("x").alias("b"), "w"))).alias("e")).select("e.*"))
     strength = cut(both.groupBy("a").agg(F.sum("w").alias("k")))
     whole = strength.agg(F.sum("k")).first()[0] or 1.0
@@ -58,8 +95,9 @@ def clusters(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFr
     half = big.select("id", F.concat("community", F.lit("/"), F.pmod(F.xxhash64("id"), F.lit(2)).cast("string")).alias("part"))
     parts = labels.join(half, "id", "left").select("id", F.coalesce("part", "community").alias("part"))
     counted = parts.groupBy("part").agg(F.count("*").alias("n"))
-    # Numbers are for communities, of which there are far fewer than nodes.
-    ranked = counted.withColumn("number", F.row_number().over(W.orderBy(F.col("n").desc(), "part")) - 1)
+    # Every isolated node is a community, so they are sorted in ranges, not in one task.
+    order = [F.col("n").desc(), F.col("part").asc()]
+    ranked = dense_ids(counted.repartitionByRange(*order).sortWithinPartitions(*order), "number")
     return parts.join(ranked, "part").select("id", F.col("number").cast("long").alias("community"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.functions import text as T
+from loamgraph.functions.ids import normal_id
 from loamgraph.session import cut
 
 
@@ -301,18 +302,67 @@ def substring_scores(nodes: DataFrame, question: str) -> DataFrame:
     return nodes.select("id", "label", "source_file", score.alias("score")).where("score > 0")
 
 
-def query_graph(nodes: DataFrame, edges: DataFrame, question: str, depth: int = 3, seeds: int = 3, hub: int | None = 50) -> DataFrame:
-    """The part of the graph around what a question names: best nodes, then levels without going on from hubs."""
-    best = [r.id for r in substring_scores(nodes, question).orderBy(F.col("score").desc(), "id").limit(seeds).collect()]
-    return bfs(nodes, edges, best, depth, hub=hub).join(nodes.select("id", "label", "source_file"), "id")
+def query_graph(nodes: DataFrame, edges: DataFrame, question: str, depth: int = 3, seeds: int = 3, hub: int | None = 50, source: str = "", community: int | None = None, fuzzy: bool = False) -> DataFrame:
+    """(id, depth, label, source_file) of the graph around what a question names: best nodes, then levels without going on from hubs.
 
+    ``source`` (a part of the path) and ``community`` filter seeds and what is entered. Where the question names nothing that
+    passes them, the best connected nodes that do are the seeds. ``fuzzy`` scores by subsequences instead of words.
+    """
+    scope = nodes
+    if source:
+        scope = scope.where(F.contains(F.lower("source_file"), F.lit(source.lower())))
+    if community is not None:
+        scope = scope.where(F.col("community") == community)
+    if fuzzy:
+        from loamgraph.operators.search import fuzzy_scores
+
+        scored = fuzzy_scores(scope, question)
+    else:
+        scored = substring_scores(scope, question)
+    best = [r.id for r in scored.orderBy(F.col("score").desc(), "id").limit(seeds).collect()]
+    if not best and (source or community is not None):
+        best = [r.id for r in with_degrees(scope.select("id"), edges).where("degree > 0").orderBy(F.col("degree").desc(), "id").limit(seeds).collect()]
+    return bfs(nodes, edges, best, depth, source, community, hub).join(nodes.select("id", "label", "source_file"), "id")
+
+
+def rendered(found: DataFrame, edges: DataFrame, tokens: int = 2000) -> str:
+    """The nodes of ``query_graph``, nearest first, then the edges between them, as lines, as many as fit at four bytes a token."""
+    from loamgraph.sources.sinks import within_budget
+
+    node = F.format_string("NODE %s [%s]", F.coalesce("label", "id"), "source_file")
+    names = found.select("id", F.coalesce("label", "id").alias("name"))
+    ends = induced(edges, found).join(names.withColumnsRenamed({"id": "source", "name": "a"}), "source").join(names.withColumnsRenamed({"id": "target", "name": "b"}), "target")
+    lines = found.select(F.col("depth").alias("o"), node.alias("t")).unionByName(ends.select(F.lit(1 << 30).alias("o"), F.format_string("EDGE %s --%s--> %s", "a", "relation", "b").alias("t")).distinct())
+    return within_budget(lines, F.col("t"), F.col("o"), tokens)
 
-def hierarchy_edges(paths: DataFrame) -> DataFrame:
-    """(parent, child) folders and files of distinct paths ``source_file``; the first part is the project."""
-    parts = F.split("source_file", "/")
-    own = paths.select("source_file").where("source_file != ''").distinct().select(parts.alias("p"))
-    steps = own.where("size(p) > 1").select("p", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("n"))
-    return steps.select(F.array_join(F.slice("p", F.lit(1), F.col("n")), "/").alias("parent"), F.array_join(F.slice("p", F.lit(1), F.col("n") + 1), "/").alias("child")).distinct()
+
+#: Files that make a folder a package.
+PACKAGE_FILES = ("Cargo.toml", "pyproject.toml", "setup.py", "setup.cfg", "package.json", "go.mod", "pom.xml", "build.gradle", "build.gradle.kts", "Gemfile", "composer.json", "mix.exs", "Package.swift", "pubspec.yaml", "__init__.py")
+
+
+def hierarchy(nodes: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, label, file_type, source_file, norm_label) of the folders of all nodes' paths, and contains edges (source, target).
+
+    The first part of a path is its project. Folders named src are passed over: what lies in them belongs to the folder above.
+    A folder of ``files`` (source_file; by default the nodes' own) with a package's file is a crate, any other a module. A
+    folder contains the node of a file, which is the one at its line L1.
+    """
+    own = nodes.select("source_file").where("source_file != ''").distinct().select("source_file", F.split("source_file", "/").alias("p")).where("size(p) > 1")
+    at = own.select("source_file", "p", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("n")).where("element_at(p, n) != 'src'")
+    path = F.array_join(F.slice("p", F.lit(1), F.col("n")), "/")
+    # The nearest folder above that isn't passed over.
+    above = F.array_max(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get(F.col("p"), i - 1) != "src")))
+    folders = at.select(path.alias("path"), F.element_at("p", F.col("n")).alias("label"), F.col("n"), F.array_join(F.slice("p", F.lit(1), above), "/").alias("above")).distinct()
+    listed = (nodes if files is None else files).select("source_file").distinct()
+    base = T.base_name(F.col("source_file"))
+    packages = listed.where(base.isin(*PACKAGE_FILES) | F.endswith("source_file", F.lit(".csproj"))).select(F.regexp_replace("source_file", "/?[^/]*$", "").alias("path")).distinct().withColumn("package", F.lit(True))
+    made = folders.join(packages, "path", "left").select(normal_id(F.col("path")).alias("id"), "label", F.when(F.col("n") == 1, "document").otherwise("code").alias("file_type"), F.col("path").alias("source_file"), F.when(F.col("package"), "crate").otherwise("module").alias("norm_label"))
+    made = made.groupBy("id").agg(F.min(F.struct("source_file", "label", "file_type", "norm_label")).alias("x")).select("id", "x.label", "x.file_type", "x.source_file", "x.norm_label")
+    inner = folders.where("above != ''").select(normal_id(F.col("above")).alias("source"), normal_id(F.col("path")).alias("target"))
+    last = F.array_max(F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: (i == 0) | (F.get(F.col("p"), i - 1) != "src")))
+    held = own.select("source_file", F.array_join(F.slice("p", F.lit(1), last), "/").alias("folder")).where("folder != ''")
+    of_files = held.join(nodes.where("source_location = 'L1'").select("source_file", F.col("id").alias("target")), "source_file").select(normal_id(F.col("folder")).alias("source"), "target")
+    return made, inner.unionByName(of_files).where("source != target").distinct()
 
 
 def node_details(nodes: DataFrame, edges: DataFrame, query: str, expand: str = "", top: int = 5) -> DataFrame:

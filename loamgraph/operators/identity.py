@@ -32,8 +32,12 @@ def _score(o: str, n: str) -> Column:
 def assign(old: DataFrame, new: DataFrame, least: float = LEAST_MATCH) -> DataFrame:
     """(id, uuid, how) for every new node: by fingerprint, then id, then the best score, else fresh (a hash of the id).
 
-    A score of ``least`` needs a common file name, word of the label or body, so only nodes that share one are compared.
+    A score of LEAST_MATCH without a common fingerprint needs one of: the same body; the same file name and a common word of
+    the label; the same file within five lines; the same label and type within five lines. Only nodes that agree in one of
+    these are compared, so neither a word nor a file name alone is a key. ``least`` must not be lower.
     """
+    if least < LEAST_MATCH:
+        raise ValueError(f"least must be {LEAST_MATCH} or more")
     columns = ["id", "label", "file_type", "source_file", "source_location", "fingerprint", "body_hash"]
     o, n = cut(old.where("uuid IS NOT NULL").select(*columns, "uuid")), cut(new.select(*columns))
     by_print = n.join(o.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.max_by("uuid", "id").alias("uuid")), "fingerprint").select("id", "uuid", F.lit("fingerprint").alias("how"))
@@ -41,8 +45,18 @@ def assign(old: DataFrame, new: DataFrame, least: float = LEAST_MATCH) -> DataFr
     by_id = left.join(o.select("id", "uuid"), "id").select("id", "uuid", F.lit("id").alias("how"))
     left = cut(left.join(by_id.select("id"), "id", "left_anti"))
     words = F.array_distinct(F.filter(F.split(F.coalesce("label", F.lit("")), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
-    blocks = F.explode(F.array_compact(F.concat(F.array(F.concat(F.lit("f:"), F.when(T.base_name(F.col("source_file")) != "", T.base_name(F.col("source_file")))), F.concat(F.lit("b:"), "body_hash")), F.transform(words, lambda t: F.concat(F.lit("w:"), t))))).alias("block")
-    pairs = left.select(F.col("id").alias("n"), blocks).join(o.select(F.col("id").alias("o"), blocks), "block").select("n", "o").distinct()
+    words = F.when(F.size(words) > 0, words).otherwise(F.array("label"))
+    base = T.base_name(F.col("source_file"))
+    place = F.when(base != "", F.concat(F.lit("/"), base)).otherwise(F.col("source_file"))
+    stretch = F.floor(F.when(F.col("source_location").isNotNull(), F.coalesce(T.line_number(F.col("source_location")), F.lit(0))) / 6)
+
+    def blocks(beside: tuple[int, ...]) -> Column:
+        """Lines within five of each other lie in one stretch of six or in neighbouring ones, which one side looks into."""
+        joined = lambda kind, *parts: F.concat(F.lit(kind), *(p for x in parts for p in (x, F.lit("|"))))
+        keys = [joined("b", F.col("body_hash")), *(joined(k, *p, (stretch + s).cast("string")) for s in beside for k, p in (("l", [F.col("source_file")]), ("n", [F.col("label"), F.col("file_type")])))]
+        return F.explode(F.array_compact(F.concat(F.array(*keys), F.transform(words, lambda t: joined("w", place, t))))).alias("block")
+
+    pairs = left.select(F.col("id").alias("n"), blocks((-1, 0, 1))).join(o.select(F.col("id").alias("o"), blocks((0,))), "block").select("n", "o").distinct()
     scored = pairs.join(left.alias("new"), F.col("n") == F.col("new.id")).join(o.alias("old"), F.col("o") == F.col("old.id")).select("n", "o", "old.uuid", _score("old", "new").alias("score")).where(F.col("score") >= least)
     by_score = scored.groupBy(F.col("n").alias("id")).agg(F.max_by("uuid", F.struct(F.round("score", 9), F.col("o"))).alias("uuid")).select("id", "uuid", F.lit("score").alias("how"))
     fresh = left.join(by_score.select("id"), "id", "left_anti").select("id", F.sha2("id", 256).alias("uuid"), F.lit("new").alias("how"))

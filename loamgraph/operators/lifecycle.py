@@ -36,20 +36,30 @@ def _likeness(a: str, b: str) -> Column:
 def similar_entries(k: DataFrame, least: float, blocks: Sequence[str] = ()) -> DataFrame:
     """(uuid_a, uuid_b, similarity), uuid_a < uuid_b, at ``least`` or more; with ``blocks``, pairs that agree in these columns.
 
-    Type and tags give 0.3 at most, so an entry shares words with any partner that make up ``least`` - 0.3 of its own
-    weight. Its words in order of rarity, up to where the rest weighs less, must hold one of them: only these meet
-    the words of other entries. Lossless for ``least`` > 0.3.
+    Type and tags give 0.3 at most (0.1 if the types differ), so the words that two entries share make up the remainder of
+    ``least`` in the weight of either (a word weighs as often as any entry repeats it). The rarest shared word stands, in order
+    of rarity, before the rest of either entry weighs less than that: only these first words meet each other, within a type
+    those for 0.3, and across types the fewer ones for 0.1. Lossless for ``least`` > 0.3.
     """
     if least <= 0.3:
         raise ValueError("least must be above 0.3")
-    own = cut(_features(k).select("uuid", "knowledge_type", "tags", "tw", "dw", *blocks))
+    same_type = "knowledge_type" in blocks
+    own = cut(_features(k).select("uuid", "knowledge_type", "tags", "tw", "dw", *(b for b in blocks if b != "knowledge_type")))
     weigh = lambda kind, share: F.transform(f"{kind}w", lambda x: F.struct(F.concat(F.lit(f"{kind}:"), x).alias("t"), (F.lit(share) / F.size(f"{kind}w")).alias("w")))
-    tokens = own.select("uuid", *blocks, F.explode(F.concat(weigh("t", 0.4), weigh("d", 0.3))).alias("x")).groupBy("uuid", *blocks, "x.t").agg(F.sum("x.w").alias("w"))
-    tokens = cut(tokens.join(tokens.groupBy("t").agg(F.count("*").alias("df")), "t"))
+    blocks = [b for b in blocks if b != "knowledge_type"]
+    tokens = cut(own.select("uuid", *blocks, "knowledge_type", F.explode(F.concat(weigh("t", 0.4), weigh("d", 0.3))).alias("x")).groupBy("uuid", *blocks, "knowledge_type", "x.t").agg(F.first("x.w").alias("w"), F.count("*").alias("times")))
+    tokens = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("df"), F.max("times").alias("most")), "t")
     later = W.partitionBy("uuid").orderBy("df", "t").rowsBetween(0, W.unboundedFollowing)
-    prefix = tokens.withColumn("rest", F.sum("w").over(later)).where(F.col("rest") >= least - 0.3 - 1e-9)
-    keys = ["t", *blocks]
-    pairs = prefix.select(*keys, F.col("uuid").alias("uuid_a")).join(tokens.select(*keys, F.col("uuid").alias("uuid_b")), keys).where("uuid_a < uuid_b").select("uuid_a", "uuid_b").distinct()
+    prefix = cut(tokens.withColumn("rest", F.sum(F.col("w") * F.col("most")).over(later)).where(F.col("rest") >= least - 0.3 - 1e-9).select("t", *blocks, "knowledge_type", "uuid", "rest"))
+
+    def meet(rows: DataFrame, keys: list[str], test: str) -> DataFrame:
+        a, b = (rows.select(*keys, F.col("uuid").alias(f"uuid_{s}"), F.col("knowledge_type").alias(f"type_{s}")) for s in "ab")
+        return a.join(b, keys).where("uuid_a < uuid_b").where(test).select("uuid_a", "uuid_b")
+
+    pairs = meet(prefix.withColumn("kind", F.col("knowledge_type")), ["t", "kind", *blocks], "true")
+    if not same_type:
+        pairs = pairs.unionByName(meet(prefix.where(F.col("rest") >= least - 0.1 - 1e-9), ["t", *blocks], "type_a != type_b"))
+    pairs = pairs.distinct()
     joined = pairs.join(own.alias("a"), F.col("uuid_a") == F.col("a.uuid")).join(own.alias("b"), F.col("uuid_b") == F.col("b.uuid"))
     return joined.select("uuid_a", "uuid_b", _likeness("a", "b").alias("similarity")).where(F.col("similarity") >= least)
 
@@ -66,8 +76,8 @@ def conflicts(k: DataFrame, links: DataFrame) -> DataFrame:
     active = k.where("status = 'active'").select("uuid")
     second = links.where("is_knowledge AND relation = 'contradicts'").select(F.col("knowledge_uuid").alias("uuid_a"), F.col("node_uuid").alias("uuid_b"))
     second = second.join(active.withColumnRenamed("uuid", "uuid_a"), "uuid_a", "left_semi").join(active.withColumnRenamed("uuid", "uuid_b"), "uuid_b", "left_semi").select("uuid_a", "uuid_b", F.lit("contradiction").alias("conflict_type"))
-    judged = k.where("status = 'active' AND scope != '' AND knowledge_type IN ('decision', 'pattern')").withColumn("kind", F.col("knowledge_type"))
-    third = similar_entries(judged, 0.4, ["scope", "kind"]).where("similarity > 0.4 AND similarity < 0.8").select("uuid_a", "uuid_b", F.lit("scope_overlap").alias("conflict_type"))
+    judged = k.where("status = 'active' AND scope != '' AND knowledge_type IN ('decision', 'pattern')")
+    third = similar_entries(judged, 0.4, ["scope", "knowledge_type"]).where("similarity > 0.4 AND similarity < 0.8").select("uuid_a", "uuid_b", F.lit("scope_overlap").alias("conflict_type"))
     return first.unionByName(second).unionByName(third)
 
 
@@ -102,8 +112,8 @@ def stale(k: DataFrame, links: DataFrame, nodes: DataFrame, now: int) -> DataFra
     return one.unionByName(e.where(idle).select("uuid", F.lit("not retrieved").alias("reason"), F.lit(0.4).alias("staleness"), status, "new_confidence"))
 
 
-def health(k: DataFrame, links: DataFrame, nodes: DataFrame, now: int) -> DataFrame:
-    """One row of counts and means; unknown states count as active."""
+def health(k: DataFrame, links: DataFrame, nodes: DataFrame, now: int, least: float = 0.6) -> DataFrame:
+    """One row of counts and means; unknown states count as active, pairs of a likeness of ``least`` as duplicates."""
     st, days = F.col("status"), lambda c: F.floor((F.lit(now) - F.col(c)) / DAY)
     since = lambda n: F.count_if((F.col("updated_at") > 0) & (F.col("updated_at") < now) & (days("updated_at") < n))
     overdue = (st == "active") & (F.col("last_validated_at") > 0) & (F.col("last_validated_at") < now) & (days("last_validated_at") > 90)
@@ -112,9 +122,10 @@ def health(k: DataFrame, links: DataFrame, nodes: DataFrame, now: int) -> DataFr
         (F.coalesce(F.sum("confidence"), F.lit(0.0)) / F.greatest(F.count("*"), F.lit(1))).alias("avg_confidence"), (F.coalesce(F.sum("observations"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avg_observations"),
         F.count_if(overdue).alias("validation_overdue"), since(7).alias("changed_7d"), since(30).alias("changed_30d"),
     )
-    counts = links.agg(F.count("*").alias("links"), F.count_if("is_knowledge").alias("knowledge_links"))
+    counts = links.agg(F.count("*").alias("links"), F.count_if(~F.col("is_knowledge")).alias("node_links"), F.count_if("is_knowledge").alias("knowledge_links"))
+    likeness = similar_entries(k, least).agg(F.count("*").alias("duplicate_candidates")).crossJoin(conflicts(k, links).agg(F.count("*").alias("conflicts")))
     lost = orphans(links, nodes, k).agg(F.count_if(~F.col("is_knowledge")).alias("orphan_node_links"), F.count_if("is_knowledge").alias("orphan_knowledge_links"))
-    return own.crossJoin(counts).crossJoin(lost).crossJoin(nodes.agg(F.count("*").alias("nodes")))  # one row each
+    return own.crossJoin(counts).crossJoin(lost).crossJoin(likeness).crossJoin(nodes.agg(F.count("*").alias("nodes")))  # one row each
 
 
 def orphans(links: DataFrame, nodes: DataFrame, k: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from loamgraph.session import cut
 
 
+#: Partitions whose counts are sent to every task.
+MOST_TASKS = 1_000_000
+
+
 def prefix_sums(df: DataFrame, keys: list[str], bin_: str, order: list[Column | str], sums: dict[str, Column]) -> DataFrame:
     """Adds to each row, per name of ``sums``, the sum over the rows of its keys that come before it.
 
@@ -26,9 +30,12 @@ def prefix_sums(df: DataFrame, keys: list[str], bin_: str, order: list[Column |
 
 
 def dense_ids(df: DataFrame, name: str) -> DataFrame:
-    """Numbers the rows from 0 without gaps. Across tasks goes a count per partition."""
+    """Numbers the rows from 0 without gaps, in order of partitions. Across tasks goes a count per partition, of which there must not be over MOST_TASKS."""
     mask = (1 << 33) - 1
-    df = cut(df).withColumn("_at", F.monotonically_increasing_id())
+    df = cut(df)
+    if df.rdd.getNumPartitions() > MOST_TASKS:
+        raise ValueError(f"more than {MOST_TASKS} partitions")
+    df = df.withColumn("_at", F.monotonically_increasing_id())
     rows = df.withColumns({"_pid": F.shiftright("_at", 33), "_no": F.col("_at").bitwiseAND(F.lit(mask))}).drop("_at")
     counts = rows.groupBy("_pid").agg(F.count("*").alias("_n"))
     before = counts.select("_pid", F.coalesce(F.sum("_n").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

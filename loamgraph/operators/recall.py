@@ -18,6 +18,10 @@ DAMPING, LEAST_EFFECT, MOST_EFFECT = 0.7, 0.01, 0.3
 ADVICE = (("convention", None, "Follow: ", 7, 9, "rule"), ("bug_pattern", None, "Watch for: ", 9, 9, "hazard"), ("bug_pattern", "bugfix", "Add test for: ", 8, 8, "test"), ("bug_pattern", "review", "Add test for: ", 8, 8, "test"), ("coupling", None, "Check coupling: ", 8, 8, "coupling"), ("decision", "refactor", "Respect decision: ", 7, 7, "constraint"), ("architecture", None, "Architecture: ", 6, 6, "constraint"), ("tech_debt", "refactor", "Opportunity: address ", 5, 5, "opportunity"), ("performance", None, "Perf: watch ", 6, 6, "hazard"))
 
 
+#: Titles that come to the driver at most.
+MOST_TITLES = 200_000
+
+
 def query_words(text: str) -> list[str]:
     return [t for t in "".join(c if c.isalnum() else " " for c in text.lower()).split() if len(t.encode()) > 2]
 
@@ -132,10 +136,13 @@ def diverse(scored: DataFrame, most: int, order: str = "total") -> DataFrame:
     """The best rows, without those whose title shares over 0.6 of its words with a better one kept.
 
     Keeping depends on all kept before, so it runs on the driver, over the best 4 x most rows, then four times as many, until
-    enough are kept; what comes there is bounded by ``most`` and the titles of near copies.
+    enough are kept. Of equal titles only the best row comes there; more than MOST_TITLES other titles before enough are
+    kept is an error.
     """
     spark, taken = scored.sparkSession, 4 * most
-    ranked = cut(scored.select("uuid", "title", F.col(order).alias("total")))
+    rows = scored.select("uuid", "title", F.col(order).alias("total"))
+    same = F.when(F.trim("title") != "", F.lower("title")).otherwise(F.col("uuid"))
+    ranked = cut(rows.groupBy(same.alias("same")).agg(F.min(F.struct((-F.round("total", 9)).alias("o"), "uuid", "title", "total")).alias("x")).select("x.uuid", "x.title", "x.total"))
     while True:
         rows = ranked.orderBy(F.round("total", 9).desc(), "uuid").limit(taken).collect()
         kept, titles = [], []
@@ -150,6 +157,8 @@ def diverse(scored: DataFrame, most: int, order: str = "total") -> DataFrame:
         if len(kept) == most or len(rows) < taken:
             return spark.createDataFrame(kept, "place int, uuid string, total double")
         taken *= 4
+        if taken > MOST_TITLES:
+            raise ValueError(f"fewer than {most} distinct titles among {MOST_TITLES}")
 
 
 def recommendations(entries: DataFrame, task: str, conflicts: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,26 +80,91 @@ def pack(values: Sequence[float]) -> bytes:
     return struct.pack(f"<{len(values)}f", *values)
 
 
-def fuzzy_scores(nodes: DataFrame, query: str) -> DataFrame:
-    """(id, label, score): subsequence match of the query in a label, four times that in its path.
+#: Points of a fuzzy match: a letter, one that begins a word, one after its predecessor, the first letter again; a gap's begin and length.
+LETTER, BEGINS, FOLLOWS, FIRST, GAP, WIDER = 16, 8, 4, 2, 3, 1
+
+
+def fuzzy_match(text: str, word: str) -> tuple[int, list[int]]:
+    """Points and places of the best match of a word's letters, in order, in a text; 0 and none without one.
 
-    Each letter that follows the one before or begins a word earns more; all letters must occur in order.
+    A word without capitals ignores case. Letters at the begin of a word (also of a camel-case one) and letters that follow
+    each other earn more, gaps inside the match cost. The best is found over all ways, letter by letter.
     """
-    letters = [c for c in query.lower() if not c.isspace()]
-    pattern = "(?i)" + ".*?".join(f"\\Q{c}\\E" for c in letters)
+    own = text if any(map(str.isupper, word)) else text.lower()
+    if not word or len(own) != len(text):
+        return 0, []
+    begins = [not i or not text[i - 1].isalnum() or text[i].isupper() and text[i - 1].islower() or text[i].isdigit() and not text[i - 1].isdigit() for i in range(len(text))]
+    points: list[dict[int, tuple[int, int]]] = []
+    for k, c in enumerate(word):
+        row: dict[int, tuple[int, int]] = {}
+        best, best_at = None, -1  # of the letter before, less the gap up to here
+        for i, x in enumerate(own):
+            if k and i:
+                if best is not None:
+                    best -= WIDER
+                if i >= 2 and i - 2 in points[-1] and (best is None or points[-1][i - 2][0] - GAP > best):
+                    best, best_at = points[-1][i - 2][0] - GAP, i - 2
+            if x != c:
+                continue
+            worth = LETTER + BEGINS * begins[i] * (1 if k else FIRST)
+            if not k:
+                row[i] = (worth, -1)
+                continue
+            ways = [(best + worth, best_at)] if best is not None else []
+            if i - 1 in points[-1]:
+                ways.append((points[-1][i - 1][0] + worth + FOLLOWS, i - 1))
+            if ways:
+                row[i] = max(ways)
+        if not row:
+            return 0, []
+        points.append(row)
+    at = max(points[-1], key=lambda i: (points[-1][i][0], -i))
+    total, places = points[-1][at][0], []
+    for row in reversed(points):
+        places.append(at)
+        at = row[at][1]
+    return max(total, 1), places[::-1]
+
+
+def fuzzy_points(text: str, query: str) -> int:
+    """Points of all words of a query, each of which must match."""
+    total = 0
+    for word in query.split():
+        p, _ = fuzzy_match(text, word)
+        if not p:
+            return 0
+        total += p
+    return total
+
+
+def marked(text: str, query: str) -> str:
+    """``text`` with the matched letters of the query's words in brackets; unchanged if one does not match."""
+    found: set[int] = set()
+    for word in query.split():
+        p, places = fuzzy_match(text, word)
+        if not p:
+            return text
+        found.update(places)
+    return "".join(("[" if i in found and i - 1 not in found else "") + c + ("]" if i in found and i + 1 not in found else "") for i, c in enumerate(text))
 
-    def points(c: Column) -> Column:
-        whole = F.when(F.contains(F.lower(c), F.lit(query.lower())), 2.0).otherwise(1.0)
-        return F.when(c.rlike(pattern), whole * len(letters) / F.greatest(F.char_length(c), F.lit(1))).otherwise(0.0)
 
-    score = 4 * points(F.coalesce("label", F.lit(""))) + points(F.coalesce("source_file", F.lit("")))
-    return nodes.select("id", "label", score.alias("score")).where("score > 0")
+def fuzzy_scores(nodes: DataFrame, query: str) -> DataFrame:
+    """(id, label, source_file, score): fuzzy points of the query in a label times four, and those in its path and logical key."""
+    @F.pandas_udf("int")
+    def points(texts: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+        return texts.map(lambda t: known.setdefault(t, fuzzy_points(t, query)) if t else 0).astype("int32")
+
+    key = F.col("logical_key") if "logical_key" in nodes.columns else F.lit("")
+    score = 4 * points(F.coalesce("label", F.lit(""))) + points(F.coalesce("source_file", F.lit(""))) + points(F.coalesce(key, F.lit("")))
+    return nodes.select("id", "label", "source_file", score.alias("score")).where("score > 0")
 
 
 def gap_neighbors(gaps: DataFrame, right: DataFrame, vectors: DataFrame, least: float = 0.65, k: int = 3) -> DataFrame:
     """(norm, id, cosine, place): right nodes (id) whose vectors (id, v) are nearest to those of gaps (norm, id).
 
-    Gaps are a report's few hundred rows: they are the broadcast side, checked against MOST_GAPS.
+    Gaps are a report's few hundred rows: they are the broadcast side, checked against MOST_GAPS, and meet every vector of
+    their length, as a stated query set does.
     """
     from pyspark.sql import Window as W
 

@@ -167,7 +167,32 @@ def dfs_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return graph.hierarchy_edges(R.nodes(spark, d))
+    """Folders as nodes, packages marked, and what each contains, as rows of one form; folders whose paths have a multiple of ten letters hold a package's file."""
+    n = R.nodes(spark, d)
+    marked = n.where("source_file != ''").select(F.concat(F.regexp_replace("source_file", "/[^/]*$", ""), F.lit("/"), F.when(F.char_length(F.regexp_replace("source_file", "/[^/]*$", "")) % 10 == 0, "setup.py").otherwise("x.txt")).alias("source_file"))
+    made, edges = graph.hierarchy(n, marked)
+    none = F.lit(None).cast("string")
+    return made.select(F.lit("node").alias("part"), "id", "label", "file_type", "norm_label", none.alias("target")).unionByName(edges.select(F.lit("edge").alias("part"), F.col("source").alias("id"), none.alias("label"), none.alias("file_type"), none.alias("norm_label"), "target"))
+
+
+def query_graph_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """A question that names nothing in its scope: the best connected nodes there are the seeds."""
+    return graph.query_graph(*_ne(spark, d), "zzzz", 2, hub=HUB, source=LEFT)
+
+
+def call_receivers(spark: SparkSession, d: str) -> DataFrame:
+    """Calls with receivers: by the length of the callee's name its own class, an ancestor, the class of the target by name, or none."""
+    n, e = _ne(spark, d)
+    label = F.lower(F.regexp_replace(F.coalesce("label", F.lit("")), r"^\.|\(\)$", ""))
+    names = n.select(F.col("id").alias("target"), label.alias("callee")).where("callee != ''")
+    owner = e.where("relation = 'method'").groupBy("target").agg(F.min("source").alias("id")).join(n.select("id", label.alias("class")), "id").select("target", "class")
+    calls = e.where("relation = 'calls'").select(F.col("source").alias("caller"), "target").distinct().join(names, "target").join(owner, "target", "left")
+    kind = F.char_length("callee") % 4
+    return analyze.resolve_calls(n, e, calls.select("caller", "callee", F.when(kind == 0, "self").when(kind == 1, "super").when(kind == 2, F.col("class")).alias("receiver")))
+
+
+def compare_options(spark: SparkSession, d: str) -> DataFrame:
+    return analyze.gaps(*_ne(spark, d), LEFT, RIGHT, public=PUBLIC, top=200, file_type="code", label="e", min_degree=2, skip_file_nodes=False, public_only=True).select("norm", "label", "source_file", "degree")
 
 
 def louvain(spark: SparkSession, d: str) -> DataFrame:
@@ -215,7 +240,7 @@ def token_benchmark(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     god_nodes, god_nodes_filtered, degree_fan_in, graph_stats, edge_confidence, relation_counts, dangling_edges, merged_edges, build_merged, graph_diff, label_forms, sensitive_paths,
     community_nodes, community_files, community_labels, community_links, cohesion, surprising, suggest_questions, shared_labels, bfs_depth3, bfs_hub, callers, callees, call_paths, shortest_path, cycles,
-    query_graph, dfs_order, file_hierarchy, louvain, node_neighbors, compare_gaps, compare_priority, compare_semantic, renames, co_changes, call_resolution, token_benchmark,
+    query_graph, dfs_order, file_hierarchy, louvain, node_neighbors, compare_gaps, compare_priority, compare_semantic, renames, co_changes, call_resolution, token_benchmark, query_graph_filtered, call_receivers, compare_options,
 )}
 
 _STEM = r"regexp_replace(regexp_extract(source_file, '[^/]*$'), '(.)\.[^.]*$', '\1')"
@@ -226,7 +251,7 @@ _STARTS = "starts AS (SELECT source AS id FROM e WHERE relation = 'calls' GROUP
 _ADJ = "adj AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e)"
 _NORMED = r"nullif(lower(regexp_replace(label, '[^\p{L}\p{N}]', '', 'g')), '')"
 _TOKENS = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(label, ''), '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '[^\p{L}\p{N}]+'), lambda t: lower(t)), lambda t: strlen(t) > 1)"
-_KIND = "CASE " + " ".join(f"WHEN lower(regexp_extract({{0}}, '\\.([^./]+)$', 1)) IN ({', '.join(repr(x) for x in names.split())}) THEN '{kind}'" for kind, names in T.FILE_KINDS.items()) + " END"
+_KIND = "CASE " + " ".join(f"WHEN lower(regexp_extract({{0}}, '\\.([^./]+)$', 1)) IN ({', '.join(repr(x) for x in names)}) THEN '{kind}'" for kind, names in T.FILE_KINDS.items()) + " END"
 
 
 def _levels(steps: str, seeds: str, depth: int, more: str = "", go: str = "") -> str:
@@ -288,6 +313,18 @@ lv AS (SELECT question, id, 0 AS depth FROM best UNION SELECT question, b, depth
 r AS (SELECT DISTINCT question, lv.id FROM lv),
 z AS (SELECT q.question, (SELECT count(*) FROM n) * 5000 // 75 AS corpus_tokens, greatest(1, coalesce(sum(strlen(label) + strlen(source_file)), 0) // 4) AS query_tokens FROM q LEFT JOIN r ON q.question = r.question LEFT JOIN n ON r.id = n.id GROUP BY q.question)
 SELECT question, corpus_tokens, CAST(query_tokens AS BIGINT) AS query_tokens, round(corpus_tokens / query_tokens, 1) AS ratio FROM z""",
+    "call_receivers": with_("n", "e", recursive=True) + r""", named AS (SELECT id AS target, lower(regexp_replace(coalesce(label, ''), '^\.|\(\)$', '', 'g')) AS callee FROM n WHERE callee <> ''),
+owner AS (SELECT target AS id, min(source) AS class FROM e WHERE relation = 'method' GROUP BY target),
+raw AS (SELECT DISTINCT source AS caller, x.callee, CASE length(x.callee) % 4 WHEN 0 THEN 'self' WHEN 1 THEN 'super' WHEN 2 THEN c.callee END AS receiver FROM e JOIN named x ON e.target = x.target LEFT JOIN owner ON owner.id = e.target LEFT JOIN (SELECT id, lower(regexp_replace(coalesce(label, ''), '^\.|\(\)$', '', 'g')) AS callee FROM n) c ON c.id = owner.class WHERE relation = 'calls'),
+up AS (SELECT DISTINCT source AS c, target AS p FROM e WHERE relation = 'extends'),
+chain AS (SELECT class, class AS ancestor, 0 AS distance FROM (SELECT class FROM owner UNION SELECT c FROM up) UNION SELECT class, p, distance + 1 FROM chain JOIN up ON ancestor = c WHERE distance < 60),
+many AS (SELECT callee FROM named GROUP BY callee HAVING count(*) > 1),
+st AS (SELECT caller, callee, class, CASE receiver WHEN 'super' THEN 1 ELSE 0 END AS least FROM raw JOIN owner ON caller = id WHERE receiver IN ('self', 'super') AND callee IN (FROM many)
+  UNION SELECT caller, raw.callee, named.target, 0 FROM raw JOIN named ON named.callee = receiver WHERE receiver NOT IN ('self', 'super') AND raw.callee IN (FROM many) AND (named.target IN (SELECT class FROM owner) OR named.target IN (SELECT c FROM up))),
+dist AS (SELECT class, ancestor, min(distance) AS distance FROM chain GROUP BY 1, 2),
+hits AS (SELECT caller, st.callee, named.target, distance FROM st JOIN dist ON st.class = dist.class AND distance >= least JOIN owner o ON o.class = ancestor JOIN named ON named.target = o.id AND named.callee = st.callee)
+SELECT DISTINCT caller, callee, target FROM (SELECT caller, callee, arg_min(target, (distance, target)) AS target FROM hits GROUP BY caller, callee
+  UNION ALL SELECT caller, raw.callee, named.target FROM raw JOIN named ON named.callee = raw.callee WHERE raw.callee NOT IN (FROM many)) WHERE caller <> target""",
     "call_resolution": with_("n", "e", recursive=True) + r""", named AS (SELECT id AS target, lower(regexp_replace(coalesce(label, ''), '^\.|\(\)$', '', 'g')) AS callee FROM n WHERE callee <> ''),
 raw AS (SELECT DISTINCT source AS caller, callee FROM e JOIN named ON e.target = named.target WHERE relation = 'calls'),
 owner AS (SELECT target AS id, min(source) AS class FROM e WHERE relation = 'method' GROUP BY target),
@@ -299,7 +336,15 @@ SELECT caller, callee, target FROM (SELECT caller, callee, arg_min(target, (dist
   UNION ALL SELECT caller, callee, (SELECT target FROM named WHERE named.callee = raw.callee) FROM raw WHERE callee IN (SELECT callee FROM named GROUP BY callee HAVING count(*) = 1)) WHERE caller <> target""",
     "query_graph": with_("n", "e", recursive=True) + "," + _ADJ + "," + _DEG + """, q AS (SELECT id, """ + " + ".join(f"CASE WHEN contains(lower(label), '{t}') THEN 2 ELSE 0 END + CASE WHEN contains(lower(source_file), '{t}') THEN 1 ELSE 0 END" for t in ("json", "lock", "cache")) + " AS score FROM n), best AS (SELECT id FROM q WHERE score > 0 ORDER BY score DESC, id LIMIT 3),\n" + _levels(f"SELECT a, b FROM adj JOIN deg ON a = deg.id WHERE degree <= {HUB} OR a IN (SELECT id FROM best)", "SELECT id FROM best", 2) + "SELECT x.id, depth, label, source_file FROM (SELECT id, min(depth) AS depth FROM lv GROUP BY id) x JOIN n ON x.id = n.id",
     "cycles": with_("n", "e", recursive=True) + ", s AS (SELECT DISTINCT source AS a, target AS b FROM e WHERE relation IN ('calls', 'imports') AND source <> target), r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a), m AS (SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT component, count(*) AS size, array_to_string(list_sort(list(label)), ', ') AS members FROM m JOIN n ON m.id = n.id GROUP BY component",
-    "file_hierarchy": with_("n") + ", p AS (SELECT DISTINCT string_split(source_file, '/') AS p FROM n WHERE source_file <> ''), s AS (SELECT p, unnest(range(1, len(p))) AS i FROM p) SELECT DISTINCT array_to_string(p[1:i], '/') AS parent, array_to_string(p[1:i + 1], '/') AS child FROM s",
+    "file_hierarchy": with_("n") + f""", w AS (SELECT DISTINCT source_file AS f, string_split(source_file, '/') AS p FROM n WHERE source_file <> ''),
+s AS (SELECT f, p, i, array_to_string(p[1:i], '/') AS path FROM (SELECT f, p, unnest(range(1, len(p))) AS i FROM w) WHERE p[i] <> 'src'),
+v AS (SELECT *, lag(path) OVER (PARTITION BY f ORDER BY i) AS above, i = max(i) OVER (PARTITION BY f) AS last FROM s),
+u AS (SELECT DISTINCT path, above, p[i] AS label, i FROM v),
+m AS (SELECT DISTINCT regexp_replace(f, '/[^/]*$', '') AS path FROM w WHERE length(regexp_replace(f, '/[^/]*$', '')) % 10 = 0),
+x AS (SELECT {R._NORM.format('u.path')} AS id, min(row(u.path, label, CASE WHEN i = 1 THEN 'document' ELSE 'code' END, CASE WHEN m.path IS NOT NULL THEN 'crate' ELSE 'module' END)) AS r FROM u LEFT JOIN m ON u.path = m.path GROUP BY 1),
+z AS (SELECT {R._NORM.format('above')} AS id, {R._NORM.format('path')} AS target FROM u WHERE above IS NOT NULL
+  UNION SELECT {R._NORM.format('s.path')}, n.id FROM v s JOIN n ON n.source_file = s.f AND n.source_location = 'L1' WHERE s.last)
+SELECT 'node' AS part, id, r[2] AS label, r[3] AS file_type, r[4] AS norm_label, NULL AS target FROM x UNION ALL SELECT 'edge', id, NULL, NULL, NULL, target FROM z WHERE id <> target""",
     "node_neighbors": _NE + "SELECT DISTINCT target AS id, relation, 'out' AS direction FROM e WHERE source = 'runtime_log_event' UNION SELECT source, relation, 'in' FROM e WHERE target = 'runtime_log_event'",
     "compare_gaps": _GAPS + "SELECT norm, label, source_file, degree, is_public FROM g ORDER BY is_public DESC, degree DESC, norm LIMIT 200",
     "compare_priority": _GAPS + "SELECT norm, label, fan_in, priority FROM g ORDER BY is_public DESC, priority DESC, norm LIMIT 200",
@@ -314,9 +359,13 @@ x AS (SELECT p.knowledge_uuid, p.node_uuid, m.id, 0.4 + 0.4 * coalesce(len(list_
   UNION ALL SELECT p.knowledge_uuid, p.node_uuid, m.id, 0.9, false FROM p JOIN m ON p.h = m.body_hash AND p.h <> '' AND p.f <> m.f),
 y AS (SELECT knowledge_uuid, node_uuid, id, max(CASE WHEN b THEN greatest(s, 0.95) ELSE s END) AS score FROM x GROUP BY ALL)
 SELECT knowledge_uuid, node_uuid, id, score, row_number() OVER (PARTITION BY knowledge_uuid, node_uuid ORDER BY score DESC, id) AS place FROM y WHERE score >= 0.4 QUALIFY place <= 3""",
+    "query_graph_filtered": with_("n", "e", recursive=True) + "," + _ADJ + "," + _DEG + f""", sc AS (SELECT id FROM n WHERE contains(lower(source_file), '{LEFT}')), best AS (SELECT sc.id FROM sc JOIN deg ON sc.id = deg.id ORDER BY degree DESC, sc.id LIMIT 3),
+lv AS (SELECT id, 0 AS depth FROM best UNION SELECT b, depth + 1 FROM lv JOIN adj ON lv.id = a JOIN deg ON deg.id = a WHERE depth < 2 AND (degree <= {HUB} OR a IN (SELECT id FROM best)) AND b IN (SELECT id FROM sc))
+SELECT lv.id, min(depth) AS depth, any_value(label) AS label, any_value(source_file) AS source_file FROM lv JOIN n ON lv.id = n.id GROUP BY lv.id""",
+    "compare_options": _GAPS.replace("FROM n LEFT JOIN deg", "FROM (SELECT * FROM n WHERE lower(file_type) = 'code') n LEFT JOIN deg").replace(" AND plain QUALIFY", " AND contains(lower(label), 'e') QUALIFY") + "SELECT norm, label, source_file, degree FROM g WHERE is_public AND degree >= 2 ORDER BY degree DESC, norm LIMIT 200",
     "co_changes": r"""WITH c AS (SELECT DISTINCT repo, commit_id, regexp_replace(replace(file, '\', '/'), '^(\./)+', '') AS f FROM commit_files WHERE file <> ''),
 t AS (SELECT repo, f FROM (SELECT repo, f, count(*) AS n FROM c WHERE f <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY repo ORDER BY n DESC, f) = 1),
-m AS (SELECT t.repo, t.f AS target, commit_id, count(*) OVER (PARTITION BY t.repo) AS n FROM t JOIN c ON t.repo = c.repo AND t.f = c.f)
+m AS (SELECT *, count(*) OVER (PARTITION BY repo) AS n FROM (SELECT DISTINCT t.repo, t.f AS target, commit_id FROM t JOIN c ON t.repo = c.repo AND regexp_extract(t.f, '[^/]*$') = regexp_extract(c.f, '[^/]*$')))
 SELECT m.repo, target, c.f AS file, count(*) AS commits, count(*) / any_value(n) AS weight, any_value(n) AS target_commits FROM m JOIN c ON m.repo = c.repo AND m.commit_id = c.commit_id WHERE c.f <> target AND c.f <> '' GROUP BY ALL""",
 }
 

@@ -369,10 +369,10 @@ SELECT * EXCLUDE (status, adj), (s_confidence + s_observations + s_retrievals +
     "similar_to": with_("k") + "," + _F + f" SELECT b.uuid, {_LIKE} AS similarity FROM f a JOIN f b ON a.uuid <> b.uuid WHERE a.uuid = (SELECT min(uuid) FROM k) AND {_LIKE} >= 0.35",
     "conflicts": with_("k", "l") + "," + _F + "," + _SIM + "," + _CONFLICTS + " SELECT * FROM conf",
     "stale": with_("n", "k", "l") + "," + _STALE + " SELECT * FROM stale",
-    "health": with_("n", "k", "l") + "," + _ORPHANS + f""" SELECT count(*) AS total, count_if(status NOT IN ('tentative', 'needs_review', 'obsolete')) AS active, count_if(status = 'tentative') AS tentative, count_if(status = 'needs_review') AS needs_review, count_if(status = 'obsolete') AS obsolete,
+    "health": with_("n", "k", "l") + "," + _ORPHANS + "," + _F + "," + _SIM + "," + _CONFLICTS + f""" SELECT count(*) AS total, count_if(status NOT IN ('tentative', 'needs_review', 'obsolete')) AS active, count_if(status = 'tentative') AS tentative, count_if(status = 'needs_review') AS needs_review, count_if(status = 'obsolete') AS obsolete,
   coalesce(sum(confidence), 0) / greatest(count(*), 1) AS avg_confidence, coalesce(sum(observations), 0) / greatest(count(*), 1) AS avg_observations, count_if(status = 'active' AND last_validated_at > 0 AND last_validated_at < {NOW} AND floor(({NOW} - last_validated_at) / 86400) > 90) AS validation_overdue,
   count_if(updated_at > 0 AND updated_at < {NOW} AND floor(({NOW} - updated_at) / 86400) < 7) AS changed_7d, count_if(updated_at > 0 AND updated_at < {NOW} AND floor(({NOW} - updated_at) / 86400) < 30) AS changed_30d,
-  (SELECT count(*) FROM l) AS links, (SELECT count_if(is_knowledge) FROM l) AS knowledge_links, (SELECT count_if(NOT is_knowledge) FROM orph) AS orphan_node_links, (SELECT count_if(is_knowledge) FROM orph) AS orphan_knowledge_links, (SELECT count(*) FROM n) AS nodes FROM k""",
+  (SELECT count(*) FROM l) AS links, (SELECT count_if(NOT is_knowledge) FROM l) AS node_links, (SELECT count(*) FROM sim WHERE similarity >= 0.6) AS duplicate_candidates, (SELECT count(*) FROM conf) AS conflicts, (SELECT count_if(is_knowledge) FROM l) AS knowledge_links, (SELECT count_if(NOT is_knowledge) FROM orph) AS orphan_node_links, (SELECT count_if(is_knowledge) FROM orph) AS orphan_knowledge_links, (SELECT count(*) FROM n) AS nodes FROM k""",
     "orphan_links": with_("n", "k", "l") + "," + _ORPHANS + " SELECT * FROM orph",
     "review_queue": with_("n", "k", "l") + "," + _STALE + "," + _F.replace("FROM k)", "FROM k)") + "," + _SIM + "," + _CONFLICTS + ", q AS (SELECT uuid AS u, 1 AS o, 'stale: ' || reason AS reason, 7 AS priority FROM stale UNION ALL SELECT uuid_a, 2, 'conflict: ' || conflict_type, 8 FROM conf UNION ALL SELECT uuid_a, 3, 'duplicate', 5 FROM sim WHERE similarity >= 0.6) SELECT u AS knowledge_uuid, reason, priority FROM q WHERE u NOT IN (SELECT uuid FROM k WHERE scope = 'module') QUALIFY row_number() OVER (PARTITION BY u ORDER BY o, reason, priority) = 1",
     "knowledge_neighbors": with_("l") + ", f AS (SELECT knowledge_uuid AS u FROM l WHERE is_knowledge GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT node_uuid AS uuid, relation, 'out' AS direction FROM l WHERE is_knowledge AND knowledge_uuid = (SELECT u FROM f) UNION ALL SELECT knowledge_uuid, relation, 'in' FROM l WHERE is_knowledge AND node_uuid = (SELECT u FROM f)",
@@ -450,5 +450,5 @@ DOUBLES = {
 #: Columns of counts, which the SQL gives wider than the queries.
 COUNTS = {
     "knowledge_types": ["needs_review"],
-    "health": ["active", "tentative", "needs_review", "obsolete", "validation_overdue", "changed_7d", "changed_30d", "knowledge_links", "orphan_node_links", "orphan_knowledge_links"],
+    "health": ["active", "tentative", "needs_review", "obsolete", "validation_overdue", "changed_7d", "changed_30d", "node_links", "duplicate_candidates", "conflicts", "knowledge_links", "orphan_node_links", "orphan_knowledge_links"],
 }

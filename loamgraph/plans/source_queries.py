@@ -88,12 +88,12 @@ QUERIES = {f.__name__: f for f in (extracted, graphml, cypher, note_names, canva
 
 _X = "replace(replace(replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 _Q = "replace(replace(coalesce({0}, ''), '\\', '\\\\'), '''', '\\''')"
-_HEAD = "<?xml version=\"1.0\" encoding=\"UTF-8\"?><graphml xmlns=\"http://graphml.graphdrawing.org/xmlns\">" + "".join(f'<key id="{k}" for="{w}" attr.name="{k}" attr.type="string"/>' for k, w in (("label", "node"), ("file", "node"), ("relation", "edge"))) + '<graph edgedefault="directed">'
+_HEAD = "<?xml version=\"1.0\" encoding=\"UTF-8\"?><graphml xmlns=\"http://graphml.graphdrawing.org/xmlns\">" + "".join(f'<key id="{k}" for="{w}" attr.name="{k}" attr.type="{t}"/>' for k, w, t in sinks.GRAPHML_KEYS) + '<graph edgedefault="directed">'
 
 SQL = {
     "graphml": with_("n", "e") + f""" SELECT 0 AS part, '{_HEAD}' AS value UNION ALL SELECT 3, '</graph></graphml>'
-UNION ALL SELECT 1, '<node id="' || {_X.format('id')} || '"><data key="label">' || {_X.format('label')} || '</data><data key="file">' || {_X.format('source_file')} || '</data></node>' FROM n
-UNION ALL SELECT 2, '<edge source="' || {_X.format('source')} || '" target="' || {_X.format('target')} || '"><data key="relation">' || {_X.format('relation')} || '</data></edge>' FROM e""",
+UNION ALL SELECT 1, '<node id="' || {_X.format('id')} || '"><data key="label">' || {_X.format('label')} || '</data><data key="file_type">' || {_X.format('file_type')} || '</data><data key="source_file">' || {_X.format('source_file')} || '</data>' || coalesce('<data key="community">' || community || '</data>', '') || '</node>' FROM n
+UNION ALL SELECT 2, '<edge source="' || {_X.format('source')} || '" target="' || {_X.format('target')} || '"><data key="relation">' || {_X.format('relation')} || '</data><data key="confidence">' || {_X.format('confidence')} || '</data></edge>' FROM e""",
     "cypher": with_("n", "e") + f""" SELECT 1 AS part, 'MERGE (n:Node {{id: ''' || {_Q.format('id')} || '''}}) SET n.label = ''' || {_Q.format('label')} || ''', n.file = ''' || {_Q.format('source_file')} || ''';' AS value FROM n
 UNION ALL SELECT 2, 'MATCH (a:Node {{id: ''' || {_Q.format('source')} || '''}}), (b:Node {{id: ''' || {_Q.format('target')} || '''}}) MERGE (a)-[:' || CASE WHEN regexp_matches(upper(relation), '[A-Z0-9]') THEN regexp_replace(upper(relation), '[^A-Z0-9_]', '_', 'g') ELSE 'RELATES_TO' END || ']->(b);' FROM e""",
     "canvas": with_("n") + " SELECT id, CAST((row_number() OVER (ORDER BY id) - 1) % 20 * 600 AS BIGINT) AS x, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 20) * 80 AS BIGINT) AS y FROM n",

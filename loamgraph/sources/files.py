@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 import re
+import subprocess
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 from loamgraph.functions import text as T
 from loamgraph.functions.ids import normal_id
 
-#: Folders that are never read, and sizes of a corpus that call for a word.
-NOISE = ("venv", ".venv", "env", "node_modules", "__pycache__", ".git", "dist", "build", "target", "out", "site-packages", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".eggs")
+#: Folders that are never read (the last are our own output), and sizes of a corpus that call for a word.
+NOISE = ("node_modules", "__pycache__", ".git", ".hg", ".svn", "target", "dist", "build", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "venv", ".venv", "loamgraph-out", ".loamgraph-out")
 SMALL_WORDS, LARGE_WORDS, MANY_FILES = 50_000, 500_000, 200
 #: Types of memory files and of entries.
 MEMORY_TYPES = {"feedback": "preference", "user": "preference", "project": "context", "reference": "api"}
@@ -137,6 +139,56 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows("nodes").where("id IS NOT NULL"), rows("links" if "links" in raw.columns else "edges").where("source IS NOT NULL AND target IS NOT NULL")
 
 
+def inside(path: str, base: str) -> str:
+    """The real path of ``path``, which must exist and lie in the folder ``base``, links resolved; else an error."""
+    real, home = os.path.realpath(path), os.path.realpath(base)
+    if not os.path.isdir(home):
+        raise FileNotFoundError(f"no folder {base}")
+    if not os.path.exists(real):
+        raise FileNotFoundError(f"no file {path}")
+    if os.path.commonpath([real, home]) != home:
+        raise PermissionError(f"{path} is outside of {base}")
+    return real
+
+
+def provenance(folder: str) -> str | None:
+    """commit:<short hash>@<folder> of a folder under version control, cwd:<folder> of any other, None if there is none."""
+    if not os.path.isdir(folder):
+        return None
+    name = os.path.basename(os.path.abspath(folder))
+    try:
+        done = subprocess.run(["git", "-C", folder, "rev-parse", "--short", "HEAD"], capture_output=True, text=True, timeout=10, check=False)
+    except (OSError, subprocess.TimeoutExpired):
+        return f"cwd:{name}"
+    head = done.stdout.strip() if done.returncode == 0 else ""
+    return f"commit:{head}@{name}" if head else f"cwd:{name}"
+
+
+def moved_on(spark: SparkSession, folder: str, built_from: str) -> str | None:
+    """A warning if a folder's commit is another than the one its graph was built from."""
+    now = provenance(folder)
+    if not now or not now.startswith("commit:") or not built_from or now.split(":")[1].split("@")[0] == built_from[: len(now.split(":")[1].split("@")[0])]:
+        return None
+    return f"built from {built_from}, now at {now.split(':')[1].split('@')[0]}"
+
+
+def open_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of what ``path`` is: a store of ours, a node-link JSON file, a folder with graph.json, or a folder of notes."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at) and not fs.getFileStatus(at).isDirectory():
+        return read_graph(spark, path)
+    if fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/pointer-*.json")):
+        from loamgraph.sources.store import Store
+
+        store = Store(spark, path)
+        return store.table("nodes"), store.table("edges")
+    if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/graph.json")):
+        return read_graph(spark, f"{path}/graph.json")
+    return vault(notes(spark, path))
+
+
 def invalid_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(table, key, problem) of rows that break the model."""
     kinds = ("code", "document", "paper", "image", "video", "rationale")

@@ -13,6 +13,10 @@ from loamgraph.operators import community, graph
 MOST_DRAWN, COLOURS, ROW, COLUMN = 5000, ("#4E79A7", "#F28E2B", "#E15759", "#76B7B2", "#59A14F", "#EDC948", "#B07AA1", "#FF9DA7", "#9C755F", "#BAB0AC"), 80, 600
 
 
+#: Keys of a graph file, what they are for, and their types.
+GRAPHML_KEYS = (("label", "node", "string"), ("file_type", "node", "string"), ("source_file", "node", "string"), ("community", "node", "int"), ("relation", "edge", "string"), ("confidence", "edge", "string"))
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Two folders of JSON lines, nodes and links, for any size."""
     nodes.withColumn("norm_label", T.label_norm(F.coalesce("label", F.lit("")))).write.mode("overwrite").json(f"{path}/nodes")
@@ -22,9 +26,11 @@ def graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, value): parts in order are head, nodes, edges and foot."""
     e = lambda c: T.xml_escaped(F.coalesce(c, F.lit("")))
-    n = nodes.select(F.lit(1).alias("part"), F.format_string('<node id="%s"><data key="label">%s</data><data key="file">%s</data></node>', e("id"), e("label"), e("source_file")).alias("value"))
-    m = edges.select(F.lit(2).alias("part"), F.format_string('<edge source="%s" target="%s"><data key="relation">%s</data></edge>', e("source"), e("target"), e("relation")).alias("value"))
-    keys = "".join(f'<key id="{k}" for="{w}" attr.name="{k}" attr.type="string"/>' for k, w in (("label", "node"), ("file", "node"), ("relation", "edge")))
+    part = F.coalesce(F.format_string('<data key="community">%d</data>', "community"), F.lit(""))
+    part = F.when(F.col("community").isNotNull(), part).otherwise("")
+    n = nodes.select(F.lit(1).alias("part"), F.format_string('<node id="%s"><data key="label">%s</data><data key="file_type">%s</data><data key="source_file">%s</data>%s</node>', e("id"), e("label"), e("file_type"), e("source_file"), part).alias("value"))
+    m = edges.select(F.lit(2).alias("part"), F.format_string('<edge source="%s" target="%s"><data key="relation">%s</data><data key="confidence">%s</data></edge>', e("source"), e("target"), e("relation"), e("confidence")).alias("value"))
+    keys = "".join(f'<key id="{k}" for="{w}" attr.name="{k}" attr.type="{t}"/>' for k, w, t in GRAPHML_KEYS)
     ends = nodes.sparkSession.createDataFrame([(0, f'<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="directed">'), (3, "</graph></graphml>")], "part int, value string")
     return ends.unionByName(n).unionByName(m)
 
@@ -63,27 +69,45 @@ def canvas_cells(nodes: DataFrame, columns: int) -> DataFrame:
     return own.select("id", (F.col("n") % columns * COLUMN).alias("x"), (F.floor(F.col("n") / columns) * ROW).alias("y"))
 
 
+#: A page's script: nodes are laid out by springs and drawn, edges under them; a click names a node.
+_DRAW = """
+const c=document.getElementById('c'),x=c.getContext('2d'),N=data.nodes,E=data.edges,at={};c.width=innerWidth;c.height=innerHeight;
+N.forEach((n,i)=>{const r=20*Math.sqrt(i+1),a=2.4*i;n.x=c.width/2+r*Math.cos(a);n.y=c.height/2+r*Math.sin(a);at[n.id]=n});
+for(let t=0;t<60;t++){for(const e of E){const p=at[e.from],q=at[e.to];if(!p||!q||p===q)continue;const dx=q.x-p.x,dy=q.y-p.y,d=Math.hypot(dx,dy)||1,f=(d-60)/d*.02;p.x+=dx*f;p.y+=dy*f;q.x-=dx*f;q.y-=dy*f}
+const g={};for(const n of N){const k=(n.x/40|0)+','+(n.y/40|0);(g[k]=g[k]||[]).push(n)}for(const k in g)for(const p of g[k])for(const q of g[k])if(p!==q){const dx=p.x-q.x,dy=p.y-q.y,d=Math.hypot(dx,dy)||1;p.x+=dx/d*.5;p.y+=dy/d*.5}}
+x.strokeStyle='#ccc';for(const e of E){const p=at[e.from],q=at[e.to];if(p&&q){x.beginPath();x.moveTo(p.x,p.y);x.lineTo(q.x,q.y);x.stroke()}}
+for(const n of N){x.fillStyle=n.color;x.beginPath();x.arc(n.x,n.y,n.size/4,0,7);x.fill();if(n.size>25){x.fillStyle='#222';x.fillText(n.label,n.x+n.size/4,n.y)}}
+c.onclick=v=>{for(const n of N)if(Math.hypot(n.x-v.pageX,n.y-v.pageY)<n.size/4+2)alert(n.label)};
+"""
+
+
 def picture(nodes: DataFrame, edges: DataFrame) -> str:
-    """A page that draws the graph; larger ones than MOST_DRAWN nodes are refused."""
+    """A page that draws the graph; more nodes than MOST_DRAWN, or edges than 20 times that, are refused."""
     import json
 
     rows = graph.with_degrees(nodes.select("id", "label", "community"), edges).limit(MOST_DRAWN + 1).collect()
-    if len(rows) > MOST_DRAWN:
-        raise ValueError(f"more than {MOST_DRAWN} nodes")
+    lines = edges.select("source", "target", "relation").limit(20 * MOST_DRAWN + 1).collect()
+    if len(rows) > MOST_DRAWN or len(lines) > 20 * MOST_DRAWN:
+        raise ValueError(f"more than {MOST_DRAWN} nodes or {20 * MOST_DRAWN} edges")
     most = max([1, *(r.degree for r in rows)])
-    points = [{"id": r.id, "label": r.label or r.id, "size": 10 + 30 * r.degree / most, "color": COLOURS[(r.community or 0) % len(COLOURS)]} for r in rows]
-    lines = [{"from": r.source, "to": r.target, "title": r.relation} for r in edges.limit(20 * MOST_DRAWN).collect()]
-    data = json.dumps({"nodes": points, "edges": lines}).replace("</", "<\\/")
-    return f"<!doctype html><meta charset=utf-8><title>graph</title><canvas id=c></canvas><script>const data={data};</script>"
+    points = [{"id": r.id, "label": r.label or r.id, "size": 10 + 30 * r.degree / most, "color": COLOURS[(r.community or 0) % len(COLOURS)]} for r in sorted(rows, key=lambda r: (-r.degree, r.id))]
+    drawn = [{"from": r.source, "to": r.target, "title": r.relation} for r in lines]
+    data = json.dumps({"nodes": points, "edges": drawn}).replace("</", "<\\/")
+    return f"<!doctype html><meta charset=utf-8><title>graph</title><canvas id=c></canvas><script>const data={data};{_DRAW}</script>"
 
 
 def mermaid(nodes: DataFrame, edges: DataFrame, most: int = 200) -> str:
-    """A flow chart of a small part of a graph."""
+    """A flow chart of a small part of a graph; a comment says how much of a larger one is left out."""
     clean = lambda s: "".join(c if c.isalnum() else "_" for c in s)
-    rows = nodes.orderBy("id").limit(most).collect()
+    rows = nodes.select("id", T.mermaid_escaped(F.coalesce("label", "id")).alias("label")).orderBy("id").limit(most + 1).collect()
+    more, rows = rows[most:], rows[:most]
     known = {r.id for r in rows}
-    out = ["graph TD"] + [f'  {clean(r.id)}["{(r.label or r.id).replace(chr(34), chr(39))}"]' for r in rows]
-    return "\n".join(out + [f"  {clean(r.source)} -->|{r.relation}| {clean(r.target)}" for r in edges.where(F.col("source").isin(*known) & F.col("target").isin(*known)).orderBy("source", "target", "relation").limit(5 * most).collect()])
+    own = edges.where(F.col("source").isin(*known) & F.col("target").isin(*known)).select("source", "target", "relation").distinct()
+    lines = own.orderBy("source", "target", "relation").limit(5 * most + 1).collect()
+    out = ["graph TD"] + [f'  {clean(r.id)}["{r.label}"]' for r in rows] + [f"  {clean(r.source)} -->|{r.relation}| {clean(r.target)}" for r in lines[: 5 * most]]
+    if more or len(lines) > 5 * most:
+        out.append(f"  %% cut: {len(rows)} of {nodes.count()} nodes, {min(len(lines), 5 * most)} of {own.count()} edges between them")
+    return "\n".join(out)
 
 
 def within_budget(lines: DataFrame, text: Column, order: Column, tokens: int) -> str:
@@ -97,19 +121,34 @@ def within_budget(lines: DataFrame, text: Column, order: Column, tokens: int) ->
     return "\n".join(out)
 
 
-def report(nodes: DataFrame, edges: DataFrame, top: int = 10) -> str:
-    """A report in Markdown: sizes, confidence, hubs, communities, surprises, questions."""
+def report(nodes: DataFrame, edges: DataFrame, top: int = 10, corpus: DataFrame | None = None, hyperedges: DataFrame | None = None) -> str:
+    """A report in Markdown: corpus, sizes and confidence, hubs of communities, hubs, surprises, hyperedges, communities, doubtful edges, gaps, questions.
+
+    ``corpus`` is the row of files.corpus_report; ``hyperedges`` have label, relation and nodes.
+    """
     n, e = nodes.count(), edges.count()
-    out = ["# Graph report", "", f"{n} nodes, {e} edges", "", "## Confidence", ""]
-    out += [f"- {r.confidence}: {r['count']}" for r in edges.groupBy("confidence").count().orderBy("confidence").collect()]
+    out = ["# Graph report", "", "## Corpus", ""]
+    out += [f"- {r.files} files, {r.words} words{': ' + r.advice if r.advice else ''}" for r in corpus.collect()] if corpus is not None else ["- not scanned"]
+    kinds = {r.confidence: r["count"] for r in edges.groupBy("confidence").count().collect()}
+    out += ["", "## Summary", "", f"{n} nodes, {e} edges", *(f"- {k}: {c} ({100 * c // max(1, e)}%)" for k, c in sorted(kinds.items(), key=lambda x: str(x[0])))]
+    degree = graph.with_degrees(nodes.select("id", "label"), edges)
+    isolated, thin = degree.where("degree <= 1"), community.top_nodes(nodes, edges, 1, 1).where("size < 3")
+    gaps = isolated.orderBy("id").limit(top).select(F.format_string("%s has one connection or none", F.coalesce("label", "id")).alias("t")).unionByName(thin.orderBy("community").limit(top).select(F.format_string("community %d has %d nodes", "community", "size").alias("t")))
+    doubtful = edges.where("confidence = 'AMBIGUOUS'").select("source", "relation", "target").distinct().orderBy("source", "target", "relation").limit(top)
     sections = (
+        ("Community hubs", community.top_nodes(nodes, edges, 3, 3).orderBy(F.col("size").desc(), "community", "place").limit(3 * top), lambda r: f"{r.community}: {r.id} ({r.degree})"),
         ("Hubs", graph.god_nodes(nodes, edges, top), lambda r: f"{r.label} ({r.degree})"),
-        ("Communities", community.top_nodes(nodes, edges, 1, 3).orderBy(F.col("size").desc(), "community").limit(top), lambda r: f"{r.community}: {r.size} nodes, {r.id}"),
         ("Surprising connections", graph.surprising(nodes, edges, top), lambda r: f"{r.source} {r.relation} {r.target}: {r.reasons}"),
+        ("Hyperedges", hyperedges.orderBy("label").limit(top) if hyperedges is not None else None, lambda r: f"{r.label} ({r.relation}): {', '.join(r.nodes)}"),
+        ("Communities", community.top_nodes(nodes, edges, 1, 3).orderBy(F.col("size").desc(), "community").limit(top), lambda r: f"{r.community}: {r.size} nodes, {r.id}"),
+        ("Ambiguous edges", doubtful, lambda r: f"{r.source} {r.relation} {r.target}"),
+        ("Knowledge gaps", gaps, lambda r: r.t),
         ("Questions", graph.questions(nodes, edges, top), lambda r: r.question),
     )
     for title, df, line in sections:
-        out += ["", f"## {title}", "", *(f"- {line(r)}" for r in df.collect())]
+        rows = df.collect() if df is not None else []
+        if rows:
+            out += ["", f"## {title}", "", *(f"- {line(r)}" for r in rows)]
     return "\n".join(out) + "\n"
 
 

@@ -1,7 +1,8 @@
 """A store of Parquet snapshots: each table's current folder is named by a small pointer file, written last.
 
-Readers see whole snapshots. There is one writer at a time: a commit names the snapshot it began from, and is refused if
-another came between.
+Pointers are numbered and never replaced; the last is current, so a reader sees a whole snapshot at any time, also after a
+writer that died. A commit names the snapshot it began from and takes the next number; where another writer has taken it, the
+commit is refused.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _read(self) -> dict:
-        at = self._path(f"{self.root}/current.json")
-        if not self._fs.exists(at):
-            return {"version": VERSION, "commit": "", "tables": {}}
-        return json.loads(self.spark.read.text(f"{self.root}/current.json", wholetext=True).first()[0])
+        names = [f.getPath().getName() for f in self._fs.globStatus(self._path(f"{self.root}/pointer-*.json")) or ()]
+        if not names:
+            return {"version": VERSION, "commit": "", "number": 0, "tables": {}}
+        return json.loads(self.spark.read.text(f"{self.root}/{max(names)}", wholetext=True).first()[0])
 
     @property
     def commit_id(self) -> str:
@@ -56,36 +57,39 @@ class Store:
         for name, df in tables.items():
             df.write.mode("error").parquet(f"{self.root}/{name}/{own}")
             state["tables"][name] = f"{name}/{own}"
-        state |= {"commit": own, "version": VERSION}
-        fresh, current = self._path(f"{self.root}/.{own}.json"), self._path(f"{self.root}/current.json")
+        state |= {"commit": own, "version": VERSION, "number": state["number"] + 1}
+        fresh, pointer = self._path(f"{self.root}/.{own}.json"), self._path(f"{self.root}/pointer-{state['number']:012d}.json")
         out = self._fs.create(fresh, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        if self._fs.exists(current):
-            self._fs.delete(current, False)
-        if not self._fs.rename(fresh, current):
-            raise RuntimeError("the pointer could not be moved")
+        # Taking the number is what decides between two writers; the pointer appears whole.
+        if self._fs.exists(pointer) or not self._fs.rename(fresh, pointer):
+            self._fs.delete(fresh, False)
+            raise RuntimeError(f"another writer has made snapshot {state['number']}")
         return own
 
     def upsert(self, name: str, rows: DataFrame, order: str | None = None) -> str:
         """Rows over those of the same key."""
+        since = self.commit_id
         old = self.table(name) if name in self.tables() else rows.limit(0)
-        return self.commit({name: identity.upsert(old, rows, KEYS[name], order)})
+        return self.commit({name: identity.upsert(old, rows, KEYS[name], order)}, since)
 
     def prune(self, name: str, keep: DataFrame, prefix: str | None = None) -> str:
-        return self.commit({name: identity.prune(self.table(name), keep, KEYS[name][0], prefix)})
+        since = self.commit_id
+        return self.commit({name: identity.prune(self.table(name), keep, KEYS[name][0], prefix)}, since)
 
     def merge_project(self, project: str, nodes: DataFrame, edges: DataFrame, forced: bool = False) -> str:
         """Replaces a project's nodes and edges, unless it would shrink too much; links to nodes that are gone go too."""
-        inside = F.startswith("source_file", F.lit(project.rstrip("/") + "/"))
+        since, inside = self.commit_id, F.startswith("source_file", F.lit(project.rstrip("/") + "/"))
         merged = identity.merge_project(self.table("nodes"), nodes, project, forced)
         out = {"nodes": merged, "edges": self.table("edges").where(~inside).unionByName(edges, allowMissingColumns=True)}
         if "links" in self.tables():
             alive = merged.where("uuid IS NOT NULL").select(F.col("uuid").alias("node_uuid"))
             links = self.table("links")
             out["links"] = links.where("is_knowledge").unionByName(links.where("NOT is_knowledge").join(alive, "node_uuid", "left_semi"))
-        return self.commit(out)
+        return self.commit(out, since)
 
     def record_fetch(self, uuids: DataFrame, now: int) -> str:
         """The write that follows a recall."""
-        return self.commit({"knowledge": lifecycle.record_fetch(self.table("knowledge"), uuids, now)})
+        since = self.commit_id
+        return self.commit({"knowledge": lifecycle.record_fetch(self.table("knowledge"), uuids, now)}, since)

@@ -1,6 +1,7 @@
 import warnings
 
 import pytest
+from pyspark.sql import functions as F
 from loamgraph.operators import analyze, community, extract, graph
 from loamgraph.plans import graph_queries
 from loamgraph.sources import relations
@@ -87,13 +88,14 @@ def test_local_moving_ends_when_no_node_would_move(spark):
     names = [f"c{i:03}" for i in range(200)]
     n, e = nodes(spark, [(x,) for x in names]), edges(spark, list(zip(names, names[1:], strict=False)))
     with pytest.warns(UserWarning, match="still move"):
-        community.modularity_labels(n, e, 2)
+        community.modularity_labels(n, e, 2, one_task=0)
     with warnings.catch_warnings():
         warnings.simplefilter("error", UserWarning)
-        of = {r.id: r.community for r in community.modularity_labels(n, e).collect()}
+        ways = [{r.id: r.community for r in community.modularity_labels(n, e, one_task=most).collect()} for most in (0, 1000)]
     near = {x: [names[j] for j in (i - 1, i + 1) if 0 <= j < 200] for i, x in enumerate(names)}
     gain = lambda x, c: sum(of[y] == c for y in near[x]) - len(near[x]) * sum(len(near[y]) for y in names if of[y] == c and y != x) / 398
-    assert all(gain(x, of[y]) <= gain(x, of[x]) + 1e-6 for x in names for y in near[x])
+    for of in ways:
+        assert all(gain(x, of[y]) <= gain(x, of[x]) + 1e-6 for x in names for y in near[x])
 
 
 def test_ancestors_of_any_distance(spark):
@@ -143,5 +145,55 @@ def test_extraction(spark):
     assert {(r.caller, r.callee) for r in c.collect()} >= {("reader_filereader_read", "parse"), ("store_store_open", "helper"), ("loader_dataloader_load", "processdata"), ("reader_main", "read")}
     resolved = {tuple(r) for r in analyze.resolve_calls(n, e, c.select("caller", "callee")).collect()}
     assert {("store_store_open", "helper", "store_helper"), ("loader_dataloader_load", "processdata", "loader_processdata"), ("reader_main", "read", "reader_filereader_read")} <= resolved
+    by_receiver = {tuple(r) for r in analyze.resolve_calls(n, e, c).collect()}
+    assert {("store_store_open", "helper", "store_helper"), ("loader_dataloader_load", "processdata", "loader_processdata")} <= by_receiver
     deep = "x = " + "[" * 150 + "]" * 150 + "\ndef f():\n    pass\n"
     assert any(r.get("label") == "f()" for r in extract.extract_file("d.py", deep, "python"))
+
+
+def test_calls_by_receiver(spark):
+    names = [("base", "Base"), ("sub", "Sub"), ("other", "Other"), ("base_run", ".run()"), ("sub_go", ".go()"), ("other_run", ".run()"), ("other_go", ".go()"), ("main", "main()"), ("sub_run", ".run()")]
+    n = nodes(spark, names)
+    e = edges(spark, [("base", "base_run", "method"), ("sub", "sub_go", "method"), ("other", "other_run", "method"), ("other", "other_go", "method"), ("sub", "sub_run", "method"), ("sub", "base", "extends")])
+    calls = [("sub_go", "run", "self"), ("sub_go", "RUN", "super()"), ("main", "go", "Sub"), ("main", "run", None), ("base_run", "go", "self"), ("main", "run", "nobody"), ("main", "main", None)]
+    raw = spark.createDataFrame(calls, "caller string, callee string, receiver string")
+    got = {tuple(r) for r in analyze.resolve_calls(n, e, raw.where("receiver != 'super()' OR receiver IS NULL")).collect()}
+    assert got == {("sub_go", "run", "sub_run"), ("main", "go", "sub_go")}
+    assert {tuple(r) for r in analyze.resolve_calls(n, e, raw.where("receiver = 'super()'")).collect()} == {("sub_go", "run", "base_run")}
+    inherited = analyze.resolve_calls(n.where("id != 'sub_run'"), e.where("target != 'sub_run'"), spark.createDataFrame([("main", "run", "Sub")], "caller string, callee string, receiver string"))
+    assert [r.target for r in inherited.collect()] == ["base_run"]
+
+
+def test_query_graph_falls_back_and_fits(spark):
+    n = nodes(spark, [("a", "alpha", "x/a.py", 1), ("b", "beta", "x/b.py", 1), ("c", "gamma", "y/c.py", 2)])
+    e = edges(spark, [("a", "b"), ("b", "c")])
+    assert {r.id for r in graph.query_graph(n, e, "alpha", 1).collect()} == {"a", "b"}
+    assert graph.query_graph(n, e, "nothing", 1).count() == 0
+    assert {r.id: r.depth for r in graph.query_graph(n, e, "nothing", 1, source="X/").collect()} == {"a": 0, "b": 0}
+    assert {r.id for r in graph.query_graph(n, e, "alph gm", 1, fuzzy=True).collect()} == set()
+    assert {r.id: r.depth for r in graph.query_graph(n, e, "gmma", 1, fuzzy=True).collect()} == {"c": 0, "b": 1}
+    found = graph.query_graph(n, e, "alpha", 1)
+    assert graph.rendered(found, e, 100).splitlines() == ["NODE alpha [x/a.py]", "NODE beta [x/b.py]", "EDGE alpha --calls--> beta"]
+    assert graph.rendered(found, e, 6) == "NODE alpha [x/a.py]"
+
+
+def test_hierarchy_of_folders(spark):
+    n = nodes(spark, [("f", "m", "proj/src/core/m.py"), ("g", "n", "proj/n.py"), ("h", "z", "z.py")]).withColumn("source_location", F.lit("L1"))
+    files = spark.createDataFrame([("proj/src/core/__init__.py",), ("proj/app.csproj",)], "source_file string")
+    made, held = graph.hierarchy(n, files)
+    assert {(r.id, r.label, r.file_type, r.norm_label) for r in made.collect()} == {("proj", "proj", "document", "crate"), ("proj_src_core", "core", "code", "crate")}
+    assert {(r.source, r.target) for r in held.collect()} == {("proj", "proj_src_core"), ("proj_src_core", "f"), ("proj", "g")}
+
+
+def test_gaps_with_options(spark):
+    n = nodes(spark, [("a", "searchIndex", "l/include/a.h"), ("b", "searchTree", "l/b.c"), ("c", "other", "r/c.c")]).withColumn("file_type", F.when(F.col("id") == "b", "document").otherwise("code"))
+    e = edges(spark, [("a", "b"), ("c", "a")])
+    names = lambda **o: {r.label for r in analyze.gaps(n, e, "l/", "r/", **o).collect()}
+    assert names() == {"searchIndex", "searchTree"} and names(file_type="code") == {"searchIndex"} and names(label="TREE") == {"searchTree"}
+    assert names(min_degree=2) == {"searchIndex"} and names(public="/include/", public_only=True) == {"searchIndex"}
+
+
+def test_co_changes_know_other_forms_of_a_name(spark):
+    c = spark.createDataFrame([("r", "1", "a/foo.rs"), ("r", "1", "x"), ("r", "2", "root/a/foo.rs"), ("r", "2", "x"), ("r", "3", "y")], "repo string, commit_id string, file string")
+    got = {r.file: (r.commits, r.target_commits) for r in analyze.co_changes(c, spark.createDataFrame([("r", "./a/foo.rs")], "repo string, target string")).collect()}
+    assert got == {"x": (2, 2), "root/a/foo.rs": (1, 2)}

@@ -127,3 +127,59 @@ def test_rebuild_commits_counts_and_idle(spark, tmp_path):
     assert ("x", 1) in {(r.user, r.requests) for r in run(streams.idle_users(requests), str(tmp_path / "ce"))}
     rows = spark.createDataFrame([("a", "m"), ("b", "m")], "id string, model string")
     assert [r.id for r in streams.not_embedded(rows, rows.where("id = 'a'")).collect()] == ["b"]
+
+
+def test_paths_and_provenance(tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text("{}")
+    (tmp_path / "b.json").write_text("{}")
+    (tmp_path / "in/link").symlink_to(tmp_path / "b.json")
+    assert files.inside(str(tmp_path / "in/a.json"), str(tmp_path / "in")).endswith("a.json")
+    for name in ("in/../b.json", "in/link"):
+        with pytest.raises(PermissionError):
+            files.inside(str(tmp_path / name), str(tmp_path / "in"))
+    for path, base in (("in/none", "in"), ("b.json", "none")):
+        with pytest.raises(FileNotFoundError):
+            files.inside(str(tmp_path / path), str(tmp_path / base))
+    assert files.provenance(str(tmp_path / "in")) in ("cwd:in",) or files.provenance(str(tmp_path / "in")).startswith("commit:")
+    assert files.provenance(str(tmp_path / "none")) is None
+
+
+def test_open_by_kind(spark, tmp_path):
+    n, e = graph(spark)
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/graph.json").write_text('{"nodes": [{"id": "a", "label": "A"}], "links": [{"source": "a", "target": "a"}]}')
+    assert [r.id for r in files.open_graph(spark, str(tmp_path / "d"))[0].collect()] == ["a"] and files.open_graph(spark, str(tmp_path / "d/graph.json"))[1].count() == 1
+    s = Store(spark, str(tmp_path / "s"))
+    s.commit({"nodes": n, "edges": e})
+    assert files.open_graph(spark, str(tmp_path / "s"))[0].count() == 4
+
+
+def test_two_writers(spark, tmp_path):
+    n, _ = graph(spark)
+    s = Store(spark, str(tmp_path))
+    first = s.commit({"nodes": n})
+    s.commit({"nodes": n.limit(1)}, first)
+    with pytest.raises(RuntimeError, match="moved on"):
+        s.commit({"nodes": n}, first)
+    state = s._read()
+    s._read = lambda: dict(state, number=state["number"] - 1)  # a writer that has not seen the last snapshot
+    with pytest.raises(RuntimeError, match="another writer"):
+        s.commit({"nodes": n})
+    assert Store(spark, str(tmp_path)).table("nodes").count() == 1
+
+
+def test_escapes_and_marks(spark):
+    from loamgraph.functions import text as X
+    from loamgraph.operators import search
+
+    df = spark.createDataFrame([("a'b\n</c>\u2603\u00e9", 'x["y"]|{z}')], "a string, b string")
+    r = df.select(X.js_escaped("a").alias("js"), X.strip_symbols(F.col("a")).alias("plain"), X.mermaid_escaped(F.col("b")).alias("m"), X.highlighted(F.lit("Server::handle_request"), "hreq").alias("h")).first()
+    assert r.js == "a\\'b\\n<\\/c>\u2603\u00e9" and r.plain == "a'b\n</c>\u00e9" and r.m == "x #quot;y#quot;   z " and r.h == "Server::[h]andle_[req]uest"
+    assert search.fuzzy_match("process_search_queue", "psq")[1] == [0, 8, 15] and search.fuzzy_match("abc", "B") == (0, [])
+    assert search.fuzzy_points("tickSearch", "search") > search.fuzzy_points("some_arch_each", "search") and search.fuzzy_points("tick", "tick no") == 0
+
+
+def test_charts_say_what_they_cut(spark):
+    n, e = graph(spark)
+    assert "%% cut: 2 of 4 nodes" in sinks.mermaid(n, e, 2) and "%%" not in sinks.mermaid(n, e)
