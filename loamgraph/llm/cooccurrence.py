@@ -112,6 +112,8 @@ def together(rows: DataFrame, group: str, record: str, item: Column, least: int
     totals = clean.groupBy("group", "record").agg(F.lit(1).alias("one")).groupBy("group").agg(F.count("*").alias("total"))
     items = clean.groupBy("group", "item").agg(F.count("*").alias("c")).where(F.col("c") >= least).join(totals, "group").where(F.col("c") * lift <= F.col("total"))
     items = cut(dense_ids(items, "id"))
+    if (items.agg(F.max("id")).first()[0] or 0) >= 1 << 31:
+        raise ValueError("more items than 31 bits can number")
     kept = cut(clean.join(items.select("group", "item", "id"), ["group", "item"]).select("group", "record", "id"))
     sizes = kept.groupBy("group", "record").agg(F.count("*").alias("n"))
     big = cut(sizes.where(F.col("n") > large).select("group", "record"))
