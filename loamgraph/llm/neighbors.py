@@ -129,16 +129,20 @@ def valid_vectors(rows: DataFrame, node: str = "node_id") -> DataFrame:
 
 
 def fit(classes: DataFrame, sizes: dict[str, tuple[int, int]], list_size: int = LIST) -> dict[str, Centroids]:
-    """Centroids per model from a bounded sample, the first rows by a hash of their number."""
+    """Centroids per model from a bounded sample: the rows whose hash lies below the share that gives enough of them."""
     out = {}
     for model, (n, dim) in sorted(sizes.items()):
         lists = max(1, min(MOST_LISTS, math.ceil(n / list_size)))
-        sample = classes.where(F.col("model") == model).orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, lists * PER_LIST)).select("vec").toArrow()
+        wanted = min(SAMPLE, lists * PER_LIST)
+        # A third more than wanted, so that chance leaves enough; the limit bounds what comes to the driver.
+        below = 1.0 if n <= 4 * wanted else 1.33 * wanted / n
+        drawn = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 40)) < int(below * (1 << 40))
+        sample = classes.where((F.col("model") == model) & drawn).select("vec").limit(wanted).toArrow()
         out[model] = Centroids(bisect(_matrix(sample["vec"].combine_chunks(), dim).astype(np.float32), lists))
     return out
 
 
-def nearest_classes(classes: DataFrame, k: int, least: float, replicate: float, probe: float, list_size: int, most_posted: int = 4, most_probed: int = 12) -> DataFrame:
+def nearest_classes(classes: DataFrame, k: int, least: float, replicate: float, probe: float, list_size: int, most_posted: int = 2, most_probed: int = 4) -> DataFrame:
     """(id, other, similarity): the k nearest of each of (id, model, dim, vec), of ``least`` or more."""
     spark = classes.sparkSession
     sizes = {r.model: (r.n, r.dim) for r in classes.groupBy("model").agg(F.count("*").alias("n"), F.first("dim").alias("dim")).collect()}
