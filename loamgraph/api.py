@@ -211,10 +211,17 @@ class Engine:
         new = lifecycle.review_queue(self.knowledge, self.links, self.nodes, self.now, self.queue, least)
         return self.store.commit({"review_queue": self.queue.unionByName(new.select("knowledge_uuid", "reason", F.lit(self.now).cast("long").alias("created_at"), "priority", F.lit(False).alias("completed")))})
 
-    def save_insight(self, title: str, text: str, tags: Sequence[str] = ()) -> str:
-        """A note, kept as an entry of context."""
+    def save_insight(self, title: str, text: str, tags: Sequence[str] = (), folder: str | None = None) -> str:
+        """A note, kept as an entry of context; with ``folder``, on this machine, also as a Markdown file there."""
         import hashlib
-
+        import os
+        import re
+
+        if folder is not None:
+            os.makedirs(folder, exist_ok=True)
+            name = re.sub(r'[\\/:*?"<>|#^\[\]]', "_", title) or "note"
+            with open(os.path.join(folder, f"{name}.md"), "w", encoding="utf-8") as f:
+                f.write(f"---\ntitle: {title}\ntags: [{', '.join(tags)}]\n---\n\n# {title}\n\n{text}\n")
         news = self.spark.createDataFrame([(hashlib.sha256(f"{title}|{text}".encode()).hexdigest(), title, "context", text, list(tags))], "uuid string, title string, knowledge_type string, description string, tags array<string>")
         return self.learn(news)
 

@@ -76,6 +76,11 @@ def attached(hits: DataFrame, nodes: DataFrame, links: DataFrame, k: DataFrame)
     return met.join(k.where("lower(status) != 'obsolete'").select(F.col("uuid").alias("knowledge_uuid"), "title", "knowledge_type", "confidence"), "knowledge_uuid").select("id", F.col("knowledge_uuid").alias("uuid"), "title", "knowledge_type", "confidence", "relation")
 
 
+def embedding_text(label: Column, kind: Column, path: Column, content: Column) -> Column:
+    """What an embedding model is given of a node: name, kind, path and content, a part a line, empty ones left out."""
+    return F.array_join(F.filter(F.array(*(F.trim(F.coalesce(c, F.lit(""))) for c in (label, kind, path, content))), lambda t: t != ""), "\n")
+
+
 def pack(values: Sequence[float]) -> bytes:
     return struct.pack(f"<{len(values)}f", *values)
 

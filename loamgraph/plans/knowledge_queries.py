@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions import text as T
 from loamgraph.operators import chunking, diffing, graph, identity, lifecycle, recall, search
-from loamgraph.session import cut
+from loamgraph.session import cut, micros
 from loamgraph.sources import relations as R
 from loamgraph.sources.relations import with_
 
@@ -266,7 +266,21 @@ def document_signs(spark: SparkSession, d: str) -> DataFrame:
     return R.table(spark, d, "documents").select("doc_id", T.word_count(text).alias("words"), T.paper_signs(text).alias("paper_signs"), T.commit_kind(F.substring_index(text, "\n", 1)).alias("commit_kind"))
 
 
+def text_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes of the forms of every document's text: safe label, without tags, title, without symbols, escaped for scripts and charts, as text to embed; and its date."""
+    t, none = F.coalesce("text", F.lit("")), F.lit(None).cast("string")
+    forms = {"safe": T.safe_label(t), "bare": T.strip_tags(t), "title": T.html_title(t), "plain": T.strip_symbols(t), "js": T.js_escaped(t), "chart": T.mermaid_escaped(t), "to_embed": search.embedding_text(F.col("lang"), none, F.col("source"), t), "site": T.url_kind(t)}
+    docs = R.table(spark, d, "documents")
+    return docs.select("doc_id", *(F.sha2(c, 256).alias(n) for n, c in forms.items()), T.civil_date(F.floor(micros(docs, "updated_at") / 1_000_000)).alias("day"))
+
+
+def knowledge_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Entries per token of the recall index."""
+    return recall.token_index(R.knowledge(spark, d)).groupBy("token").agg(F.count("*").alias("entries"))
+
+
 QUERIES = {f.__name__: f for f in (
+    text_forms, knowledge_tokens,
     recall_keyword, recall_kind, recall_short, reason, recall_scores, recall_for_task, recommendations, knowledge_types, knowledge_context, duplicates, similar_to, conflicts, stale, health, orphan_links, review_queue,
     knowledge_neighbors, thought_chain, knowledge_bfs, auto_link_nodes, auto_link_entries, merged_entries, merged_links, fetch_bump, reinforced, forgotten_kind, new_links, parse_diff, diff_nodes, diff_entries, recall_for_diff,
     semantic_topk, attach_knowledge, chunk_windows, chunk_nodes, fingerprints, identity_match, merge_project, pruned_chunks, upserted_embeddings, document_signs,
@@ -388,6 +402,13 @@ SELECT ka AS knowledge_uuid, kb AS node_uuid, score, place FROM y WHERE NOT EXIS
   CASE WHEN b.uuid IS NOT NULL AND coalesce(list_position(['repo', 'project', 'module', 'file', 'node'], b.scope), 0) > coalesce(list_position(['repo', 'project', 'module', 'file', 'node'], a.scope), 0) THEN b.scope ELSE a.scope END AS scope, CASE WHEN h.keep IS NOT NULL THEN 'obsolete' ELSE a.status END AS status, coalesce(h.keep, a.superseded_by) AS superseded_by
 FROM k a LEFT JOIN tw ON a.uuid = tw.keep LEFT JOIN k b ON tw.absorb = b.uuid LEFT JOIN tw h ON a.uuid = h.absorb""",
     "merged_links": with_("k", "l") + "," + _TWINS + ", m AS (SELECT coalesce(x.keep, knowledge_uuid) AS knowledge_uuid, CASE WHEN is_knowledge THEN coalesce(y.keep, node_uuid) ELSE node_uuid END AS node_uuid, relation, is_knowledge FROM l LEFT JOIN tw x ON knowledge_uuid = x.absorb LEFT JOIN tw y ON node_uuid = y.absorb UNION ALL SELECT keep, absorb, 'supersedes', true FROM tw) SELECT knowledge_uuid, node_uuid, relation, max(is_knowledge) AS is_knowledge FROM m WHERE NOT (is_knowledge AND knowledge_uuid = node_uuid) GROUP BY 1, 2, 3",
+    "knowledge_tokens": with_("k") + f"SELECT token, count(*) AS entries FROM (SELECT uuid, unnest(list_distinct(list_concat({_w('title', 2)}, {_w('description', 2)}, list_transform(tags, lambda t: lower(t)), [lower(knowledge_type)]))) AS token FROM k) GROUP BY token",
+    "text_forms": r"""WITH d AS (SELECT *, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, sha256(left(regexp_replace(t, '[\x00-\x1f\x7f]', '', 'g'), 256)) AS safe, sha256(trim(regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' ')) AS bare, sha256(trim(regexp_extract(t, '(?is)<title[^>]*>(.*?)</title>', 1), ' ')) AS title, sha256(regexp_replace(t, '[^\x00-\x7F\p{L}\p{N}]', '', 'g')) AS plain,
+  sha256(replace(replace(replace(replace(replace(replace(t, '\', '\\'), chr(39), '\' || chr(39)), '"', '\"'), chr(10), '\n'), chr(13), '\r'), '</', '<\/')) AS js, sha256(regexp_replace(replace(t, '"', '#quot;'), '[\n\r\[\]{}|<>]', ' ', 'g')) AS chart,
+  sha256(array_to_string(list_filter([trim(coalesce(lang, ''), ' '), trim(coalesce(source, ''), ' '), trim(t, ' ')], lambda x: x <> ''), chr(10))) AS to_embed,
+  sha256(CASE WHEN regexp_matches(lower(t), 'twitter\.com|x\.com') THEN 'tweet' WHEN contains(lower(t), 'arxiv.org') THEN 'arxiv' WHEN contains(lower(t), 'github.com') THEN 'github' WHEN regexp_matches(lower(t), 'youtube\.com|youtu\.be') THEN 'youtube' WHEN ends_with(lower(t), '.pdf') THEN 'pdf' WHEN regexp_matches(lower(t), '\.(png|jpg|jpeg|gif|webp)$') THEN 'image' ELSE 'webpage' END) AS site,
+  strftime(updated_at, '%Y-%m-%d') AS day FROM d""",
     "fetch_bump": with_("k") + f"SELECT uuid, CASE WHEN status = 'active' THEN fetch_count + 1 ELSE fetch_count END AS fetch_count, CASE WHEN status = 'active' THEN {NOW} ELSE last_fetched END AS last_fetched, CASE WHEN status = 'active' THEN least(0.95, confidence + 0.005) ELSE confidence END AS confidence FROM k",
     "reinforced": with_("k") + "SELECT uuid, CASE WHEN knowledge_type = 'lesson' THEN observations + 1 ELSE observations END AS observations, CASE WHEN knowledge_type = 'lesson' THEN 1 - (1 - confidence) * 0.8 ELSE confidence END AS confidence, CASE WHEN knowledge_type = 'lesson' THEN description || chr(10) || '---' || chr(10) || 'again' ELSE description END AS description, array_to_string(CASE WHEN knowledge_type = 'lesson' AND NOT list_contains(tags, 'seen') THEN list_append(tags, 'seen') ELSE tags END, ',') AS tags FROM k",
     "forgotten_kind": with_("k") + "SELECT uuid FROM k WHERE NOT coalesce(knowledge_type = 'ops' AND confidence < 0.7, false)",

@@ -164,6 +164,25 @@ def provenance(folder: str) -> str | None:
     return f"commit:{head}@{name}" if head else f"cwd:{name}"
 
 
+def commit_log(spark: SparkSession, repo: str, limit: int = 2000) -> DataFrame:
+    """(repo, commit_id, file, committed_at, author) of the last ``limit`` commits of a folder under git, merges left out."""
+    done = subprocess.run(["git", "-C", repo, "log", f"-n{limit}", "--no-merges", "--name-only", "--format=%x01%H%x02%ct%x02%an"], capture_output=True, text=True, check=True)
+    return parse_log(spark, os.path.basename(os.path.abspath(repo)), done.stdout)
+
+
+def parse_log(spark: SparkSession, repo: str, text: str) -> DataFrame:
+    """commit_files of a log in the form that commit_log asks for: a head marked by 0x01 with parts marked by 0x02, then a file a line."""
+    blocks = spark.createDataFrame([(b,) for b in text.split("\x01") if b.strip()], "block string")
+    head = F.split(F.substring_index("block", "\n", 1), "\x02")
+    files = F.explode(F.array_distinct(F.filter(F.transform(F.slice(F.split("block", "\n"), 2, 1 << 30), F.trim), lambda f: f != ""))).alias("file")
+    return blocks.select(F.lit(repo).alias("repo"), head[0].alias("commit_id"), head[1].cast("long").cast("timestamp").alias("committed_at"), head[2].alias("author"), files)
+
+
+def read_diff(repo: str, since: str = "HEAD") -> str:
+    """The unified diff of a folder under git against a commit or over a range, for diffing.hunks."""
+    return subprocess.run(["git", "-C", repo, "diff", "--no-color", since], capture_output=True, text=True, check=True).stdout
+
+
 def moved_on(spark: SparkSession, folder: str, built_from: str) -> str | None:
     """A warning if a folder's commit is another than the one its graph was built from."""
     now = provenance(folder)

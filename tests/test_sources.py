@@ -183,3 +183,29 @@ def test_escapes_and_marks(spark):
 def test_charts_say_what_they_cut(spark):
     n, e = graph(spark)
     assert "%% cut: 2 of 4 nodes" in sinks.mermaid(n, e, 2) and "%%" not in sinks.mermaid(n, e)
+
+
+def test_log_of_commits(spark):
+    log = "\x01abc\x021735700000\x02Ann\n\na/b.py\nc.py\n\x01def\x021735700001\x02Bo\n\na/b.py\n"
+    assert {(r.commit_id, r.file, r.author) for r in files.parse_log(spark, "r", log).collect()} == {("abc", "a/b.py", "Ann"), ("abc", "c.py", "Ann"), ("def", "a/b.py", "Bo")}
+    assert files.parse_log(spark, "r", "").count() == 0
+
+
+def test_project_into_a_store(spark, tmp_path):
+    from loamgraph.plans import pipeline
+
+    root = tmp_path / "p"
+    (root / "src").mkdir(parents=True)
+    (root / "setup.py").write_text("")
+    (root / "src/a.py").write_text("class A:\n    def run(self):\n        return helper()\n\ndef helper():\n    pass\n")
+    s = Store(spark, str(tmp_path / "s"))
+    pipeline.run_project(s, str(root), "proj")
+    first = {r.label: r.uuid for r in s.table("nodes").collect()}
+    assert {"A", ".run()", "helper()", "proj"} <= set(first) and len(set(first.values())) == len(first)
+    assert {("calls", "INFERRED")} <= {(r.relation, r.confidence) for r in s.table("edges").collect()}
+    (root / "src/a.py").write_text("import os\n\nclass A:\n    def run(self):\n        return helper()\n\ndef helper():\n    pass\n")
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q/b.py").write_text("def other():\n    pass\n")
+    assert set(pipeline.run_workspace(s, {"proj": str(root), "q": str(tmp_path / "q")})) == {"proj", "q"}
+    again = {r.label: r.uuid for r in s.table("nodes").collect()}
+    assert again["A"] == first["A"] and again["helper()"] == first["helper()"] and "other()" in again
