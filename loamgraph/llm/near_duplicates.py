@@ -33,6 +33,8 @@ FREQUENT, HASHED = 512, 256
 WORDS = (FREQUENT + HASHED) // 64
 #: Members of a group, classes of a block, queries of a slice.
 GROUP, BLOCK, SLICE = 8, 8192, 65_536
+#: Records of a class in one part when its pairs are written out.
+PART = 2000
 #: A band holds the sizes from STEP**b up to STEP**(b+1).
 STEP = 1.15
 
@@ -209,9 +211,16 @@ def similar_pairs(records: DataFrame, key: str, texts: list[str], threshold: flo
     """(key_a, key_b, similarity) of all pairs of different keys, key_a < key_b."""
     sets, members = classes(records, key, texts, time, min_words)
     members, links = cut(members), cut(similar_classes(sets, threshold, block, slice_))
-    a, b = members.select(F.col("id").alias("a"), F.col("key").alias("ka")), members.select(F.col("id").alias("b"), F.col("key").alias("kb"))
-    across = links.join(a, "a").join(b, "b").select("ka", "kb", "similarity")
-    within = a.join(b.withColumnRenamed("b", "a"), "a").where("ka < kb").select("ka", "kb", F.lit(1.0).alias("similarity"))
+    # Records of one class are dealt to parts of about PART, and what meets the class meets each part: no key has them all.
+    sizes = members.groupBy("id").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / PART).cast("int"))
+    sizes = cut(sizes)
+    dealt = members.join(sizes, "id").select("id", "key", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+    named = lambda s: dealt.select(F.col("id").alias(s), F.col("key").alias(f"k{s}"), F.col("part").alias(f"part_{s}"))
+    spread = lambda df, s: df.join(sizes.select(F.col("id").alias(s), "parts"), s).withColumn(f"part_{s}", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    across = spread(spread(links, "a").join(named("a"), ["a", "part_a"]).drop("part_a"), "b").join(named("b"), ["b", "part_b"]).select("ka", "kb", "similarity")
+    several = dealt.join(sizes.where("size > 1").select("id"), "id", "left_semi")
+    twins = spread(several.select(F.col("id").alias("a"), F.col("key").alias("kb")), "a").join(named("a"), ["a", "part_a"])
+    within = twins.where("ka < kb").select("ka", "kb", F.lit(1.0).alias("similarity"))
     return across.unionByName(within).select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"), "similarity")
 
 

@@ -64,3 +64,11 @@ def test_very_long_texts_are_compared(spark):
     rows = [(u, None, " ".join(f"y{i}" for i in range(n)), 1, 1, "k", "t") for u, n in (("a", 40_000), ("b", 39_000))]
     found = N.similar_pairs(spark.createDataFrame(rows, SCHEMA), "uuid", ["title", "description"], 0.6, 12, "updated_at").collect()
     assert [(r.key_a, r.key_b, r.similarity) for r in found] == [("a", "b", 0.975)]
+
+
+def test_parts_of_large_classes_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(N, "PART", 3)
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(f"a{i:02}", "t", text, 1, 1, "k", "t") for i in range(11)] + [(f"b{i:02}", "t", text + " more", 1, 1, "k", "t") for i in range(7)]
+    got = {(r.key_a, r.key_b) for r in N.similar_pairs(spark.createDataFrame(rows, SCHEMA), "uuid", ["title", "description"], 0.6, 12, "updated_at").collect()}
+    assert got == set(combinations(sorted(r[0] for r in rows), 2))
