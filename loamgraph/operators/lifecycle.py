@@ -44,7 +44,9 @@ def similar_entries(k: DataFrame, least: float, blocks: Sequence[str] = ()) -> D
     if least <= 0.3:
         raise ValueError("least must be above 0.3")
     same_type = "knowledge_type" in blocks
-    own = cut(_features(k).select("uuid", "knowledge_type", "tags", "tw", "dw", *(b for b in blocks if b != "knowledge_type")))
+    hashed = lambda c: F.array_distinct(F.transform(c, lambda t: F.xxhash64(t)))
+    own = _features(k).withColumns({"th": hashed(F.col("tw")), "dh": hashed(F.col("dw"))})
+    own = cut(own.select("uuid", "knowledge_type", "tags", "tw", "dw", "th", "dh", *(b for b in blocks if b != "knowledge_type")))
     weigh = lambda kind, share: F.transform(f"{kind}w", lambda x: F.struct(F.concat(F.lit(f"{kind}:"), x).alias("t"), (F.lit(share) / F.size(f"{kind}w")).alias("w")))
     blocks = [b for b in blocks if b != "knowledge_type"]
     tokens = cut(own.select("uuid", *blocks, "knowledge_type", F.explode(F.concat(weigh("t", 0.4), weigh("d", 0.3))).alias("x")).groupBy("uuid", *blocks, "knowledge_type", "x.t").agg(F.first("x.w").alias("w"), F.count("*").alias("times")))
@@ -60,8 +62,13 @@ def similar_entries(k: DataFrame, least: float, blocks: Sequence[str] = ()) -> D
     if not same_type:
         pairs = pairs.unionByName(meet(prefix.where(F.col("rest") >= least - 0.1 - 1e-9), ["t", *blocks], "type_a != type_b"))
     pairs = pairs.distinct()
-    joined = pairs.join(own.alias("a"), F.col("uuid_a") == F.col("a.uuid")).join(own.alias("b"), F.col("uuid_b") == F.col("b.uuid"))
-    return joined.select("uuid_a", "uuid_b", _likeness("a", "b").alias("similarity")).where(F.col("similarity") >= least)
+    # Shared hashes, each as often as the first entry repeats a word at most, bound the likeness from above in generated code.
+    slim = own.select("uuid", "knowledge_type", "th", "dh", F.size("tw").alias("nt"), F.size("dw").alias("nd"))
+    sides = lambda rows, found: found.join(rows.alias("a"), F.col("uuid_a") == F.col("a.uuid")).join(rows.alias("b"), F.col("uuid_b") == F.col("b.uuid"))
+    bound = lambda n, hashes: F.size(F.array_intersect(f"a.{hashes}", f"b.{hashes}")) * (F.col(f"a.{n}") - F.size(f"a.{hashes}") + 1) / F.greatest(f"a.{n}", f"b.{n}", F.lit(1))
+    rest = F.when(F.col("a.knowledge_type") == F.col("b.knowledge_type"), 0.3).otherwise(0.1)
+    near = cut(sides(slim, pairs).where(0.4 * bound("nt", "th") + 0.3 * bound("nd", "dh") + rest >= least - 1e-9).select("uuid_a", "uuid_b"))
+    return sides(own, near).select("uuid_a", "uuid_b", _likeness("a", "b").alias("similarity")).where(F.col("similarity") >= least)
 
 
 def similar_to(k: DataFrame, uuid: str, least: float) -> DataFrame:
