@@ -90,7 +90,7 @@ def co_changes(commit_files: DataFrame, targets: DataFrame | None = None) -> Dat
 
 def class_ancestors(edges: DataFrame) -> DataFrame:
     """(class, ancestor, distance) along extends; the class itself at 0."""
-    up = edges.where("relation = 'extends'").select(F.col("source").alias("c"), F.col("target").alias("p")).distinct()
+    up = cut(edges.where("relation = 'extends'").select(F.col("source").alias("c"), F.col("target").alias("p")).distinct())
     found = cut(up.select(F.explode(F.array("c", "p")).alias("class")).distinct().select("class", F.col("class").alias("ancestor"), F.lit(0).alias("distance")))
     frontier = found
     for n in count(1):
@@ -115,7 +115,9 @@ def resolve_calls(nodes: DataFrame, edges: DataFrame, raw_calls: DataFrame | Non
     ``raw_calls`` has caller, callee (a label) and receiver; by default, and where it has no such column, calls are taken
     as of the caller's own class: the calls of ``edges``, by their target's label.
     """
+    edges = cut(edges.where("relation IN ('calls', 'method', 'extends')").select("source", "target", "relation").distinct())
     named = nodes.select(F.col("id").alias("target"), F.lower(F.regexp_replace(F.coalesce("label", F.lit("")), r"^\.|\(\)$", "")).alias("callee")).where("callee != ''")
+    named = cut(named)
     if raw_calls is None:
         raw_calls = edges.where("relation = 'calls'").join(named, "target").select(F.col("source").alias("caller"), "callee").distinct()
     owner = edges.where("relation = 'method'").groupBy(F.col("target").alias("id")).agg(F.min("source").alias("class"))

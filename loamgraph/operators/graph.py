@@ -63,12 +63,14 @@ def levels(steps: DataFrame, seeds: DataFrame, depth: int, visible: DataFrame |
     ``visible`` bounds what may be entered (seeds always are), ``expands`` what is gone on from.
     """
     found = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
-    frontier = found
+    # Every level reads these again, so they are written once.
+    visible, expands = (df if df is None else cut(df.select("id")) for df in (visible, expands))
+    steps, frontier = cut(steps.select("a", "b")), found
     for level in range(1, depth + 1):
-        source = frontier if expands is None or level == 1 else frontier.join(expands.select("id"), "id", "left_semi")
+        source = frontier if expands is None or level == 1 else frontier.join(expands, "id", "left_semi")
         reached = source.join(steps, source.id == steps.a).select(F.col("b").alias("id")).distinct().join(found, "id", "left_anti")
         if visible is not None:
-            reached = reached.join(visible.select("id"), "id", "left_semi")
+            reached = reached.join(visible, "id", "left_semi")
         frontier = cut(reached.withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
@@ -97,7 +99,7 @@ def callers(nodes: DataFrame, edges: DataFrame, seeds: Sequence[str], depth: int
 def shortest_paths(edges: DataFrame, starts: Sequence[str], ends: Sequence[str], depth: int, relations: Sequence[str] | None = ("calls",), most: int = 20) -> DataFrame:
     """(target, length, path): a shortest directed path to each of ``ends``, the least by name; at most ``most``."""
     own = edges.where(F.col("relation").isin(*relations)) if relations else edges
-    steps = own.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
+    steps = cut(own.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct())
     found = cut(steps.sparkSession.createDataFrame([(s, [s]) for s in sorted(set(starts))], "id string, path array<string>").withColumn("length", F.lit(0)))
     frontier = found
     for level in range(1, depth + 1):
