@@ -147,7 +147,7 @@ class Engine:
         return lifecycle.stale(self.knowledge, self.links, self.nodes, self.now)
 
     def find_duplicates(self, least: float = 0.6) -> DataFrame:
-        return lifecycle.similar_entries(self.knowledge, least)
+        return lifecycle.duplicates(self.knowledge, least)
 
     def detect_conflicts(self) -> DataFrame:
         return lifecycle.conflicts(self.knowledge, self.links)

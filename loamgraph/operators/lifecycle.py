@@ -71,9 +71,19 @@ def similar_entries(k: DataFrame, least: float, blocks: Sequence[str] = ()) -> D
     return sides(own, near).select("uuid_a", "uuid_b", _likeness("a", "b").alias("similarity")).where(F.col("similarity") >= least)
 
 
+def duplicates(k: DataFrame, least: float = 0.6) -> DataFrame:
+    """(uuid_a, uuid_b, similarity, reason) of the entries, obsolete ones left out, that say much the same."""
+    own = k.where("status != 'obsolete'")
+    what = lambda s: own.select(F.col("uuid").alias(f"uuid_{s}"), F.lower("title").alias(f"title_{s}"), F.col("knowledge_type").alias(f"type_{s}"))
+    found = similar_entries(own, least).join(what("a"), "uuid_a").join(what("b"), "uuid_b")
+    share = F.round(F.round(F.col("similarity") * 100, 6)).cast("int")
+    content = F.format_string("similar content (%d%%)%s", share, F.when(F.col("type_a") == F.col("type_b"), ", same type").otherwise(""))
+    return found.select("uuid_a", "uuid_b", "similarity", F.when(F.col("title_a") == F.col("title_b"), "identical title").otherwise(content).alias("reason"))
+
+
 def similar_to(k: DataFrame, uuid: str, least: float) -> DataFrame:
     """(uuid, similarity) of the entries like one; the one is a single broadcast row."""
-    own = _features(k)
+    own = _features(k.where((F.col("status") != "obsolete") | (F.col("uuid") == uuid)))
     return own.alias("b").crossJoin(F.broadcast(own.where(F.col("uuid") == uuid).limit(1)).alias("a")).where("a.uuid != b.uuid").select(F.col("b.uuid").alias("uuid"), _likeness("a", "b").alias("similarity")).where(F.col("similarity") >= least)
 
 
@@ -130,7 +140,7 @@ def health(k: DataFrame, links: DataFrame, nodes: DataFrame, now: int, least: fl
         F.count_if(overdue).alias("validation_overdue"), since(7).alias("changed_7d"), since(30).alias("changed_30d"),
     )
     counts = links.agg(F.count("*").alias("links"), F.count_if(~F.col("is_knowledge")).alias("node_links"), F.count_if("is_knowledge").alias("knowledge_links"))
-    likeness = similar_entries(k, least).agg(F.count("*").alias("duplicate_candidates")).crossJoin(conflicts(k, links).agg(F.count("*").alias("conflicts")))
+    likeness = duplicates(k, least).agg(F.count("*").alias("duplicate_candidates")).crossJoin(conflicts(k, links).agg(F.count("*").alias("conflicts")))
     lost = orphans(links, nodes, k).agg(F.count_if(~F.col("is_knowledge")).alias("orphan_node_links"), F.count_if("is_knowledge").alias("orphan_knowledge_links"))
     return own.crossJoin(counts).crossJoin(lost).crossJoin(likeness).crossJoin(nodes.agg(F.count("*").alias("nodes")))  # one row each
 
@@ -149,7 +159,7 @@ def review_queue(k: DataFrame, links: DataFrame, nodes: DataFrame, now: int, pen
     """(knowledge_uuid, reason, priority): one new item per entry, of staleness before conflicts before likeness, without those pending."""
     s = stale(k, links, nodes, now).select(F.col("uuid").alias("knowledge_uuid"), F.concat(F.lit("stale: "), "reason").alias("reason"), F.lit(7).alias("priority"), F.lit(1).alias("o"))
     c = conflicts(k, links).select(F.col("uuid_a").alias("knowledge_uuid"), F.concat(F.lit("conflict: "), "conflict_type").alias("reason"), F.lit(8).alias("priority"), F.lit(2).alias("o"))
-    d = similar_entries(k, least).select(F.col("uuid_a").alias("knowledge_uuid"), F.lit("duplicate").alias("reason"), F.lit(5).alias("priority"), F.lit(3).alias("o"))
+    d = duplicates(k, least).select(F.col("uuid_a").alias("knowledge_uuid"), F.lit("duplicate").alias("reason"), F.lit(5).alias("priority"), F.lit(3).alias("o"))
     first = s.unionByName(c).unionByName(d).groupBy("knowledge_uuid").agg(F.min(F.struct("o", "reason", "priority")).alias("x")).select("knowledge_uuid", "x.reason", "x.priority")
     return first if pending is None else first.join(pending.where("NOT completed").select("knowledge_uuid"), "knowledge_uuid", "left_anti")
 

@@ -72,7 +72,7 @@ def knowledge_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.similar_entries(R.knowledge(spark, d), 0.6)
+    return lifecycle.duplicates(R.knowledge(spark, d), 0.6)
 
 
 def similar_to(spark: SparkSession, d: str) -> DataFrame:
@@ -305,7 +305,7 @@ def _recall(query: str, kind: str | None = None) -> str:
 
 _LIKE = f"(40.0 * {_ov('a.tw', 'b.tw')} + CASE WHEN a.knowledge_type = b.knowledge_type THEN 20.0 ELSE 0 END + 30.0 * {_ov('a.dw', 'b.dw')} + 10.0 * {_ov('a.tags', 'b.tags')}) / 100.0"
 _F = f"f AS (SELECT *, {_w('title', 1)} AS tw, {_w('left(lower(description), 200)', 2)} AS dw FROM k)"
-_SIM = f"sim AS (SELECT a.uuid AS uuid_a, b.uuid AS uuid_b, {_LIKE} AS similarity, a.status AS sa, b.status AS sb, a.scope AS ca, b.scope AS cb, a.knowledge_type AS ta, b.knowledge_type AS tb FROM f a JOIN f b ON a.uuid < b.uuid)"
+_SIM = f"sim AS (SELECT a.uuid AS uuid_a, b.uuid AS uuid_b, {_LIKE} AS similarity, a.status AS sa, b.status AS sb, a.scope AS ca, b.scope AS cb, a.knowledge_type AS ta, b.knowledge_type AS tb, lower(a.title) AS na, lower(b.title) AS nb FROM f a JOIN f b ON a.uuid < b.uuid)"
 _CONFLICTS = """conf AS (SELECT uuid AS uuid_a, lower(superseded_by) AS uuid_b, 'superseded_not_obsolete' AS conflict_type FROM k WHERE superseded_by <> '' AND status <> 'obsolete' AND lower(superseded_by) IN (SELECT uuid FROM k)
 UNION ALL SELECT knowledge_uuid, node_uuid, 'contradiction' FROM l WHERE is_knowledge AND relation = 'contradicts' AND knowledge_uuid IN (SELECT uuid FROM k WHERE status = 'active') AND node_uuid IN (SELECT uuid FROM k WHERE status = 'active')
 UNION ALL SELECT uuid_a, uuid_b, 'scope_overlap' FROM sim WHERE sa = 'active' AND sb = 'active' AND ca <> '' AND ca = cb AND ta = tb AND ta IN ('decision', 'pattern') AND similarity > 0.4 AND similarity < 0.8)"""
@@ -379,16 +379,16 @@ SELECT * EXCLUDE (status, adj), (s_confidence + s_observations + s_retrievals +
     "recommendations": with_("k", "l") + "," + _F + "," + _SIM + "," + _CONFLICTS + ", r(t, p, a, b, c) AS (VALUES " + ", ".join(f"('{t}', '{p}', {a}, {b}, '{c}')" for t, task, p, a, b, c in recall.ADVICE if task in (None, "review")) + ") SELECT uuid AS knowledge_uuid, p || title AS action, CASE WHEN floor(confidence * 100) > 80 THEN b ELSE a END AS priority, c AS category FROM k JOIN r ON knowledge_type = t WHERE status = 'active' UNION ALL SELECT uuid_a, 'Resolve conflict: ' || conflict_type || ' with ' || uuid_b, 10, 'conflict' FROM conf",
     "knowledge_types": with_("k") + "SELECT knowledge_type, count(*) AS entries, count_if(status = 'needs_review') AS needs_review FROM k WHERE status <> 'obsolete' GROUP BY 1",
     "knowledge_context": with_("k") + f", a AS (SELECT * FROM k WHERE status <> 'obsolete') (SELECT 'established' AS section, uuid, title, confidence FROM a WHERE confidence > 0.8 ORDER BY confidence DESC, uuid LIMIT 10) UNION ALL (SELECT 'recent', uuid, title, confidence FROM a WHERE updated_at > {NOW - 7 * 86400} ORDER BY updated_at DESC, uuid LIMIT 10) UNION ALL (SELECT 'inline', uuid, title, confidence FROM a ORDER BY confidence DESC NULLS LAST, updated_at DESC, uuid LIMIT 10)",
-    "duplicates": with_("k") + "," + _F + "," + _SIM + " SELECT uuid_a, uuid_b, similarity FROM sim WHERE similarity >= 0.6",
-    "similar_to": with_("k") + "," + _F + f" SELECT b.uuid, {_LIKE} AS similarity FROM f a JOIN f b ON a.uuid <> b.uuid WHERE a.uuid = (SELECT min(uuid) FROM k) AND {_LIKE} >= 0.35",
+    "duplicates": with_("k") + "," + _F + "," + _SIM + " SELECT uuid_a, uuid_b, similarity, CASE WHEN na = nb THEN 'identical title' ELSE 'similar content (' || CAST(round(round(similarity * 100, 6)) AS INTEGER) || '%)' || CASE WHEN ta = tb THEN ', same type' ELSE '' END END AS reason FROM sim WHERE similarity >= 0.6 AND sa <> 'obsolete' AND sb <> 'obsolete'",
+    "similar_to": with_("k") + "," + _F + f" SELECT b.uuid, {_LIKE} AS similarity FROM f a JOIN f b ON a.uuid <> b.uuid WHERE a.uuid = (SELECT min(uuid) FROM k) AND {_LIKE} >= 0.35 AND b.status <> 'obsolete'",
     "conflicts": with_("k", "l") + "," + _F + "," + _SIM + "," + _CONFLICTS + " SELECT * FROM conf",
     "stale": with_("n", "k", "l") + "," + _STALE + " SELECT * FROM stale",
     "health": with_("n", "k", "l") + "," + _ORPHANS + "," + _F + "," + _SIM + "," + _CONFLICTS + f""" SELECT count(*) AS total, count_if(status NOT IN ('tentative', 'needs_review', 'obsolete')) AS active, count_if(status = 'tentative') AS tentative, count_if(status = 'needs_review') AS needs_review, count_if(status = 'obsolete') AS obsolete,
   coalesce(sum(confidence), 0) / greatest(count(*), 1) AS avg_confidence, coalesce(sum(observations), 0) / greatest(count(*), 1) AS avg_observations, count_if(status = 'active' AND last_validated_at > 0 AND last_validated_at < {NOW} AND floor(({NOW} - last_validated_at) / 86400) > 90) AS validation_overdue,
   count_if(updated_at > 0 AND updated_at < {NOW} AND floor(({NOW} - updated_at) / 86400) < 7) AS changed_7d, count_if(updated_at > 0 AND updated_at < {NOW} AND floor(({NOW} - updated_at) / 86400) < 30) AS changed_30d,
-  (SELECT count(*) FROM l) AS links, (SELECT count_if(NOT is_knowledge) FROM l) AS node_links, (SELECT count(*) FROM sim WHERE similarity >= 0.6) AS duplicate_candidates, (SELECT count(*) FROM conf) AS conflicts, (SELECT count_if(is_knowledge) FROM l) AS knowledge_links, (SELECT count_if(NOT is_knowledge) FROM orph) AS orphan_node_links, (SELECT count_if(is_knowledge) FROM orph) AS orphan_knowledge_links, (SELECT count(*) FROM n) AS nodes FROM k""",
+  (SELECT count(*) FROM l) AS links, (SELECT count_if(NOT is_knowledge) FROM l) AS node_links, (SELECT count(*) FROM sim WHERE similarity >= 0.6 AND sa <> 'obsolete' AND sb <> 'obsolete') AS duplicate_candidates, (SELECT count(*) FROM conf) AS conflicts, (SELECT count_if(is_knowledge) FROM l) AS knowledge_links, (SELECT count_if(NOT is_knowledge) FROM orph) AS orphan_node_links, (SELECT count_if(is_knowledge) FROM orph) AS orphan_knowledge_links, (SELECT count(*) FROM n) AS nodes FROM k""",
     "orphan_links": with_("n", "k", "l") + "," + _ORPHANS + " SELECT * FROM orph",
-    "review_queue": with_("n", "k", "l") + "," + _STALE + "," + _F.replace("FROM k)", "FROM k)") + "," + _SIM + "," + _CONFLICTS + ", q AS (SELECT uuid AS u, 1 AS o, 'stale: ' || reason AS reason, 7 AS priority FROM stale UNION ALL SELECT uuid_a, 2, 'conflict: ' || conflict_type, 8 FROM conf UNION ALL SELECT uuid_a, 3, 'duplicate', 5 FROM sim WHERE similarity >= 0.6) SELECT u AS knowledge_uuid, reason, priority FROM q WHERE u NOT IN (SELECT uuid FROM k WHERE scope = 'module') QUALIFY row_number() OVER (PARTITION BY u ORDER BY o, reason, priority) = 1",
+    "review_queue": with_("n", "k", "l") + "," + _STALE + "," + _F.replace("FROM k)", "FROM k)") + "," + _SIM + "," + _CONFLICTS + ", q AS (SELECT uuid AS u, 1 AS o, 'stale: ' || reason AS reason, 7 AS priority FROM stale UNION ALL SELECT uuid_a, 2, 'conflict: ' || conflict_type, 8 FROM conf UNION ALL SELECT uuid_a, 3, 'duplicate', 5 FROM sim WHERE similarity >= 0.6 AND sa <> 'obsolete' AND sb <> 'obsolete') SELECT u AS knowledge_uuid, reason, priority FROM q WHERE u NOT IN (SELECT uuid FROM k WHERE scope = 'module') QUALIFY row_number() OVER (PARTITION BY u ORDER BY o, reason, priority) = 1",
     "knowledge_neighbors": with_("l") + ", f AS (SELECT knowledge_uuid AS u FROM l WHERE is_knowledge GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT node_uuid AS uuid, relation, 'out' AS direction FROM l WHERE is_knowledge AND knowledge_uuid = (SELECT u FROM f) UNION ALL SELECT knowledge_uuid, relation, 'in' FROM l WHERE is_knowledge AND node_uuid = (SELECT u FROM f)",
     "knowledge_bfs": with_("l", recursive=True) + ", lk AS (SELECT * FROM l WHERE is_knowledge), ad AS (SELECT knowledge_uuid AS a, node_uuid AS b FROM lk UNION SELECT node_uuid, knowledge_uuid FROM lk), st AS (SELECT knowledge_uuid AS id FROM lk GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5), lv AS (SELECT id, 0 AS depth FROM st UNION SELECT b, depth + 1 FROM lv JOIN ad ON id = a WHERE depth < 3) SELECT id, min(depth) AS depth FROM lv GROUP BY id",
     "auto_link_nodes": with_("n", "k", "l") + f", w AS (SELECT DISTINCT uuid AS u, unnest(list_concat({_w('title', 3, '_')}, {_w(chr(39).join(['split_part(description, chr(10), 1)']), 3, '_')})) AS t FROM k), m AS (SELECT DISTINCT w.u, n.id, n.uuid FROM w JOIN n ON contains(lower(label), t) WHERE uuid IS NOT NULL AND length(t) > 3), r AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM l WHERE knowledge_uuid = u AND node_uuid = uuid)) SELECT u AS knowledge_uuid, uuid AS node_uuid, row_number() OVER (PARTITION BY u ORDER BY id) AS place FROM r QUALIFY place <= 5",

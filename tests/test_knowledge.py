@@ -176,3 +176,11 @@ def test_chunk_nodes_of_long_files(spark, monkeypatch):
     rows = [("a", "f.py", "L3"), ("b", "f.py", "L1203"), ("c", "g.py", "L50"), ("d", "g.py", None), ("e", "h.py", None)]
     monkeypatch.setattr(knowledge_queries.R, "nodes", lambda *_: spark.createDataFrame(rows, "id string, source_file string, source_location string"))
     assert {tuple(r) for r in knowledge_queries.chunk_nodes(spark, "").collect()} == {("f.py:0", "a"), ("f.py:26", "b"), ("g.py:0", "c"), ("g.py:1", "c")}
+
+
+def test_duplicates_leave_obsolete_out_and_say_why(spark):
+    rows = [("a", "Cache lock order", "decision", "take the cache lock first", "active"), ("b", "cache lock order", "ops", "take the cache lock first", "active"), ("c", "cache lock order", "decision", "take the cache lock first", "obsolete"), ("d", "cache lock order now", "decision", "take the cache lock first", "active")]
+    k = spark.createDataFrame([(*r, ["t"]) for r in rows], "uuid string, title string, knowledge_type string, description string, status string, tags array<string>")
+    got = {(r.uuid_a, r.uuid_b): r.reason for r in lifecycle.duplicates(k, 0.6).collect()}
+    assert got == {("a", "b"): "identical title", ("a", "d"): "similar content (90%), same type", ("b", "d"): "similar content (70%)"}
+    assert lifecycle.duplicates(k.limit(0)).count() == 0
