@@ -197,3 +197,29 @@ def test_co_changes_know_other_forms_of_a_name(spark):
     c = spark.createDataFrame([("r", "1", "a/foo.rs"), ("r", "1", "x"), ("r", "2", "root/a/foo.rs"), ("r", "2", "x"), ("r", "3", "y")], "repo string, commit_id string, file string")
     got = {r.file: (r.commits, r.target_commits) for r in analyze.co_changes(c, spark.createDataFrame([("r", "./a/foo.rs")], "repo string, target string")).collect()}
     assert got == {"x": (2, 2), "root/a/foo.rs": (1, 2)}
+
+
+def test_dfs_walks_more_edges_than_a_driver_took(spark):
+    ids = spark.range(210_000).select(F.format_string("n%06d", "id").alias("t"))
+    e = ids.select(F.lit("hub").alias("source"), F.col("t").alias("target"), F.lit("calls").alias("relation"))
+    rows = graph.dfs_rows(e.unionByName(e.select(F.col("target").alias("source"), F.concat("target", F.lit("x")).alias("target"), "relation").limit(5)), ["hub", "n000003", "alone"], 2)
+    assert rows.count() == 210_007 and rows.agg(F.max("place")).first()[0] == 210_006
+    first = [(r.id, r.depth) for r in rows.where("place < 5 OR place > 210004").orderBy("place").collect()]
+    assert first[0] == ("hub", 0) and first[1] == ("n000000", 1) and first[-1] == ("alone", 0) and first[-2] == ("n209999", 1)
+
+
+def test_dfs_is_that_of_the_recursive_walk(spark):
+    pairs = sorted({(f"v{i}", f"v{i * k % 41}") for i in range(41) for k in (2, 7, 11)})
+    e, seen, order = edges(spark, pairs), set(), []
+
+    def walk(v, d):
+        seen.add(v)
+        order.append((v, d))
+        for w in sorted({b for a, b in pairs if a == v} | {a for a, b in pairs if b == v}) if d < 3 else []:
+            if w not in seen:
+                walk(w, d + 1)
+
+    for s in ("v7", "v40"):
+        if s not in seen:
+            walk(s, 0)
+    assert graph.dfs(e, ["v7", "v40"], 3) == order
