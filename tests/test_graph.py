@@ -223,3 +223,12 @@ def test_dfs_is_that_of_the_recursive_walk(spark):
         if s not in seen:
             walk(s, 0)
     assert graph.dfs(e, ["v7", "v40"], 3) == order
+
+
+def test_communities_of_more_edges_take_one_task(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(community, "cut", lambda df, own=community.cut: cuts.append(1) or own(df))
+    i = spark.range(300_001).select(F.format_string("n%06d", "id").alias("source"))
+    e = i.select("source", F.concat("source", F.lit("x")).alias("target"), F.lit(2.0).alias("weight"))
+    labels = community.modularity_labels(i.select(F.col("source").alias("id")), e)
+    assert len(cuts) == 1 and labels.select("community").distinct().count() == 300_001
