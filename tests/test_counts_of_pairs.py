@@ -1,5 +1,6 @@
 from loamgraph.operators import alike, lifecycle
 from loamgraph.session import keep
+from pyspark.sql import functions as F
 from test_alike import few_words
 from test_knowledge import NOW, entry, know, links
 
@@ -33,3 +34,9 @@ def test_kept_rows_are_the_same(spark):
     k = few_words(spark).repartition(3)
     assert sorted(map(str, keep(k).collect())) == sorted(map(str, k.collect())) and keep(k).schema == k.schema
     assert keep(k.limit(0)).count() == 0
+
+
+def test_review_makes_entries_once(spark):
+    k = few_words(spark).groupBy("uuid").agg(*(F.first(c).alias(c) for c in few_words(spark).columns if c != "uuid"))
+    plan = lifecycle.review_queue(k, links(spark, ("000", "x", "r", True)), nodes(spark), NOW)._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(" not in plan
